@@ -66,8 +66,10 @@ def auroc(
         F.when(F.col("human"), F.lit(0)).otherwise(F.col("n")).alias("ac"),
     )
     bucket = by + ["_bucket"]
-    at_most = F.sum("hc").over(Window.partitionBy(*bucket).orderBy("v"))
-    tied = F.sum("hc").over(Window.partitionBy(*bucket, "v"))
+    # Both frames share one sort: everything up to the score, and its peers.
+    by_score = Window.partitionBy(*bucket).orderBy("v")
+    at_most = F.sum("hc").over(by_score)
+    tied = F.sum("hc").over(by_score.rangeBetween(Window.currentRow, Window.currentRow))
     # Human scores below each generated one, first within its bucket ...
     per_bucket = (
         counted.withColumn("le", at_most)

@@ -3,31 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import FLIPPED
-from ..plans.storage import materialize
+from ..schemas import HUMAN
 from .evaluation import auroc
 
 BEST = "max"
 
 
-def cell_grid(like: DataFrame, **dimensions: Sequence[str]) -> DataFrame:
-    """One row per combination of the given dimension values.
-
-    The lists are the axes of the figure the caller asks for, so the grid is as
-    large as the result and no larger.
-    """
-    grid = like.sparkSession.range(1).select()
-    for name, values in dimensions.items():
-        grid = grid.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
-    return grid
-
-
 def heatmap(
     detections: DataFrame,
     generators: Sequence[str],
@@ -44,35 +30,28 @@ def heatmap(
     it and ``by`` list the slices that occur.
     """
     slices = list(by) + (["SecondaryModel"] if split_second else [])
+    axes = {"Detector": detectors, "Generator": generators, "BaseModel": base_models}
     rows = detections.filter(
         F.col("BaseModel").isin(*base_models)
         & F.col("Detector").isin(*detectors)
-        & F.col("Generator").isin(*generators, "human")
-    )
-    cells = auroc(rows, by=slices + ["Detector", "BaseModel"]).select(
-        *slices, "Detector", "Generator", "BaseModel", F.col("auroc").alias("value")
+        & F.col("Generator").isin(*generators, HUMAN)
     )
-    grid = cell_grid(
-        detections, Detector=detectors, Generator=generators, BaseModel=base_models
+    cell = F.struct(*axes)
+    # A slice gathers at most as many cells as its figure has; spreading the
+    # axes next to them fills the gaps without a join.
+    held = (
+        auroc(rows, by=slices + ["Detector", "BaseModel"])
+        .groupBy(*slices)
+        .agg(F.map_from_entries(F.collect_list(F.struct(cell, "auroc"))).alias("cells"))
     )
-    if slices:
-        # One line per slice (few), repeated over the axes of the figure. The
-        # finished cells are written out, as they are read twice.
-        cells = materialize(cells, "cells")
-        axes = [F.collect_list(F.struct(*grid.columns)).alias("axes")]
-        grid = (
-            cells.select(*slices)
-            .distinct()
-            .join(F.broadcast(grid.agg(*axes)))
-            .select(*slices, F.inline("axes"))
-        )
-    key = slices + ["Detector", "Generator", "BaseModel"]
-    found = cells.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("value").alias("_value"))
-    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
-    return grid.join(found, on, "left").select(
-        *key,
-        F.coalesce("_value", F.lit(0.0)).alias("value"),
-        F.col("_value").isNotNull().alias("has_data"),
+    for name, values in axes.items():
+        held = held.withColumn(name, F.explode(F.lit(list(values))))
+    value = F.try_element_at("cells", cell)
+    return held.select(
+        *slices,
+        *axes,
+        F.coalesce(value, F.lit(0.0)).alias("value"),
+        value.isNotNull().alias("has_data"),
     )
 
 

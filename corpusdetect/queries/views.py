@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.languages import LANGUAGE_ALIASES, canonical_language
+from ..functions.languages import LANGUAGE_ALIASES
 from ..schemas import HUMAN
 
 GENERATORS = ("gen-a", "gen-b", "gen-c")
@@ -38,66 +38,56 @@ def pick(values: tuple, position: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), position.cast("int") + 1)
 
 
+def _pick(values: tuple, position: str) -> str:
+    """:func:`pick` as expression text."""
+    listed = ", ".join(f"'{v}'" if isinstance(v, str) else f"{v}D" for v in values)
+    return f"element_at(array({listed}), cast({position} as int) + 1)"
+
+
 def samples(spark: SparkSession, folder: str, raw_language: bool = False) -> DataFrame:
-    doc = F.col("doc_id")
-    row = F.floor(doc / 4)
-    generator = pick((HUMAN, *GENERATORS), doc % 4)
-    generated = generator != HUMAN
-    prompt = F.substring("text", 1, 64)
-    spelling = pick(SPELLINGS, doc % 9)
-    return table(spark, folder, "documents").select(
-        doc.alias("sample_id"),
-        generator.alias("Generator"),
-        (spelling if raw_language else canonical_language(spelling)).alias("Language"),
-        F.col("text").alias("Code"),
-        F.lit(None).cast("int").alias("TopK"),
-        F.when(generated, pick((0.95, 0.5, 0.95, 0.5), row % 4)).alias("TopP"),
-        F.when(generated, pick((0.97, 0.97, 0.2, 0.2), row % 4)).alias("Temperature"),
-        prompt.alias("Prompt"),
-        prompt.alias("OriginalPrompt"),
-        (F.lit(1420070400) + doc * 86400).alias("Date"),
-        pick(CORPORA, F.floor(doc / 16) % 6).alias("Dataset"),
+    spelling = _pick(SPELLINGS, "doc_id % 9")
+    aliases = ", ".join(f"'{k}', '{v}'" for k, v in LANGUAGE_ALIASES.items())
+    language = spelling if raw_language else f"coalesce(try_element_at(map({aliases}), {spelling}), 'generic')"
+    generated = "CASE WHEN doc_id % 4 <> 0 THEN"
+    return table(spark, folder, "documents").selectExpr(
+        "doc_id AS sample_id",
+        f"{_pick((HUMAN, *GENERATORS), 'doc_id % 4')} AS Generator",
+        f"{language} AS Language",
+        "text AS Code",
+        "CAST(NULL AS int) AS TopK",
+        f"{generated} {_pick((0.95, 0.5, 0.95, 0.5), '(doc_id div 4) % 4')} END AS TopP",
+        f"{generated} {_pick((0.97, 0.97, 0.2, 0.2), '(doc_id div 4) % 4')} END AS Temperature",
+        "substring(text, 1, 64) AS Prompt",
+        "substring(text, 1, 64) AS OriginalPrompt",
+        "1420070400 + doc_id * 86400 AS Date",
+        f"{_pick(CORPORA, '(doc_id div 16) % 6')} AS Dataset",
     )
 
 
 def detections(spark: SparkSession, folder: str) -> DataFrame:
     """Arithmetic scores of every sample for five detectors and three base models."""
-    doc = F.col("sample_id")
-    combos = [
-        F.struct(
-            F.lit(d).alias("d"),
-            F.lit(name).alias("Detector"),
-            F.lit(b).alias("b"),
-            F.lit(base).alias("BaseModel"),
-        )
+    combos = ", ".join(
+        f"struct({d} AS d, '{name}' AS Detector, {b} AS b, '{base}' AS BaseModel)"
         for d, name in enumerate(DETECTORS)
         for b, base in enumerate(GENERATORS)
-    ]
-    rows = samples(spark, folder).select(
-        "sample_id", "Generator", "Language", "TopP", "Temperature", "Dataset",
-        F.explode(F.array(*combos)).alias("c"),
     )
-    d, b = F.col("c.d"), F.col("c.b")
-    bump = (
-        F.when(F.col("Generator") == F.col("c.BaseModel"), F.lit(0.25))
-        .when(F.col("Generator") != HUMAN, F.lit(0.1))
-        .otherwise(F.lit(0.0))
-    )
-    value = ((doc * 37 + d * 11 + b * 17) % 101) / F.lit(101.0) + bump
-    value = (
-        F.when(doc % 97 == 0, F.lit(float("nan")))
-        .when(doc % 89 == 0, F.lit(float("inf")))
-        .when(doc % 83 == 0, F.lit(float("-inf")))
-        .when(doc % 79 == 0, F.lit(None).cast("double"))
-        .otherwise(value)
-    )
-    second = F.when(d >= 3, pick(GENERATORS[:2], F.floor(doc / 4) % 2))
-    return rows.select(
-        "sample_id", "Generator", "Language", "TopP", "Temperature", "Dataset",
-        F.col("c.Detector").alias("Detector"),
-        F.col("c.BaseModel").alias("BaseModel"),
-        second.alias("SecondaryModel"),
-        value.alias("Value"),
+    kept = ["sample_id", "Generator", "Language", "TopP", "Temperature", "Dataset"]
+    return (
+        samples(spark, folder)
+        .selectExpr(*kept, f"inline(array({combos}))")
+        .selectExpr(
+            *kept,
+            "Detector",
+            "BaseModel",
+            f"CASE WHEN d >= 3 THEN {_pick(GENERATORS[:2], '(sample_id div 4) % 2')} END AS SecondaryModel",
+            """CASE WHEN sample_id % 97 = 0 THEN double('NaN')
+                 WHEN sample_id % 89 = 0 THEN double('Infinity')
+                 WHEN sample_id % 83 = 0 THEN double('-Infinity')
+                 WHEN sample_id % 79 = 0 THEN NULL
+                 ELSE ((sample_id * 37 + d * 11 + b * 17) % 101) / 101D
+                    + CASE WHEN Generator = BaseModel THEN 0.25D WHEN Generator <> 'human' THEN 0.1D
+                           ELSE 0D END END AS Value""",
+        )
     )
 
 
