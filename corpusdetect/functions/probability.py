@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    A lambda evaluates everything in its body per element, so what does not
+    depend on the element must be bound outside of it.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _log_norm(values: Column, top: Column) -> Column:
+    return top + F.log(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + F.exp(x - top)))
+
+
 def log_softmax(logits: Column, temperature: float = 1.0) -> Column:
     """Log probabilities, stable for large logits."""
     scaled = F.transform(logits, lambda x: x.cast("double") / F.lit(temperature))
-    top = F.array_max(scaled)
-    shifted = F.transform(scaled, lambda x: x - top)
-    norm = F.log(_total(F.transform(shifted, F.exp)))
-    return F.transform(shifted, lambda x: x - norm)
+    return _let(
+        scaled,
+        lambda values: _let(
+            _let(F.array_max(values), lambda top: _log_norm(values, top)),
+            lambda norm: F.transform(values, lambda x: x - norm),
+        ),
+    )
 
 
 def softmax(logits: Column, temperature: float = 1.0) -> Column:
@@ -35,8 +53,10 @@ def token_logprob(logprobs: Column, token_id: Column) -> Column:
 
 def token_rank(logits: Column, token_id: Column) -> Column:
     """1-based position of the token by descending logit; ties share the best place."""
-    own = F.get(logits, token_id)
-    return F.size(F.filter(logits, lambda x: x > own)) + F.lit(1)
+    return _let(
+        F.get(logits, token_id),
+        lambda own: F.size(F.filter(logits, lambda x: x > own)) + F.lit(1),
+    )
 
 
 def entropy(logprobs: Column) -> Column:
