@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import Tokenizer, characters
 from ..plans.joins import lookup_join
-from ..plans.storage import materialize
+from ..plans.storage import materialize, spread_small
 
 
 @dataclass(frozen=True)
@@ -29,41 +29,54 @@ class BigramModels:
     alpha: float = 1.0
 
 
-def bigrams(
-    samples: DataFrame, keep: Sequence[str], tokenizer: Tokenizer, column: str = "Code"
+def bigram_counts(
+    samples: DataFrame,
+    keep: Sequence[str] = ("sample_id",),
+    tokenizer: Tokenizer = characters,
+    column: str = "Code",
 ) -> DataFrame:
-    """``(keep…, ctx, token)`` for every token that has a predecessor, whole texts."""
-    tokens = samples.select(*keep, tokenizer(F.col(column)).alias("_tokens"))
-    pairs = F.greatest(F.size("_tokens") - 1, F.lit(0))
-    shifted = F.arrays_zip(
-        F.slice("_tokens", F.lit(1), pairs).alias("ctx"), F.slice("_tokens", F.lit(2), pairs).alias("token")
+    """``(keep…, ctx, token, n)`` of whole texts, written to shared storage.
+
+    The first element of ``keep`` identifies the sample. The first token of a
+    text has a null ``ctx``, a text without tokens one row with a null token.
+    Training and scoring both start from this table, so a text is tokenized
+    once. It is stored by sample: later sums per sample then combine in the
+    task that reads them.
+    """
+    tokens = spread_small(samples, keep[0]).select(*keep, tokenizer(F.col(column)).alias("_tokens"))
+    count = F.size("_tokens")
+    before = F.slice("_tokens", F.lit(1), F.greatest(count - 1, F.lit(0)))
+    start = F.array(F.lit(None).cast("string"))
+    shifted = F.arrays_zip(F.concat(start, before).alias("ctx"), F.col("_tokens").alias("token"))
+    counted = (
+        tokens.select(*keep, F.inline_outer(F.when(count > 0, shifted)))
+        .groupBy(*keep, "ctx", "token")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    return tokens.select(*keep, F.inline_outer(shifted))
+    return materialize(counted.repartition(F.col(keep[0])), "bigrams")
 
 
 def train(
-    corpus: DataFrame,
+    counted: DataFrame,
     names: Sequence[str],
     vocabulary_of: DataFrame | None = None,
-    tokenizer: Tokenizer = characters,
-    column: str = "Code",
     alpha: float = 1.0,
 ) -> BigramModels:
-    """Count bigrams per model; ``corpus`` has a column ``model``.
+    """Sum bigram counts per model; ``counted`` has a column ``model``.
 
-    The vocabulary is taken from ``vocabulary_of`` (all texts to be trained or
-    scored on, by default the corpus). Counts are reduced in each task before
-    the shuffle, so frequent bigrams cost no more than rare ones.
+    The vocabulary is that of ``vocabulary_of`` (counts of all texts to be
+    trained or scored on, by default ``counted`` itself). Counts are reduced in
+    each task before the shuffle, so frequent bigrams cost no more than rare
+    ones.
     """
     counts = materialize(
-        bigrams(corpus.filter(F.col("model").isin(*names)), ["model"], tokenizer, column)
-        .filter(F.col("token").isNotNull())
+        counted.filter(F.col("model").isin(*names) & F.col("ctx").isNotNull())
         .groupBy("model", "ctx", "token")
-        .agg(F.count(F.lit(1)).alias("c")),
-        "bigrams",
+        .agg(F.sum("n").alias("c")),
+        "model",
     )
-    texts = corpus if vocabulary_of is None else vocabulary_of
-    size = texts.select(F.explode(tokenizer(F.col(column))).alias("token")).distinct().count()
+    every = counted if vocabulary_of is None else vocabulary_of
+    size = every.agg(F.count_distinct("token")).first()[0]
     return BigramModels(tuple(names), counts, size, alpha)
 
 
@@ -146,36 +159,31 @@ def pair_statistics(models: BigramModels, pairs: Sequence[tuple[str, str]]) -> D
 
 
 def token_statistics(
-    samples: DataFrame,
+    counted: DataFrame,
     models: BigramModels,
     pairs: Sequence[tuple[str, str]] = (),
     single: bool = True,
-    tokenizer: Tokenizer = characters,
-    column: str = "Code",
     key: str = "sample_id",
 ) -> DataFrame:
     """Statistics of every scored token, for all models and pairs at once.
 
-    Rows follow the token-statistics schema; equal bigrams of a sample are one
-    row with their count ``n``. The statistics come from two lookup tables, per
-    (ctx, token) and per ctx, whose rows hold one entry per model or pair, so a
-    sample is exploded once however many models there are. A sample without a
-    scored token has one row per entry with ``n`` 0.
+    ``counted`` comes from :func:`bigram_counts`. Rows follow the
+    token-statistics schema; equal bigrams of a sample are one row with their
+    count ``n``. The statistics come from two lookup tables, per (ctx, token)
+    and per ctx, whose rows hold one entry per model or pair. The first token
+    of a text has nothing to be predicted from and counts 0 times.
     """
     entries = [(m, None) for m in models.names] if single else []
     entries += [(b, s) for b, s in pairs]
     by_context, by_token = _lookup_tables(models, entries, pairs, single)
-    counted = (
-        bigrams(samples, [key], tokenizer, column)
-        .groupBy(key, "ctx", "token")
-        .agg(F.count("token").alias("n"))
-    )
+    rows = counted.select(key, "ctx", "token", "n")
+    spread = [key, "ctx", "token"]
     found = lookup_join(
-        lookup_join(counted, by_token, ["ctx", "token"], "left", [key, "ctx", "token"]),
-        by_context, ["ctx"], "left", [key, "ctx", "token"],
+        lookup_join(rows, by_token, ["ctx", "token"], "left", spread), by_context, ["ctx"], "left", spread
     )
     known = F.coalesce("token_stats", "context_stats", _unseen(models, entries))
-    return found.select(key, "n", F.inline(known)).select(
+    scored = F.when(F.col("ctx").isNull(), F.lit(0)).otherwise(F.col("n")).cast("bigint")
+    return found.select(key, scored.alias("n"), F.inline(known)).select(
         F.col(key),
         "model",
         "model2",

@@ -2,7 +2,7 @@
 
 from .joins import fits_broadcast, lookup_join
 from .ranking import global_index, range_buckets
-from .storage import materialize, scratch_path, shared_folder
+from .storage import materialize, scratch_path, shared_folder, spread_small
 
 __all__ = [
     "fits_broadcast",
@@ -12,4 +12,5 @@ __all__ = [
     "range_buckets",
     "scratch_path",
     "shared_folder",
+    "spread_small",
 ]

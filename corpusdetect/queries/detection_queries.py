@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import probability as pr
-from ..functions.tokens import characters
 from ..operators import detectors as det
 from ..operators import ngram
 from .registry import query, r6, sql6
@@ -23,9 +22,9 @@ def corpus(spark, folder):
 
 
 def _statistics(spark, folder, pairs=(), single=True):
-    docs = corpus(spark, folder)
-    models = ngram.train(docs, MODELS)
-    return ngram.token_statistics(docs, models, pairs=pairs, single=single)
+    counted = ngram.bigram_counts(corpus(spark, folder), ["sample_id", "model"])
+    models = ngram.train(counted, MODELS)
+    return ngram.token_statistics(counted, models, pairs=pairs, single=single)
 
 
 def _scores(spark, folder, *names, extra=None):
@@ -268,8 +267,7 @@ _DIRECT = """SELECT chars.sample_id, sum(ln(p)) AS s FROM chars JOIN dense ON de
       UNION ALL SELECT sample_id, NULL FROM short WHERE model = 'en'"""))
 def custom_detector(spark, folder):
     """A user's detector (perplexity) is one more aggregate."""
-    docs = corpus(spark, folder)
-    models = ngram.train(docs.filter(F.col("model") == "en"), ("en",), vocabulary_of=docs, tokenizer=characters)
-    stats = ngram.token_statistics(docs, models)
+    counted = ngram.bigram_counts(corpus(spark, folder), ["sample_id", "model"])
+    stats = ngram.token_statistics(counted, ngram.train(counted, ("en",)))
     perplexity = det.Detector(F.exp(-F.try_divide(F.sum(F.col("n") * F.col("logprob")), F.sum("n"))))
     return det.score(stats, {"perplexity": perplexity}).select("sample_id", r6("Value").alias("Value"))
