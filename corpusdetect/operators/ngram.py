@@ -18,6 +18,9 @@ from ..functions.tokens import Tokenizer, characters
 from ..plans.joins import lookup_join
 from ..plans.storage import materialize, spread_small
 
+# Most statistics entries sent to every executor (some 100 bytes each).
+BROADCAST_ENTRIES = 1_000_000
+
 
 @dataclass(frozen=True)
 class BigramModels:
@@ -178,9 +181,10 @@ def token_statistics(
     by_context, by_token = _lookup_tables(models, entries, pairs, single)
     rows = counted.select(key, "ctx", "token", "n")
     spread = [key, "ctx", "token"]
-    found = lookup_join(
-        lookup_join(rows, by_token, ["ctx", "token"], "left", spread), by_context, ["ctx"], "left", spread
-    )
+    # A row of the tables is as long as the list of models and pairs.
+    limit = BROADCAST_ENTRIES // len(entries)
+    found = lookup_join(rows, by_token, ["ctx", "token"], "left", spread, limit)
+    found = lookup_join(found, by_context, ["ctx"], "left", spread, limit)
     known = F.coalesce("token_stats", "context_stats", _unseen(models, entries))
     scored = F.when(F.col("ctx").isNull(), F.lit(0)).otherwise(F.col("n")).cast("bigint")
     return found.select(key, scored.alias("n"), F.inline(known)).select(

@@ -25,6 +25,7 @@ def lookup_join(
     spread_by: Sequence[str] | None = None,
     max_rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
+    fits: bool | None = None,
 ) -> DataFrame:
     """Join ``big`` to ``small`` on ``on``; ``how`` keeps or filters the big side.
 
@@ -32,9 +33,10 @@ def lookup_join(
     shuffled, and every key is spread over ``salts`` partitions: a big row goes
     to the one given by a hash of its ``spread_by`` columns, a small row to all
     of them. A key that holds a third of the big side is thus divided too.
+    ``fits`` is the outcome of an earlier check of the same small side.
     """
     on = list(on)
-    if fits_broadcast(small, max_rows):
+    if fits_broadcast(small, max_rows) if fits is None else fits:
         return big.join(F.broadcast(small), on, how)
     spread = [F.col(c) for c in (spread_by or big.columns)]
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))

@@ -1,6 +1,6 @@
 """Every operator as a named query over the driver's tables."""
 
 from .registry import ORACLES, QUERIES
-from . import detection_queries, evaluation_queries  # noqa: F401  (register their queries)
+from . import detection_queries, evaluation_queries, sample_queries  # noqa: F401  (register their queries)
 
 __all__ = ["ORACLES", "QUERIES"]

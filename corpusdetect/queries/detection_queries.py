@@ -8,7 +8,7 @@ from ..functions import probability as pr
 from ..operators import detectors as det
 from ..operators import ngram
 from .registry import query, r6, sql6
-from .views import samples, sql, table
+from .views import SAMPLE_HASH, samples, sql, table
 
 MODELS = ("en", "fr", "de", "es")
 PAIRS = (("en", "fr"), ("fr", "en"), ("de", "de"))
@@ -157,9 +157,7 @@ def detection_coverage(spark, folder):
 @query("to_detection", sql("samples", *_BASE, ("single", _SINGLE), ("short", _SHORT),
        ("scores", "SELECT sample_id, model, loglikelihood FROM single UNION ALL SELECT sample_id, model, NULL FROM short"),
        select=f"""SELECT sample_id, sha256(OriginalPrompt) AS PromptHash,
-       sha256('PL: ' || Language || chr(10) || 'Code: ' || Code || chr(10) || chr(10) || chr(10) || 'Dataset: ' || Dataset || chr(10) || 'Generator: ' || Generator
-         || chr(10) || 'Prompt: ' || Prompt || chr(10) || 'Original Prompt: ' || OriginalPrompt || chr(10) || 'Date: ' || Date || chr(10) || 'Temperature: '
-         || coalesce(Temperature::VARCHAR, 'None') || chr(10) || 'Top-p: ' || coalesce(TopP::VARCHAR, 'None') || chr(10) || 'Top-k: ' || coalesce(TopK::VARCHAR, 'None')) AS CodeSampleHash,
+       {SAMPLE_HASH} AS CodeSampleHash,
        Language, {sql6('loglikelihood')} AS Value, CAST(512 AS INTEGER) AS MaxLength, 'loglikelihood' AS Detector, Generator, model AS BaseModel,
        CAST(NULL AS VARCHAR) AS SecondaryModel, Code, TopK, TopP, Temperature, CAST({RUN_TIME} AS BIGINT) AS Date, Dataset
        FROM samples JOIN scores USING (sample_id)"""))

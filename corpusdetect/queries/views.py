@@ -138,7 +138,15 @@ CTES = {
 }
 
 
+_NL = "chr(10)"
+SAMPLE_HASH = f"""sha256('PL: ' || Language || {_NL} || 'Code: ' || Code || {_NL} || {_NL} || {_NL}
+    || 'Dataset: ' || Dataset || {_NL} || 'Generator: ' || Generator || {_NL} || 'Prompt: ' || Prompt || {_NL}
+    || 'Original Prompt: ' || OriginalPrompt || {_NL} || 'Date: ' || Date || {_NL}
+    || 'Temperature: ' || coalesce(Temperature::VARCHAR, 'None') || {_NL}
+    || 'Top-p: ' || coalesce(TopP::VARCHAR, 'None') || {_NL} || 'Top-k: ' || coalesce(TopK::VARCHAR, 'None'))"""
+
+
 def sql(*ctes: str | tuple[str, str], select: str) -> str:
     """A statement over named views; a pair defines a further one on the spot."""
     named = [(c, CTES[c]) if isinstance(c, str) else c for c in ctes]
-    return "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in named) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({body})" for name, body in named) + "\n" + select
