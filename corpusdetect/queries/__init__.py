@@ -1,6 +1,12 @@
 """Every operator as a named query over the driver's tables."""
 
+from . import (  # noqa: F401  (importing registers the queries)
+    detection_queries,
+    evaluation_queries,
+    generation_queries,
+    sample_queries,
+    source_queries,
+)
 from .registry import ORACLES, QUERIES
-from . import detection_queries, evaluation_queries, sample_queries  # noqa: F401  (register their queries)
 
 __all__ = ["ORACLES", "QUERIES"]
