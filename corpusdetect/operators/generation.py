@@ -155,13 +155,13 @@ def open_prompts(
     """Samples fanned out to the models that support them, with prompt and budget.
 
     ``models`` has one row per supported (model, Language) with prompt_format
-    and max_tokens. Adds ``prompt`` and, as next steps need them, ``last`` (the
+    and max_tokens. Adds ``full_prompt`` and, as next steps need them, ``last`` (the
     final prompt token) and ``budget``.
     """
     fanned = lookup_join(samples, models, ["Language"], spread_by=["sample_id"])
     prompted = fanned.withColumn(
-        "prompt", prompt_by_format(F.col("prompt_format"), F.col("Language"), F.col("Prompt"))
-    ).withColumn("prompt_tokens", tokenizer(F.col("prompt")))
+        "full_prompt", prompt_by_format(F.col("prompt_format"), F.col("Language"), F.col("Prompt"))
+    ).withColumn("prompt_tokens", tokenizer(F.col("full_prompt")))
     own = token_count(tokenizer(F.col("Code"))) if dynamic else None
     return (
         prompted.withColumn("last", F.try_element_at("prompt_tokens", F.lit(-1)))
@@ -173,10 +173,10 @@ def open_prompts(
 def to_samples(generated: DataFrame, now: int) -> DataFrame:
     """Sample rows of generated text, sharing the source's prompt, corpus and language.
 
-    Expects ``prompt``, the full ``output`` (prompt included), ``model`` and the
+    Expects ``full_prompt``, the full ``output`` (prompt included), ``model`` and the
     setting columns TopK, TopP, Temperature next to the source's columns.
     """
-    code = clean_output(strip_prompt(F.col("output"), F.col("prompt")))
+    code = clean_output(strip_prompt(F.col("output"), F.col("full_prompt")))
     rows = generated.withColumn("Code", code).withColumn("Generator", F.col("model")).withColumn("Date", F.lit(now))
     return rows.select("sample_id", *[F.col(f.name).cast(f.dataType) for f in SAMPLE_SCHEMA])
 
@@ -196,4 +196,4 @@ def generate(
     """
     rows = open_prompts(samples, models, dynamic=dynamic)
     done = continue_greedily(rows, counts, max_steps)
-    return to_samples(done.withColumn("output", F.concat("prompt", F.array_join("tokens", ""))), now)
+    return to_samples(done.withColumn("output", F.concat("full_prompt", F.array_join("tokens", ""))), now)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.languages import DISPLAY_NAMES
 from ..functions.scores import seeded_uniform
-from ..functions.text import clean_output as clean, sample_row_hash
+from ..functions.text import sample_row_hash
 from ..operators import generation as gen
 from ..operators import ngram
 from ..operators import setops as so
@@ -14,11 +14,11 @@ from ..plans.storage import scratch_path
 from ..schemas import HUMAN, SAMPLE_SCHEMA
 from ..streaming import ingest
 from .detection_queries import MODELS, RUN_TIME, _BASE, corpus
-from .registry import query, r6, sql6, sql6 as _s
+from .registry import query, r6, sql6
 from .sample_queries import prompt_sql
 from .views import SAMPLE_HASH, samples, sql, table, detections
 
-_MAX_TOKENS = 2048
+_MAX_TOKENS = 1024
 _FORMATS = {"en": "doc_comment", "fr": "named_language_comment", "de": "instruction", "es": "language_comment"}
 # One of the models supports a single language.
 _REGISTRY = [
@@ -37,12 +37,12 @@ def _counts(spark, folder):
 
 _GREEDY = "SELECT model, ctx, token FROM counts QUALIFY row_number() OVER (PARTITION BY model, ctx ORDER BY c DESC, token) = 1"
 _PROMPTS = prompt_sql("Prompt")
-_OPEN = """SELECT *, right(prompt, 1) AS last, greatest(1, least(max_tokens - length(prompt), greatest(floor(length(Code) * 1.25e0), 256)))::INTEGER AS budget FROM
+_OPEN = """SELECT *, right(full_prompt, 1) AS last, greatest(1, least(max_tokens - length(full_prompt), greatest(floor(length(Code) * 1.25e0), 256)))::INTEGER AS budget FROM
     (SELECT s.*, r.model, r.max_tokens, CASE r.prompt_format """ + " ".join(
     f"WHEN '{name}' THEN {text.replace('Language', 's.Language').replace('Prompt', 's.Prompt')}" for name, text in _PROMPTS.items()
-) + " END AS prompt FROM samples s JOIN registry r ON s.Language = r.Language WHERE s.Generator = 'human')"
+) + " END AS full_prompt FROM samples s JOIN registry r ON s.Language = r.Language WHERE s.Generator = 'human')"
 _WALK = """SELECT model, last AS ctx, 0 AS k, last, '' AS txt FROM (SELECT DISTINCT model, last FROM open_rows)
-    UNION ALL SELECT w.model, w.ctx, k + 1, g.token, txt || g.token FROM walk w JOIN greedy g ON g.model = w.model AND g.ctx = w.last WHERE k < 2048"""
+    UNION ALL SELECT w.model, w.ctx, k + 1, g.token, txt || g.token FROM walk w JOIN greedy g ON g.model = w.model AND g.ctx = w.last WHERE k < 1024"""
 _GEN = _BASE[:2] + (("greedy", _GREEDY), ("registry", _REGISTRY_SQL), ("open_rows", _OPEN), ("walk(model, ctx, k, last, txt)", _WALK),
        ("ends", "SELECT model, ctx, max(k) AS kmax FROM walk GROUP BY ALL"))
 _REST = "TopK, TopP, Temperature, Prompt, OriginalPrompt"
@@ -52,7 +52,7 @@ _REST = "TopK, TopP, Temperature, Prompt, OriginalPrompt"
     SELECT o.sample_id, o.model AS Generator, Language, w.txt AS Code, {_REST}, CAST({RUN_TIME} AS BIGINT) AS Date, Dataset,
       CAST(list_position(['human', 'en', 'fr', 'de', 'es'], o.model) - 1 AS BIGINT) AS gen_ord
     FROM open_rows o JOIN ends e ON e.model = o.model AND e.ctx = o.last JOIN walk w ON w.model = o.model AND w.ctx = o.last AND w.k = least(o.budget, e.kmax)
-    UNION ALL SELECT sample_id, Generator, Language, Code, {_REST}, Date, Dataset, 0 FROM samples WHERE Generator = 'human'""".replace("TopK, TopP", "TopK, TopP")))
+    UNION ALL SELECT sample_id, Generator, Language, Code, {_REST}, Date, Dataset, 0 FROM samples WHERE Generator = 'human'"""))
 def generation_job(spark, folder):
     """Human samples and what four models continue from their prompts, interlaced."""
     human = samples(spark, folder).filter(F.col("Generator") == HUMAN)

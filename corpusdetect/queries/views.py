@@ -149,4 +149,6 @@ SAMPLE_HASH = f"""sha256('PL: ' || Language || {_NL} || 'Code: ' || Code || {_NL
 def sql(*ctes: str | tuple[str, str], select: str) -> str:
     """A statement over named views; a pair defines a further one on the spot."""
     named = [(c, CTES[c]) if isinstance(c, str) else c for c in ctes]
-    return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({body})" for name, body in named) + "\n" + select
+    # A name with a column list is recursive; all others are computed once.
+    parts = [f"{name} AS {'' if '(' in name else 'MATERIALIZED '}({body})" for name, body in named]
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + select
