@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import informativeness
 from ..functions.tokens import Tokenizer, words
 from ..plans.joins import lookup_join
-from ..plans.storage import materialize
+from ..plans.storage import materialize, spread_small
 from ..schemas import HUMAN
 
 
@@ -21,8 +23,9 @@ def token_frequencies(
     column: str = "Code",
 ) -> DataFrame:
     """``(by…, token, cnt)`` over whole texts; counted before the shuffle."""
+    texts = spread_small(samples.select(*by, column))
     return (
-        samples.select(*by, F.explode(tokenizer(F.col(column))).alias("token"))
+        texts.select(*by, F.explode(tokenizer(F.col(column))).alias("token"))
         .groupBy(*by, "token")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
@@ -46,30 +49,31 @@ def compare_tokens(frequencies: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """
     slices = list(by)
     counts = materialize(frequencies, "tokens")
-    human = counts.filter(F.col("Generator") == HUMAN).select(
-        *slices, "token", F.col("cnt").alias("hc"), F.lit(0).cast("bigint").alias("ac")
-    )
-    ai = counts.filter(F.col("Generator") != HUMAN).select(
-        *slices, "Generator", "token", F.lit(0).cast("bigint").alias("hc"), F.col("cnt").alias("ac")
+    human, ai = counts.filter(F.col("Generator") == HUMAN), counts.filter(F.col("Generator") != HUMAN)
+    # One small row per comparison with the totals of its two sides ...
+    ai_totals = ai.groupBy(*slices, "Generator").agg(F.sum("cnt").alias("at"))
+    human_totals = human.groupBy(*slices).agg(F.sum("cnt").alias("ht"))
+    same_slice = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in slices], F.lit(True))
+    totals = materialize(
+        ai_totals.join(human_totals.withColumnsRenamed({c: f"_{c}" for c in slices}), same_slice)
+        .filter("ht > 0 and at > 0")
+        .select(*slices, "Generator", "ht", "at"),
+        "totals",
     )
-    # Human tokens appear in the comparison with each generator of their slice.
-    rivals = ai.groupBy(*slices).agg(F.collect_set("Generator").alias("rivals"))
-    if slices:
-        spread = lookup_join(human, rivals, slices, spread_by=["token"])
-    else:
-        spread = human.join(F.broadcast(rivals))
-    spread = spread.select(*slices, F.explode("rivals").alias("Generator"), "token", "hc", "ac")
+    # ... and a human token meets all generators of its slice.
+    rivals = totals.groupBy(*slices).agg(F.collect_list("Generator").alias("rivals"))
+    met = lookup_join(human, rivals, slices, spread_by=["token"]) if slices else human.join(F.broadcast(rivals))
+    zero = F.lit(0).cast("bigint")
     pairs = (
-        ai.unionByName(spread)
+        ai.select(*slices, "Generator", "token", zero.alias("hc"), F.col("cnt").alias("ac"))
+        .unionByName(
+            met.select(
+                *slices, F.explode("rivals").alias("Generator"), "token", F.col("cnt").alias("hc"), zero.alias("ac")
+            )
+        )
         .groupBy(*slices, "Generator", "token")
         .agg(F.sum("hc").alias("hc"), F.sum("ac").alias("ac"))
     )
-    totals = (
-        ai.unionByName(spread)
-        .groupBy(*slices, "Generator")
-        .agg(F.sum("hc").alias("ht"), F.sum("ac").alias("at"))
-        .filter("ht > 0 and at > 0")
-    )
     compared = lookup_join(pairs, totals, slices + ["Generator"], spread_by=["token"])
     human_share = F.col("hc") / F.col("ht").cast("double")
     ai_share = F.col("ac") / F.col("at").cast("double")

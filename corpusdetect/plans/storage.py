@@ -51,16 +51,16 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
 SMALL_TASK_BYTES = 32 * 1024 * 1024
 
 
-def spread_small(df: DataFrame, key: str) -> DataFrame:
+def spread_small(df: DataFrame, key: str | None = None) -> DataFrame:
     """Spread a small input over all cores before work that multiplies its rows.
 
     A small file is read in a single task, whatever is done with its rows
     afterwards. Inputs large enough to fill the cluster with scan tasks are left
     alone, as shuffling whole texts would cost more than it gains. Decided on
-    the planner's size estimate.
+    the planner's size estimate. Rows are dealt out evenly, or by ``key``.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     if int(str(estimate)) >= cores * SMALL_TASK_BYTES:
         return df
-    return df.repartition(cores, key)
+    return df.repartition(cores, *([key] if key else []))
