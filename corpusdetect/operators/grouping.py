@@ -64,13 +64,10 @@ def pages(df: DataFrame, order: Sequence[Column], size: int) -> DataFrame:
     A batch is final when it could not be filled, so a table whose length is a
     multiple of ``size`` ends with a full batch that is the last one too.
     """
-    numbered = global_index(df, order, "_index").withColumn(
-        "batch_id", F.floor(F.col("_index") / F.lit(size)).cast("bigint")
-    )
-    last = numbered.agg(F.max("batch_id").alias("_last"))
-    # The right side is a single aggregate row.
+    page = lambda row: F.floor(row / F.lit(size)).cast("bigint")
     return (
-        numbered.join(F.broadcast(last))
-        .withColumn("final", F.col("batch_id") == F.col("_last"))
-        .drop("_index", "_last")
+        global_index(df, order, "_index", total="_total")
+        .withColumn("batch_id", page(F.col("_index")))
+        .withColumn("final", F.col("batch_id") == page(F.col("_total") - 1))
+        .drop("_index", "_total")
     )

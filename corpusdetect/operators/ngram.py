@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import Tokenizer, characters
 from ..plans.joins import lookup_join
-from ..plans.storage import materialize, spread_small
+from ..plans.storage import by_key, materialize
 
 # Most statistics entries sent to every executor (some 100 bytes each).
 BROADCAST_ENTRIES = 1_000_000
@@ -43,10 +43,12 @@ def bigram_counts(
     The first element of ``keep`` identifies the sample. The first token of a
     text has a null ``ctx``, a text without tokens one row with a null token.
     Training and scoring both start from this table, so a text is tokenized
-    once. It is stored by sample: later sums per sample then combine in the
-    task that reads them.
+    once. The texts are partitioned by sample before they are taken apart: the
+    counts, many times their size, are then never shuffled, and later sums per
+    sample combine in the task that reads them.
     """
-    tokens = spread_small(samples, keep[0]).select(*keep, tokenizer(F.col(column)).alias("_tokens"))
+    texts = by_key(samples.select(*keep, column), keep[0])
+    tokens = texts.select(*keep, tokenizer(F.col(column)).alias("_tokens"))
     count = F.size("_tokens")
     before = F.slice("_tokens", F.lit(1), F.greatest(count - 1, F.lit(0)))
     start = F.array(F.lit(None).cast("string"))
@@ -56,7 +58,7 @@ def bigram_counts(
         .groupBy(*keep, "ctx", "token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return materialize(counted.repartition(F.col(keep[0])), "bigrams")
+    return materialize(counted, "bigrams")
 
 
 def train(

@@ -2,9 +2,10 @@
 
 from .joins import fits_broadcast, lookup_join
 from .ranking import global_index, range_buckets
-from .storage import materialize, scratch_path, shared_folder, spread_small
+from .storage import by_key, materialize, scratch_path, shared_folder, spread_small
 
 __all__ = [
+    "by_key",
     "fits_broadcast",
     "global_index",
     "lookup_join",

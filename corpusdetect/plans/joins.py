@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 # A lookup side with at most this many rows is sent to every executor.
 BROADCAST_ROWS = 200_000
-SALTS = 16
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -24,20 +23,24 @@ def lookup_join(
     how: str = "inner",
     spread_by: Sequence[str] | None = None,
     max_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    salts: int = 1,
     fits: bool | None = None,
 ) -> DataFrame:
     """Join ``big`` to ``small`` on ``on``; ``how`` keeps or filters the big side.
 
     Within ``max_rows`` the small side is broadcast. Beyond it both sides are
-    shuffled, and every key is spread over ``salts`` partitions: a big row goes
-    to the one given by a hash of its ``spread_by`` columns, a small row to all
-    of them. A key that holds a third of the big side is thus divided too.
+    shuffled; adaptive execution then cuts the partition of a key that holds a
+    third of the big side into tasks of normal size, at the cost of re-reading
+    the small side's partition there only. In sessions without adaptive
+    execution set ``salts``: a big row goes to the part of its key given by a
+    hash of its ``spread_by`` columns, a small row to all parts.
     ``fits`` is the outcome of an earlier check of the same small side.
     """
     on = list(on)
     if fits_broadcast(small, max_rows) if fits is None else fits:
         return big.join(F.broadcast(small), on, how)
+    if salts == 1:
+        return big.join(small, on, how)
     spread = [F.col(c) for c in (spread_by or big.columns)]
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

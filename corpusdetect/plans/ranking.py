@@ -22,9 +22,13 @@ def range_buckets(df: DataFrame, keys: Sequence[str], value: str, name: str = "_
     return df.repartitionByRange(*order).withColumn(name, F.spark_partition_id())
 
 
-def global_index(df: DataFrame, order: Sequence[Column], name: str = "index") -> DataFrame:
+def global_index(
+    df: DataFrame, order: Sequence[Column], name: str = "index", total: str | None = None
+) -> DataFrame:
     """Consecutive numbers from 0 in the total order ``order``.
 
+    ``total`` names a further column for the number of all rows.
+
     The rows are range-partitioned and written once; each range is numbered by
     itself and shifted by the number of rows before it. ``order`` must be total
     for a repeatable result. No window spans the table: the widest one covers
@@ -37,13 +41,18 @@ def global_index(df: DataFrame, order: Sequence[Column], name: str = "index") ->
     offsets = (
         ranged.groupBy("_part")
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+        .select(
+            "_part",
+            F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
+            F.sum("_rows").over(Window.partitionBy()).alias("_total"),
+        )
     )
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     # One row per partition of the range shuffle: bounded by its partition count.
-    return (
+    numbered = (
         ranged.withColumn("_within", within)
         .join(F.broadcast(offsets), "_part")
         .withColumn(name, F.col("_offset") + F.col("_within") - F.lit(1).cast("bigint"))
         .drop("_part", "_within", "_offset")
     )
+    return numbered.withColumnRenamed("_total", total) if total else numbered.drop("_total")

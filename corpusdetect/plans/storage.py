@@ -49,18 +49,35 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
 
 # Input that fills a task at most this much counts as small.
 SMALL_TASK_BYTES = 32 * 1024 * 1024
+# Size of a task's input, and number of tasks, when rows are dealt out by key.
+KEYED_TASK_BYTES = 256 * 1024 * 1024
+KEYED_TASKS = 100_000
 
 
-def spread_small(df: DataFrame, key: str | None = None) -> DataFrame:
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's size estimate, an upper bound for scans and filters."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread_small(df: DataFrame) -> DataFrame:
     """Spread a small input over all cores before work that multiplies its rows.
 
     A small file is read in a single task, whatever is done with its rows
     afterwards. Inputs large enough to fill the cluster with scan tasks are left
-    alone, as shuffling whole texts would cost more than it gains. Decided on
-    the planner's size estimate. Rows are dealt out evenly, or by ``key``.
+    alone, as shuffling whole texts would cost more than it gains.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(estimate)) >= cores * SMALL_TASK_BYTES:
+    if estimated_bytes(df) >= cores * SMALL_TASK_BYTES:
         return df
-    return df.repartition(cores, *([key] if key else []))
+    return df.repartition(cores)
+
+
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """Partition by ``key``, so that later groupings that include it need no shuffle.
+
+    Meant for rows that are about to multiply: moving texts once is far cheaper
+    than moving what they are taken apart into. The key must be (nearly) unique.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = min(max(cores, estimated_bytes(df) // KEYED_TASK_BYTES), KEYED_TASKS)
+    return df.repartition(tasks, key)

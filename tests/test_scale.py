@@ -21,8 +21,10 @@ def test_salted_join_equals_plain_join(spark, how):
     big = spark.range(300).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 0 ELSE id % 50 END AS k")
     small = spark.range(0, 40, 2).selectExpr("id AS k", "id * 10 AS v").unionByName(spark.createDataFrame([(0, 99)], "k long, v long"))
     plain = big.join(small, ["k"], how)
-    salted = lookup_join(big, small, ["k"], how, max_rows=3)
-    assert sorted(map(tuple, salted.select(*plain.columns).collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    wanted = sorted(map(tuple, plain.collect()), key=str)
+    for salts in (1, 16):
+        found = lookup_join(big, small, ["k"], how, max_rows=3, salts=salts)
+        assert sorted(map(tuple, found.select(*plain.columns).collect()), key=str) == wanted
 
 
 def test_global_index_is_consecutive(spark):
