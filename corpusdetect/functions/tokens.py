@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.joins import lookup_join
 from ..plans.ranking import global_index
 
 Tokenizer = Callable[[Column], Column]
@@ -59,3 +60,27 @@ def join_tokens(tokens: Column, separator: str = " ") -> Column:
 def vocabulary(tokens: DataFrame, token: str = "token") -> DataFrame:
     """``(token, token_id)``: every distinct token numbered in sort order from 0."""
     return global_index(tokens.select(token).distinct(), [F.col(token)], "token_id")
+
+
+def encode_ids(
+    texts: DataFrame, vocab: DataFrame, key: str, tokenizer: Tokenizer = words, column: str = "Code"
+) -> DataFrame:
+    """``(key, ids)``: every text as the vocabulary numbers of its tokens, in order.
+
+    A token outside the vocabulary is null. Lists are as long as their texts.
+    """
+    tokens = texts.select(key, F.posexplode(tokenizer(F.col(column))).alias("pos", "token"))
+    return _gather(lookup_join(tokens, vocab, ["token"], "left", [key, "pos"]), key, "token_id", "ids")
+
+
+def decode_ids(encoded: DataFrame, vocab: DataFrame, key: str, separator: str = " ") -> DataFrame:
+    """``(key, text)``: the tokens of the numbers, joined."""
+    numbers = encoded.select(key, F.posexplode("ids").alias("pos", "token_id"))
+    tokens = _gather(lookup_join(numbers, vocab, ["token_id"], "left", [key, "pos"]), key, "token", "tokens")
+    return tokens.select(key, join_tokens(F.col("tokens"), separator).alias("text"))
+
+
+def _gather(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """The values of each text as one list in the order of their positions."""
+    ordered = F.sort_array(F.collect_list(F.struct("pos", value)))
+    return rows.groupBy(key).agg(ordered.alias("_rows")).select(key, F.col(f"_rows.{value}").alias(name))

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import probability as pr
 from ..functions.text import prompt_hash, sample_row_hash
 from ..plans.joins import lookup_join
-from ..schemas import DETECTION_SCHEMA
+from ..schemas import DETECTION_SCHEMA, TOKEN_STATS_SCHEMA
 
 
 @dataclass(frozen=True)
@@ -153,6 +153,16 @@ def coverage(
     return wanted.join(counted, ["Detector", "BaseModel"], "left").fillna(0, ["rows"])
 
 
+def statistics_from_model(samples: DataFrame, scorer: Callable[[Iterator], Iterator]) -> DataFrame:
+    """Token statistics of an external model.
+
+    ``scorer`` maps batches of sample rows (pandas frames) to batches of
+    token-statistics rows, any number per sample; it runs next to the data, so
+    a model is loaded once per task.
+    """
+    return samples.mapInPandas(scorer, TOKEN_STATS_SCHEMA)
+
+
 # ------------------------------------------------- statistics from logits
 
 
@@ -162,8 +172,6 @@ def shift_labels(dist: DataFrame) -> DataFrame:
     Adds ``label`` and ``label_pad``; the last position of a sample has no
     successor and is dropped.
     """
-    from pyspark.sql import Window
-
     order = Window.partitionBy("sample_id", "model").orderBy("pos")
     return (
         dist.withColumn("label", F.lead("token_id").over(order))

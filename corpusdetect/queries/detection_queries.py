@@ -269,3 +269,27 @@ def custom_detector(spark, folder):
     stats = ngram.token_statistics(counted, ngram.train(counted, ("en",)))
     perplexity = det.Detector(F.exp(-F.try_divide(F.sum(F.col("n") * F.col("logprob")), F.sum("n"))))
     return det.score(stats, {"perplexity": perplexity}).select("sample_id", r6("Value").alias("Value"))
+
+
+def _own_alphabet(batches):
+    """A model that finds every character a text uses equally likely."""
+    import numpy as np
+    import pandas as pd
+
+    for batch in batches:
+        kinds = batch["Code"].map(lambda text: len(set(text))).clip(lower=1)
+        frame = pd.DataFrame({"sample_id": batch["sample_id"], "model": "own", "model2": None, "n": batch["Code"].str.len()})
+        yield frame.assign(
+            logprob=-np.log(kinds), entropy=np.log(kinds), rank=1.0, mu=np.nan, var=np.nan, xent=np.nan, is_pad=False
+        )
+
+
+@query("custom_model", f"""SELECT doc_id AS sample_id, unnest(['loglikelihood', 'entropy', 'rank']) AS Detector,
+    unnest([{sql6('-ln(k)')}, {sql6('ln(k)')}, 1e0]) AS Value
+    FROM (SELECT doc_id, len(list_distinct(string_split(text, ''))) AS k FROM documents WHERE length(text) > 0)""")
+def custom_model(spark, folder):
+    """A user's model behind the built-in detectors, in Arrow batches."""
+    docs = corpus(spark, folder).filter(F.length("Code") > 0).select("sample_id", "Code")
+    wanted = {n: d for n, d in det.detectors().items() if not d.needs_pair}
+    scores = det.score(det.statistics_from_model(docs, _own_alphabet), wanted)
+    return scores.select("sample_id", "Detector", r6("Value").alias("Value"))

@@ -7,7 +7,17 @@ from pyspark.sql import functions as F
 from ..functions import languages as lang
 from ..functions import text as tx
 from ..functions.scores import default_setting
-from ..functions.tokens import characters, token_count, vocabulary, words, words_and_marks
+from ..functions.tokens import (
+    characters,
+    decode_ids,
+    encode_ids,
+    join_tokens,
+    token_count,
+    vocabulary,
+    words,
+    words_and_marks,
+)
+from ..plans.storage import materialize
 from ..operators import filters as flt
 from ..operators import frequencies as fq
 from ..operators import grouping as gp
@@ -368,8 +378,6 @@ def token_counts(spark, folder):
 
 @query("detokenise", sql("samples", select=f"SELECT sample_id, array_to_string({_WORDS}, ' ') AS text FROM samples"))
 def detokenise(spark, folder):
-    from ..functions.tokens import join_tokens
-
     return samples(spark, folder).select("sample_id", join_tokens(words(F.col("Code"))).alias("text"))
 
 
@@ -454,3 +462,22 @@ def token_top15_by_dataset(spark, folder):
 def token_top15_python(spark, folder):
     rows = flt.languages(["python"])(samples(spark, folder).filter(default_setting()))
     return _top(fq.compare_tokens(fq.token_frequencies(rows)))
+
+
+@query("token_id_round_trip", rf"SELECT item_id, array_to_string(regexp_extract_all(text, '\S+'), ' ') AS text FROM benchmark WHERE regexp_matches(text, '\S')")
+def token_id_round_trip(spark, folder):
+    """Texts to vocabulary numbers and back."""
+    texts = table(spark, folder, "benchmark")
+    tokens = texts.select(F.explode(words(F.col("text"))).alias("token"))
+    vocab = materialize(vocabulary(tokens), "vocabulary")
+    return decode_ids(encode_ids(texts, vocab, "item_id", words, "text"), vocab, "item_id")
+
+
+@query("order_restoration", sql("samples", ("sized", f"SELECT sample_id, len({_WORDS}) AS length FROM samples"),
+       select="SELECT sample_id, CAST(length AS INTEGER) AS length, row_number() OVER (ORDER BY sample_id) - 1 AS index FROM sized"))
+def order_restoration(spark, folder):
+    """Rows worked on by size group come back in input order."""
+    grouped = gp.size_groups(_sized(spark, folder), "length", 0.25)
+    # By range, so that a size group with most of the rows fills many tasks.
+    batched = grouped.repartitionByRange("size_group", "length", "sample_id")
+    return gp.running_index(batched.drop("size_group"), [F.col("sample_id")])
