@@ -10,4 +10,4 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from corpusdetect.session import local_session
 
-    return local_session(cpus=4, memory="6g", name="tests")
+    return local_session(cpus=8, memory="12g", name="tests")
