@@ -49,9 +49,6 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
 
 # Input that fills a task at most this much counts as small.
 SMALL_TASK_BYTES = 32 * 1024 * 1024
-# Size of a task's input, and number of tasks, when rows are dealt out by key.
-KEYED_TASK_BYTES = 256 * 1024 * 1024
-KEYED_TASKS = 100_000
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -77,7 +74,9 @@ def by_key(df: DataFrame, key: str) -> DataFrame:
 
     Meant for rows that are about to multiply: moving texts once is far cheaper
     than moving what they are taken apart into. The key must be (nearly) unique.
+    The number of tasks is the session's shuffle setting, at least one per core;
+    a planner's estimate would be useless for derived inputs.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    tasks = min(max(cores, estimated_bytes(df) // KEYED_TASK_BYTES), KEYED_TASKS)
-    return df.repartition(tasks, key)
+    spark = df.sparkSession
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(spark.sparkContext.defaultParallelism, shuffled), key)
