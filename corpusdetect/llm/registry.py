@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hamming, mixing, neighbours
+from . import hamming, mixing, neighbours, tokencount
 from .common import table, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours.nearest(vectors, vectors.where(f"vec_id % {QUERY_STEP} = 0"))
+
+
+@query("op10_count_tokens")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokencount.model_path("piece_bpe_32k.model")
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), path)

@@ -2,8 +2,10 @@
 
 Byte-pair encoding of a prefix is settled locally: the last token at a position is the one piece
 ending there that may follow the last token at the piece's start. What the future can still depend on
-is therefore finite: for every start inside the longest piece, the trie node reached from it, the last
-token there and its count relative to the current one. Such a tuple is a state. A transition reads a
+is therefore finite: for every start inside the longest piece, the trie node reached from it, what
+may follow the last token there, and the count there relative to the current one. Such a tuple is a
+state. Where few pieces are left below a node, those that may follow are listed instead of the last
+token, which makes most states fall together or drop out. A transition reads a
 character and carries the change of the token count. States and transitions are compiled when a text
 first needs them and then live in dense arrays, so texts are scanned in many lanes at once.
 
@@ -16,8 +18,12 @@ from __future__ import annotations
 import numpy as np
 
 SPACE = "▁"
-# Arrays are compiled anew beyond this many entries.
-MAX_ENTRIES = 24_000_000
+# Below a trie node with at most this many pieces, those that may follow are listed.
+FEW = 16
+# Arrays are compiled anew beyond this many entries, and what only speeds up compiling is forgotten
+# beyond this many facts: workers keep a bounded memory.
+MAX_ENTRIES = 30_000_000
+MAX_FACTS = 500_000
 # Characters that a lane reads.
 LANE = 384
 _MOST = 0x110000
@@ -48,24 +54,79 @@ class Pieces:
                 node = self.nodes[node][c]
             self.piece_at[node] = piece
         self.characters = {c for p in self.rank for c in p}
+        self.neighbours = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
+        self.below: list[tuple[int, ...] | None] = [()] * len(self.nodes)
+        for node in range(len(self.nodes) - 1, -1, -1):  # children have larger numbers
+            own = [x for child in self.nodes[node].values() for x in (child, *(self.below[child] or ()))]
+            own = [x for x in own if self.piece_at[x] is not None]
+            wide = any(self.below[child] is None for child in self.nodes[node].values())
+            self.below[node] = None if wide or len(own) > FEW else tuple(sorted(own))
         self._pairs: dict[tuple[str, str], bool] = {}
+        self._own: dict[str, tuple] = {}
+        self._guards: dict[tuple, tuple] = {}
 
-    def encode(self, text: str) -> list[str]:
-        """Merge the best-ranked neighbours until none are a piece; the leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            ranks = [self.rank.get(a + b, np.inf) for a, b in zip(parts, parts[1:], strict=False)]
-            at = min(range(len(ranks)), key=ranks.__getitem__)
-            if ranks[at] == np.inf:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+    def forget(self, most: int = 0) -> None:
+        for x in (self._pairs, self._own, self._guards):
+            if len(x) > most:
+                x.clear()
+
+    def _merges(self, piece: str) -> tuple[list[float], list[str], list[str]]:
+        """Ranks of a piece's own merges in order, then infinity; first and last part before each."""
+        known = self._own.get(piece)
+        if known is None:
+            parts, ranks, first, last = list(piece), [], [piece[0]], [piece[-1]]
+            while len(parts) > 1:
+                pairs = [self.rank.get(a + b, np.inf) for a, b in zip(parts, parts[1:], strict=False)]
+                at = min(range(len(pairs)), key=pairs.__getitem__)
+                if pairs[at] == np.inf:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                ranks.append(pairs[at])
+                first.append(parts[0])
+                last.append(parts[-1])
+            ranks.append(np.inf)
+            known = self._own[piece] = (ranks, first, last)
+        return known
 
     def follows(self, a: str, b: str) -> bool:
-        """Whether the border between two neighbouring pieces survives all merges."""
+        """Whether the border between two neighbouring pieces survives all merges.
+
+        The best-ranked merge comes first, the leftmost of equals: those inside each piece are known,
+        so only the pair at the border has to be looked up.
+        """
         known = self._pairs.get((a, b))
         if known is None:
-            known = self._pairs[a, b] = self.encode(a + b) == [a, b]
+            known = a[-1] + b[0] not in self.neighbours
+            if not known:
+                left, _, ends = self._merges(a)
+                right, begins, _ = self._merges(b)
+                i = j = 0
+                while True:
+                    across = self.rank.get(ends[i] + begins[j], np.inf)
+                    if left[i] <= across and left[i] <= right[j]:
+                        if left[i] == np.inf:
+                            known = True
+                            break
+                        i += 1
+                    elif across <= right[j]:
+                        break
+                    else:
+                        j += 1
+            self._pairs[a, b] = known
+        return known
+
+    def guard(self, node: int, last: str | tuple):
+        """What of the pieces below ``node`` may come: those listed, or those after ``last``."""
+        below = self.below[node]
+        if below is None or not last:
+            return last if below is None else below
+        known = self._guards.get((node, last))
+        if known is None:
+            if isinstance(last, tuple):
+                known = tuple(x for x in below if x in last)
+            else:
+                known = tuple(x for x in below if self.follows(last, self.piece_at[x]))
+            self._guards[node, last] = known
         return known
 
 
@@ -75,7 +136,7 @@ class CountTransducer:
         self._forget()
 
     def _forget(self) -> None:
-        # A state: ((trie node, last token, count before now), …), one entry per open start.
+        # A state: ((trie node, last token or pieces that may come, count before now), …) by open start.
         self.states: dict[tuple, int] = {}
         self.keys: list[tuple] = []
         self.columns = np.full(_MOST, -1, dtype=np.int32)
@@ -83,7 +144,7 @@ class CountTransducer:
         self.next = np.full((1024, 64), -1, dtype=np.int32)
         self.gain = np.zeros((1024, 64), dtype=np.int8)
         self.first = self._state(((0, "", 0),))
-        self.pieces._pairs.clear()
+        self.pieces.forget()
 
     def _state(self, key: tuple) -> int:
         known = self.states.get(key)
@@ -110,16 +171,21 @@ class CountTransducer:
             if reached is None:
                 continue
             piece = piece_at[reached]
-            if piece is not None and (not last or self.pieces.follows(last, piece)):
+            if piece is not None and (
+                reached in last if isinstance(last, tuple) else not last or self.pieces.follows(last, piece)
+            ):
                 if found is not None:
                     raise ValueError(f"{found[0]!r} and {piece!r} both end here: merges are not local")
                 found = (piece, before + 1)
             if nodes[reached]:
-                opened.append((reached, last, before))
+                guard = self.pieces.guard(reached, last)
+                if guard != ():
+                    opened.append((reached, guard, before))
         if found is None:
             raise ValueError(f"no piece ends with {letter!r} here")
         piece, gain = found
-        key = tuple(sorted((node, last, before - gain) for node, last, before in opened)) + ((0, piece, 0),)
+        # Entries come in the order of their starts, the longest first.
+        key = (*((node, guard, before - gain) for node, guard, before in opened), (0, piece, 0))
         self.next[state, column], self.gain[state, column] = self._state(key), gain
 
     def _columns_of(self, codes: np.ndarray) -> np.ndarray:
@@ -132,7 +198,7 @@ class CountTransducer:
                     self.columns[code] = -1 - len(letter.encode("utf-8", "surrogatepass"))
                     continue
                 if len(self.letters) == self.next.shape[1]:
-                    self._grow(len(self.next), self.next.shape[1] * 2)
+                    self._grow(len(self.next), self.next.shape[1] + 16)
                 self.columns[code] = len(self.letters)
                 self.letters.append(letter)
             columns = self.columns[codes]
@@ -142,6 +208,7 @@ class CountTransducer:
         """Tokens of every text; each gets a space symbol in front, an empty one has none."""
         if self.next.size > MAX_ENTRIES:
             self._forget()
+        self.pieces.forget(MAX_FACTS)
         lengths = np.array([len(t) + 1 if t else 0 for t in texts], dtype=np.int64)
         total = int(lengths.sum())
         if not total:
