@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hamming, mixing, neighbours, tokencount
+from . import hamming, mixing, neighbours, packing, tokencount
 from .common import table, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.where(f"vec_id % {QUERY_STEP} = 0"))
 
 
+@query("op7_pack_documents")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokencount.model_path("byte_bpe_50k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), path)
+
+
 @query("op10_count_tokens")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokencount.model_path("piece_bpe_32k.model")
