@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hamming, mixing, neighbours, packing, tokencount
+from . import hamming, mixing, neighbours, packing, secretscan, tokencount
 from .common import table, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), path)
 
 
+@query("op8_scan_secrets")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op10_count_tokens")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokencount.model_path("piece_bpe_32k.model")
