@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hamming, mixing, neighbours, packing, secretscan, tokencount
+from . import hamming, langid, mixing, neighbours, packing, secretscan, tokencount, toxicity
 from .common import table, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op2_identify_language")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 # Searches ask for the rows whose id is divisible by this.
 QUERY_STEP = 50
 
@@ -39,6 +45,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.top_k(vectors, vectors.where(f"vec_id % {QUERY_STEP} = 0"))
 
 
+@query("op5_score_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op6_nearest_neighbours")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
