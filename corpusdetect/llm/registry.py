@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hamming, langid, mixing, neighbours, packing, secretscan, tokencount, toxicity
+from . import hamming, langid, mixing, neardup, neighbours, packing, secretscan, tokencount, toxicity
 from .common import table, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
+@query("op3_near_duplicates", neardup.ORACLE)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 # Searches ask for the rows whose id is divisible by this.
 QUERY_STEP = 50
 
