@@ -212,11 +212,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
         (F.col("_toxic") == toxic) & below_rate(F.col("_id"), wanted[toxic] / n, SEED) for toxic, n in sizes.items()
     ]
     chosen = known.where(keep[0] | keep[-1]) if keep else known
-    text = F.col(text_col)
+    # As many ids as the sample has rows: the texts need not be moved to meet them.
     return (
-        docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
+        docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
         .where(F.length("_text") <= MAX_CHARS)
-        .join(chosen, "_id")
+        .join(F.broadcast(chosen), "_id")
         .select("_id", "_text", "_toxic")
     )
 
