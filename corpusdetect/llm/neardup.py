@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import materialize
@@ -348,6 +348,18 @@ def near_duplicates(
     )
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows, unchanged, of the kept documents; repeated ids once, rows without an id all."""
+    described = materialize(near_duplicates(docs, id_col, text_col, **options), "near-duplicates")
+    gone = described.where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
+    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    ids = described.where("kept AND doc_id IS NOT NULL").groupBy("doc_id")
+    if ids.count().where("count > 1").isEmpty():
+        return kept
+    by_id = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
+    return kept.withColumn("__n", F.row_number().over(by_id)).where(f"__n = 1 OR {id_col} IS NULL").drop("__n")
+
+
 ORACLE = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hamming, langid, mixing, neardup, neighbours, packing, secretscan, tokencount, toxicity
+from . import hamming, langid, mixing, neardup, neighbours, packing, secretscan, tokencount, toxicity, warc
 from .common import table, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan(table(spark, sf_dir, "documents"))
 
 
+@query("op9_archive_pages", warc.ORACLE)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.capture_histories(table(spark, sf_dir, "pages"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op10_count_tokens")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokencount.model_path("piece_bpe_32k.model")
