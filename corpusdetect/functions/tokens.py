@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,27 +27,6 @@ def characters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda token: token != "")
 
 
-def byte_pairs(encoding: str = "o200k_base") -> Tokenizer:
-    """Byte-pair tokens of a named encoding, through the optional tiktoken package."""
-    try:
-        import tiktoken
-    except ImportError as error:
-        raise RuntimeError("byte_pairs needs the tiktoken package") from error
-    tiktoken.get_encoding(encoding)
-
-    @F.pandas_udf("array<string>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = tiktoken.get_encoding(encoding)
-        for texts in batches:
-            yield texts.map(
-                lambda text: None
-                if text is None
-                else [coder.decode([t]) for t in coder.encode(text, allowed_special="all")]
-            )
-
-    return encode
-
-
 def token_count(tokens: Column) -> Column:
     return F.size(tokens)
 
@@ -67,20 +45,21 @@ def encode_ids(
 ) -> DataFrame:
     """``(key, ids)``: every text as the vocabulary numbers of its tokens, in order.
 
-    A token outside the vocabulary is null. Lists are as long as their texts.
+    A token outside the vocabulary is null. Lists are as long as their texts; a text without tokens
+    has an empty list.
     """
-    tokens = texts.select(key, F.posexplode(tokenizer(F.col(column))).alias("pos", "token"))
+    tokens = texts.select(key, F.posexplode_outer(tokenizer(F.col(column))).alias("pos", "token"))
     return _gather(lookup_join(tokens, vocab, ["token"], "left", [key, "pos"]), key, "token_id", "ids")
 
 
 def decode_ids(encoded: DataFrame, vocab: DataFrame, key: str, separator: str = " ") -> DataFrame:
     """``(key, text)``: the tokens of the numbers, joined."""
-    numbers = encoded.select(key, F.posexplode("ids").alias("pos", "token_id"))
+    numbers = encoded.select(key, F.posexplode_outer("ids").alias("pos", "token_id"))
     tokens = _gather(lookup_join(numbers, vocab, ["token_id"], "left", [key, "pos"]), key, "token", "tokens")
     return tokens.select(key, join_tokens(F.col("tokens"), separator).alias("text"))
 
 
 def _gather(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """The values of each text as one list in the order of their positions."""
-    ordered = F.sort_array(F.collect_list(F.struct("pos", value)))
+    ordered = F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", value))))
     return rows.groupBy(key).agg(ordered.alias("_rows")).select(key, F.col(f"_rows.{value}").alias(name))

@@ -199,6 +199,46 @@ def statistics_from_logits(shifted: DataFrame, temperature: float = 1.0) -> Data
     )
 
 
+def _pair_positions(shifted: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Every position that either model of a pair has, and whether both agree on it."""
+    first = lookup_join(shifted, pairs, ["model"], spread_by=["sample_id", "pos"]).select(
+        "sample_id", "pos", "model", "model2", "label", "label_pad", "logits", F.lit(True).alias("here")
+    )
+    seconds = pairs.select("model", F.col("model2").alias("second"))
+    second = (
+        shifted.withColumnRenamed("model", "second")
+        .join(seconds, "second")
+        .select(
+            "sample_id",
+            "pos",
+            "model",
+            F.col("second").alias("model2"),
+            F.col("label").alias("label2"),
+            F.col("label_pad").alias("pad2"),
+            F.col("logits").alias("logits2"),
+            F.lit(True).alias("there"),
+        )
+    )
+    agree = (
+        F.col("here").isNotNull()
+        & F.col("there").isNotNull()
+        & F.col("label").eqNullSafe(F.col("label2"))
+        & F.col("label_pad").eqNullSafe(F.col("pad2"))
+    )
+    return first.join(second, ["sample_id", "pos", "model", "model2"], "full").withColumn("agree", agree)
+
+
+def pair_mismatches(shifted: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(sample_id, pos, model, model2, reason)``: positions on which a pair does not agree."""
+    reason = (
+        F.when(F.col("there").isNull(), F.lit("first model only"))
+        .when(F.col("here").isNull(), F.lit("second model only"))
+        .otherwise(F.lit("different token or padding"))
+    )
+    rows = _pair_positions(shifted, pairs).filter(~F.col("agree"))
+    return rows.select("sample_id", "pos", "model", "model2", reason.alias("reason"))
+
+
 def pair_statistics_from_logits(
     shifted: DataFrame,
     pairs: DataFrame,
@@ -208,24 +248,15 @@ def pair_statistics_from_logits(
     """Token statistics of model pairs; ``pairs`` is (model, model2), one row each.
 
     Both distributions are cut to the smaller vocabulary. Positions at which
-    the models disagree on token or padding fail the job, or are left out with
-    ``on_mismatch="drop"``.
+    the models disagree on token or padding, and those that only one of them
+    has, fail the job, or are left out with ``on_mismatch="drop"``
+    (:func:`pair_mismatches` lists them).
     """
-    base = lookup_join(shifted, pairs, ["model"], spread_by=["sample_id", "pos"])
-    second = shifted.select(
-        "sample_id",
-        "pos",
-        F.col("model").alias("model2"),
-        F.col("label").alias("label2"),
-        F.col("label_pad").alias("pad2"),
-        F.col("logits").alias("logits2"),
-    )
-    joined = base.join(second, ["sample_id", "pos", "model2"])
-    agree = F.col("label").eqNullSafe(F.col("label2")) & F.col("label_pad").eqNullSafe(F.col("pad2"))
+    joined = _pair_positions(shifted, pairs)
     if on_mismatch == "drop":
-        joined = joined.filter(agree)
+        joined = joined.filter("agree")
     elif on_mismatch == "error":
-        checked = F.when(agree, F.col("label")).otherwise(
+        checked = F.when(F.col("agree"), F.col("label")).otherwise(
             F.raise_error(F.lit("the two models tokenize a sample differently")).cast("int")
         )
         joined = joined.withColumn("label", checked)

@@ -62,7 +62,7 @@ def compare_tokens(frequencies: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
     # ... and a human token meets all generators of its slice.
     rivals = totals.groupBy(*slices).agg(F.collect_list("Generator").alias("rivals"))
-    met = lookup_join(human, rivals, slices, spread_by=["token"]) if slices else human.join(F.broadcast(rivals))
+    met = lookup_join(human, rivals, slices, spread_by=["token"]) if slices else human.crossJoin(F.broadcast(rivals))
     zero = F.lit(0).cast("bigint")
     pairs = (
         ai.select(*slices, "Generator", "token", zero.alias("hc"), F.col("cnt").alias("ac"))

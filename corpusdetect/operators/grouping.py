@@ -16,7 +16,7 @@ def size_groups(df: DataFrame, length: str, max_diff: int | float) -> DataFrame:
 
     A group starts at its shortest member and ends before the first row that
     is more than ``max_diff`` longer: an int is a number of tokens, a float a
-    share of the longer row. Adds ``size_group``.
+    share of the longer row. Adds ``size_group``, null where the length is null.
 
     Group borders depend only on which lengths occur, not on how often, so the
     fold runs over the distinct integer lengths (no more than the token count
@@ -50,7 +50,7 @@ def size_groups(df: DataFrame, length: str, max_diff: int | float) -> DataFrame:
         F.explode(F.sequence(F.col("first"), F.coalesce(following, F.col("last")))).alias("_length"),
     )
     keyed = df.withColumn("_length", F.col(length).cast("int"))
-    return lookup_join(keyed, groups, ["_length"]).drop("_length")
+    return lookup_join(keyed, groups, ["_length"], "left").drop("_length")
 
 
 def running_index(df: DataFrame, order: Sequence[Column], name: str = "index") -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import FLIPPED
+from ..plans.joins import lookup_join
 from ..schemas import HUMAN
 from .evaluation import auroc
 
-BEST = "max"
 
 
 def heatmap(
@@ -94,12 +94,13 @@ def matrix(cells: DataFrame, base_models: Sequence[str], by: Sequence[str] = ("D
 def difference(comparison: DataFrame, base: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Comparison minus base where both have the cell.
 
-    Inputs are AUROC tables with (by…, Detector, Generator, BaseModel, auroc).
+    Inputs are AUROC tables with (by…, Detector, Generator, BaseModel, auroc); a null key, such as
+    no second model, meets its like.
     """
     key = list(by) + ["Detector", "Generator", "BaseModel"]
     left = comparison.select(*key, F.col("auroc").alias("comparison"))
     right = base.select(*key, F.col("auroc").alias("base"))
-    return left.join(right, key).withColumn("diff", F.col("comparison") - F.col("base"))
+    return lookup_join(left, right, key).withColumn("diff", F.col("comparison") - F.col("base"))
 
 
 def detector_order(detectors: Sequence[str]) -> Column:

@@ -206,17 +206,21 @@ def token_statistics(
 
 def _unseen(models: BigramModels, entries: Sequence[tuple[str, str | None]]) -> Column:
     """Statistics in a context that no model has seen: the uniform distribution."""
-    spread = f"ln({float(models.vocabulary_size)}D)"
-    rows = ", ".join(
-        f"struct('{m}' AS model, {_text(s)} AS model2, -{spread} AS logprob, {spread} AS entropy, "
-        f"1D AS rank, {'-' + spread if s else 'double(null)'} AS mu, {'0D' if s else 'double(null)'} AS var)"
-        for m, s in entries
-    )
-    return F.expr(f"array({rows})")
-
-
-def _text(value: str | None) -> str:
-    return "string(null)" if value is None else f"'{value}'"
+    spread = F.log(F.lit(float(models.vocabulary_size)))
+    nothing = F.lit(None).cast("double")
+    rows = [
+        F.struct(
+            F.lit(model).alias("model"),
+            F.lit(second).cast("string").alias("model2"),
+            (-spread).alias("logprob"),
+            spread.alias("entropy"),
+            F.lit(1.0).alias("rank"),
+            (-spread if second else nothing).alias("mu"),
+            (F.lit(0.0) if second else nothing).alias("var"),
+        )
+        for model, second in entries
+    ]
+    return F.array(*rows)
 
 
 def _lookup_tables(models, entries, pairs, single):

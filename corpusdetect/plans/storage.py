@@ -47,26 +47,15 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-# Input that fills a task at most this much counts as small.
-SMALL_TASK_BYTES = 32 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The planner's size estimate, an upper bound for scans and filters."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def spread_small(df: DataFrame) -> DataFrame:
     """Spread a small input over all cores before work that multiplies its rows.
 
     A small file is read in a single task, whatever is done with its rows
-    afterwards. Inputs large enough to fill the cluster with scan tasks are left
-    alone, as shuffling whole texts would cost more than it gains.
+    afterwards. Inputs that fill the cores with scan tasks are left alone, as
+    shuffling whole texts would cost more than it gains.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if estimated_bytes(df) >= cores * SMALL_TASK_BYTES:
-        return df
-    return df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def by_key(df: DataFrame, key: str) -> DataFrame:

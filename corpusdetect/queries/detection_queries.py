@@ -198,12 +198,15 @@ def prob_softmax_stats(spark, folder):
         {sql6('sum(exp(b.lp) * a.lp)')} AS mu,
         {sql6('greatest(sum(exp(b.lp) * a.lp * a.lp) - sum(exp(b.lp) * a.lp) * sum(exp(b.lp) * a.lp), 0e0)')} AS var,
         {sql6('-sum(exp(b.lp) * a.lp)')} AS xent
-      FROM soft a JOIN soft b ON b.vec_id = a.vec_id + 1 AND b.tok = a.tok GROUP BY a.vec_id"""))
+      FROM (SELECT *, CASE WHEN vec_id = (SELECT max(vec_id) FROM embeddings) THEN 0 ELSE vec_id + 1 END AS after FROM soft) a
+      JOIN soft b ON b.vec_id = a.after AND b.tok = a.tok GROUP BY a.vec_id"""))
 def prob_pair_stats(spark, folder):
-    """Each vector as the base model, the next one as the second model."""
+    """Each vector as the base model, the next one (for the last the first) as the second model."""
     base = _logits(spark, folder)
-    second = base.select(
-        (F.col("sample_id") - 1).alias("sample_id"), F.lit("m2").alias("model"), "logits",
+    last = base.agg(F.max("sample_id").alias("last"))
+    before = F.when(F.col("sample_id") == 0, F.col("last")).otherwise(F.col("sample_id") - 1)
+    second = base.crossJoin(F.broadcast(last)).select(
+        before.alias("sample_id"), F.lit("m2").alias("model"), "logits",
         F.lit(None).cast("int").alias("label"), "label_pad",
     )
     # Both models must name the same true token, so the second takes the base's.
@@ -214,6 +217,18 @@ def prob_pair_stats(spark, folder):
     return stats.select("sample_id", *[r6(c).alias(c) for c in ("logprob", "mu", "var", "xent")])
 
 
+@query("pair_mismatch", """SELECT vec_id AS sample_id, CASE WHEN vec_id % 5 = 0 THEN 'first model only' WHEN vec_id % 7 = 0 THEN 'second model only'
+      ELSE 'different token or padding' END AS reason FROM embeddings WHERE vec_id % 5 = 0 OR vec_id % 7 = 0 OR vec_id % 11 = 0""")
+def pair_mismatch(spark, folder):
+    """Positions that one model lacks, or has with another token, are named and not lost."""
+    base, number = _logits(spark, folder).withColumn("pos", F.lit(0)), F.col("sample_id")
+    other = F.when(number % 11 == 0, F.col("label") + 1).otherwise(F.col("label"))
+    second = base.withColumn("model", F.lit("m2")).withColumn("label", other).filter(number % 5 != 0)
+    first = base.filter((number % 7 != 0) | (number % 5 == 0))
+    pairs = spark.createDataFrame([("m", "m2")], "model string, model2 string")
+    return det.pair_mismatches(first.unionByName(second), pairs).select("sample_id", "reason")
+
+
 _PADDED = """SELECT label AS sample_id, vec_id, vec_id % 5 = 0 AS is_pad, lp FROM soft WHERE tok = label"""
 
 
@@ -277,19 +292,20 @@ def _own_alphabet(batches):
     import pandas as pd
 
     for batch in batches:
-        kinds = batch["Code"].map(lambda text: len(set(text))).clip(lower=1)
-        frame = pd.DataFrame({"sample_id": batch["sample_id"], "model": "own", "model2": None, "n": batch["Code"].str.len()})
+        texts = batch["Code"].fillna("")
+        kinds = texts.map(lambda text: len(set(text))).clip(lower=1)
+        frame = pd.DataFrame({"sample_id": batch["sample_id"], "model": "own", "model2": None, "n": texts.str.len()})
         yield frame.assign(
             logprob=-np.log(kinds), entropy=np.log(kinds), rank=1.0, mu=np.nan, var=np.nan, xent=np.nan, is_pad=False
         )
 
 
 @query("custom_model", f"""SELECT doc_id AS sample_id, unnest(['loglikelihood', 'entropy', 'rank']) AS Detector,
-    unnest([{sql6('-ln(k)')}, {sql6('ln(k)')}, 1e0]) AS Value
-    FROM (SELECT doc_id, len(list_distinct(string_split(text, ''))) AS k FROM documents WHERE length(text) > 0)""")
+    unnest([{sql6('-ln(k)')}, {sql6('ln(k)')}, CASE WHEN k IS NOT NULL THEN 1e0 END]) AS Value
+    FROM (SELECT doc_id, CASE WHEN length(text) > 0 THEN len(list_distinct(string_split(text, ''))) END AS k FROM documents)""")
 def custom_model(spark, folder):
     """A user's model behind the built-in detectors, in Arrow batches."""
-    docs = corpus(spark, folder).filter(F.length("Code") > 0).select("sample_id", "Code")
+    docs = corpus(spark, folder).select("sample_id", "Code")
     wanted = {n: d for n, d in det.detectors().items() if not d.needs_pair}
     scores = det.score(det.statistics_from_model(docs, _own_alphabet), wanted)
     return scores.select("sample_id", "Detector", r6("Value").alias("Value"))

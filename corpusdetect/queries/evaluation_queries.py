@@ -10,7 +10,7 @@ from ..operators import filters as flt
 from ..operators import heatmaps as hm
 from ..operators import trends as tr
 from .registry import query, r6, sql6
-from .views import AFTER, BEFORE, DETECTORS, GENERATORS, canonical_sql, detections, sql, table
+from .views import AFTER, BEFORE, DETECTORS, GENERATORS, canonical_sql, detections, samples, sql, table
 
 _FLIP = "('" + "', '".join(FLIPPED) + "')"
 _FINITE = f"""CASE WHEN Value IS NULL OR isnan(Value)
@@ -208,31 +208,54 @@ def auroc_by_dataset(spark, folder):
     return _rounded(ev.auroc(rows, by=("Dataset", "Detector", "BaseModel"), flip=FLIPPED))
 
 
-_ROC = """SELECT c.Detector, c.BaseModel, c.Generator, s.v, count(*) FILTER (s.Generator = 'human') AS hc,
+def _roc(by: str, *before, **rows) -> str:
+    """Points of the curves of (by…, Generator): counts per threshold, cumulated."""
+    keys = [k.strip() for k in by.split(",")]
+    cell, cells = f"{by}, Generator", ", ".join(f"c.{k}" for k in [*keys, "Generator"])
+    on = " AND ".join(f"s.{k} IS NOT DISTINCT FROM c.{k}" for k in keys)
+    counts = f"""SELECT {cells}, s.v, count(*) FILTER (s.Generator = 'human') AS hc,
       count(*) FILTER (s.Generator <> 'human') AS ac
-    FROM (SELECT DISTINCT Detector, BaseModel, Generator FROM scored WHERE Generator <> 'human') c
-    JOIN scored s ON s.Detector = c.Detector AND s.BaseModel = c.BaseModel AND s.Generator IN ('human', c.Generator)
+    FROM (SELECT DISTINCT {cell} FROM scored WHERE Generator <> 'human') c
+    JOIN scored s ON {on} AND s.Generator IN ('human', c.Generator)
     GROUP BY ALL"""
-_ROC_STEPS = """SELECT *, sum(hc) OVER w AS fp, sum(ac) OVER w AS tp, lead(hc) OVER w AS nh, lead(ac) OVER w AS na,
+    steps = f"""SELECT *, sum(hc) OVER w AS fp, sum(ac) OVER w AS tp, lead(hc) OVER w AS nh, lead(ac) OVER w AS na,
       row_number() OVER w AS rn, sum(hc) OVER p AS th, sum(ac) OVER p AS ta
-    FROM roc WINDOW w AS (PARTITION BY Detector, BaseModel, Generator ORDER BY v DESC),
-      p AS (PARTITION BY Detector, BaseModel, Generator)"""
-
-
-@query("roc_curve_points", sql("samples", "detections",
-       ("scored", scored(where=f"Dataset IN ('hf_codesearchnet-python', 'hf_apps', 'stackoverflow-post') AND {_SETTING}")),
-       ("roc", _ROC), ("steps", _ROC_STEPS),
-       select=f"""SELECT Detector, BaseModel, Generator, {sql6('fp / th::DOUBLE')} AS fpr, {sql6('tp / ta::DOUBLE')} AS tpr,
+    FROM roc WINDOW w AS (PARTITION BY {cell} ORDER BY v DESC), p AS (PARTITION BY {cell})"""
+    return sql("samples", "detections", *before, ("scored", scored(**rows)), ("roc", counts), ("steps", steps),
+        select=f"""SELECT {cell}, {sql6('fp / th::DOUBLE')} AS fpr, {sql6('tp / ta::DOUBLE')} AS tpr,
          {sql6('v')} AS threshold FROM steps
        WHERE th > 0 AND ta > 0 AND (rn = 1 OR nh IS NULL OR nh <> hc OR na <> ac)
-       UNION ALL SELECT DISTINCT Detector, BaseModel, Generator, 0e0, 0e0, 'Infinity'::DOUBLE FROM steps WHERE th > 0 AND ta > 0"""))
-def roc_curve_points(spark, folder):
-    rows = flt.corpus(["hf_codesearchnet-python", "hf_apps", "stackoverflow-post"])(detections(spark, folder))
-    curve = ev.roc_curve(rows.filter(default_setting()), flip=FLIPPED)
+       UNION ALL SELECT DISTINCT {cell}, 0e0, 0e0, 'Infinity'::DOUBLE FROM steps WHERE th > 0 AND ta > 0""")
+
+
+def _points(rows, by=("Detector", "BaseModel")):
+    curve = ev.roc_curve(rows, by=by, flip=FLIPPED)
     cut = F.when(F.col("threshold") == float("inf"), F.col("threshold")).otherwise(r6("threshold"))
-    return curve.select(
-        "Detector", "BaseModel", "Generator", r6("fpr").alias("fpr"), r6("tpr").alias("tpr"), cut.alias("threshold")
-    )
+    return curve.select(*by, "Generator", r6("fpr").alias("fpr"), r6("tpr").alias("tpr"), cut.alias("threshold"))
+
+
+_ROC_CORPORA = ["hf_codesearchnet-python", "hf_apps", "stackoverflow-post"]
+
+
+@query("roc_curve_points", _roc("Detector, BaseModel", where=f"Dataset IN {_quoted(_ROC_CORPORA)} AND {_SETTING}"))
+def roc_curve_points(spark, folder):
+    """Three corpora taken together."""
+    return _points(flt.corpus(_ROC_CORPORA)(detections(spark, folder)).filter(default_setting()))
+
+
+@query("roc_curve_by_corpus", _roc("Dataset, Detector, BaseModel",
+       where=f"Dataset IN {_quoted(_ROC_CORPORA)} AND Language = 'python' AND {_SETTING}"))
+def roc_curve_by_corpus(spark, folder):
+    """A curve per corpus, of Python code only."""
+    keep = flt.chain([flt.corpus(_ROC_CORPORA), flt.languages(["python"])])
+    rows = keep(detections(spark, folder)).filter(default_setting())
+    return _points(rows, ("Dataset", "Detector", "BaseModel"))
+
+
+@query("roc_curve_second_split", _roc("Detector, BaseModel, SecondaryModel"))
+def roc_curve_second_split(spark, folder):
+    """Curves per second model; detectors of one model have none and keep their curve."""
+    return _points(detections(spark, folder), ("Detector", "BaseModel", "SecondaryModel"))
 
 
 # ---------------------------------------------------------------- heatmaps
@@ -325,6 +348,22 @@ def heatmap_python_only(spark, folder):
     return _value(hm.heatmap(rows, _GENS, GENERATORS, DETECTORS))
 
 
+@query("heatmap_by_language_usual", _sliced("Dataset, Language",
+       f"SELECT Dataset, Language, Detector, Generator, BaseModel, {_V}, has_data FROM cells", where=_SETTING))
+def heatmap_by_language_usual(spark, folder):
+    """Per corpus and language under the usual sampling setting."""
+    rows = detections(spark, folder).filter(default_setting())
+    return _value(hm.heatmap(rows, GENERATORS, GENERATORS, DETECTORS, by=("Dataset", "Language")))
+
+
+@query("heatmap_python_usual", _sliced("Dataset", f"SELECT Dataset, Detector, Generator, BaseModel, {_V}, has_data FROM cells",
+       where=f"Language = 'python' AND {_SETTING}"))
+def heatmap_python_usual(spark, folder):
+    """Python code per corpus under the usual sampling setting."""
+    rows = flt.languages(["python"])(detections(spark, folder)).filter(default_setting())
+    return _value(hm.heatmap(rows, GENERATORS, GENERATORS, DETECTORS, by=("Dataset",)))
+
+
 _SETTINGS = [(p, t) for t in (0.2, 0.97) for p in (0.5, 0.95)]
 _BY_SETTING = "SELECT d.*, s.p AS setting_p, s.t AS setting_t FROM detections d JOIN (VALUES " + ", ".join(
     f"({p}e0, {t}e0)" for p, t in _SETTINGS) + ") s(p, t) ON d.Generator = 'human' OR (d.TopP = s.p AND d.Temperature = s.t)"
@@ -417,6 +456,7 @@ def paired_scores(spark, folder):
     return rows.withColumn("comparison", r6("comparison")).withColumn("base", r6("base"))
 
 
+# Which corpus is compared with which.
 _CORPUS_PAIRS = [
     ("stackoverflow-post", "hf_codesearchnet-python"),
     ("stackoverflow-post", "hf_apps"),
@@ -435,6 +475,41 @@ def diff_pairs(spark, folder):
     return _paired(_by_corpus(detections(spark, folder)), "Dataset", _CORPUS_PAIRS)
 
 
+@query("diff_second_split", sql("samples", "detections", ("scored", scored(flip=False)),
+       ("areas", areas(by="Dataset, Detector, BaseModel, SecondaryModel")),
+       select=f"""SELECT c.Detector, c.Generator, c.BaseModel, c.SecondaryModel, {sql6('c.auroc - b.auroc')} AS diff
+       FROM areas c JOIN areas b ON b.Detector = c.Detector AND b.Generator = c.Generator AND b.BaseModel = c.BaseModel
+         AND b.SecondaryModel IS NOT DISTINCT FROM c.SecondaryModel
+       WHERE c.Dataset = 'stackoverflow-post' AND b.Dataset = 'stackoverflow-pre'"""))
+def diff_second_split(spark, folder):
+    """Differences per second model, where detectors of one model have none."""
+    scores = ev.auroc(detections(spark, folder), by=("Dataset", "Detector", "BaseModel", "SecondaryModel"))
+    of = lambda corpus: scores.filter(F.col("Dataset") == corpus)
+    rows = hm.difference(of("stackoverflow-post"), of("stackoverflow-pre"), by=("SecondaryModel",))
+    return rows.select("Detector", "Generator", "BaseModel", "SecondaryModel", r6("diff").alias("diff"))
+
+
+_PAIRS_SQL = f"""SELECT p.c AS comparison_set, p.b AS base_set, c.Detector, c.Generator, c.BaseModel, {sql6('c.auroc - b.auroc')} AS diff
+       FROM (VALUES {_PAIR_VALUES}) p(c, b) JOIN areas c ON c.Dataset = p.c
+       JOIN areas b ON b.Dataset = p.b AND b.Detector = c.Detector AND b.Generator = c.Generator AND b.BaseModel = c.BaseModel"""
+
+
+@query("diff_pairs_python", sql("samples", "detections",
+       ("scored", scored(flip=False, where="Language = 'python'")),
+       ("areas", areas(by="Dataset, Detector, BaseModel")), select=_PAIRS_SQL))
+def diff_pairs_python(spark, folder):
+    """The corpus pairs for Python code."""
+    rows = flt.languages(["python"])(detections(spark, folder))
+    return _paired(_by_corpus(rows), "Dataset", _CORPUS_PAIRS)
+
+
+@query("diff_pairs_usual", sql("samples", "detections", ("scored", scored(flip=False, where=_SETTING)),
+       ("areas", areas(by="Dataset, Detector, BaseModel")), select=_PAIRS_SQL))
+def diff_pairs_usual(spark, folder):
+    """The corpus pairs under the usual sampling setting."""
+    return _paired(_by_corpus(detections(spark, folder).filter(default_setting())), "Dataset", _CORPUS_PAIRS)
+
+
 def _paired(scores, column, pairs, on=("Detector", "Generator", "BaseModel")):
     """Differences of many slice pairs in one equi-join on the cell and the pair."""
     listed = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(b).alias("b")) for c, b in pairs])
@@ -448,7 +523,8 @@ def _paired(scores, column, pairs, on=("Detector", "Generator", "BaseModel")):
     )
 
 
-_LANGS = sorted(set(canonical for canonical in ("python", "java", "cpp", "csharp", "js", "rust", "go")))
+# The languages that are compared.
+_LANGS = ["python", "java", "js", "cpp", "csharp", "go", "rust"]
 
 
 @query("diff_languages", sql("samples", "detections", ("scored", scored(flip=False, where=f"Language IN {_quoted(_LANGS)}")),
@@ -478,21 +554,25 @@ def diff_settings(spark, folder):
 
 # ------------------------------------------------------------------ trends
 
-# (model, training date as epoch seconds, benchmark score, size)
-_MODELS = [
-    ("gen-a", 1688169600, 0.427, 13_000_000_000),
-    ("gen-b", 1706745600, 0.354, 0),
-    ("gen-c", 1648771200, 0.15, 6_000_000_000),
-    ("gen-x", None, 0.924, 100_000_000_000),
-]
-_ATTRS = "SELECT * FROM (VALUES " + ", ".join(
-    f"('{m}', {t if t else 'NULL'}, {s}e0, {z})" for m, t, s, z in _MODELS
-) + ") v(model, training_epoch, benchmark_score, size)"
+# Attributes of a model, from what it has generated: the date of its latest sample, the mean share of
+# distinct characters in its texts, and the sum of their lengths. A model without samples has no date
+# and size 0.
+_ATTRS = """SELECT m AS model, max(Date) AS training_epoch,
+    avg(CASE WHEN length(Code) > 0 THEN len(list_distinct(string_split(Code, ''))) / length(Code)::DOUBLE END) AS benchmark_score,
+    coalesce(sum(length(Code)), 0)::BIGINT AS size
+    FROM (SELECT unnest(['gen-a', 'gen-b', 'gen-c', 'gen-x']) AS m) LEFT JOIN samples ON Generator = m GROUP BY m"""
 _TREND = ("samples", "detections", ("scored", scored(where=_WHITE)), ("areas", areas(ai_by="")), ("attrs", _ATTRS))
 
 
-def _registry(spark):
-    return spark.createDataFrame(_MODELS, "model string, training_epoch bigint, benchmark_score double, size bigint")
+def _registry(spark, folder):
+    kinds = F.size(F.array_distinct(F.filter(F.split("Code", ""), lambda c: c != "")))
+    made = samples(spark, folder).groupBy(F.col("Generator").alias("model")).agg(
+        F.max("Date").alias("training_epoch"),
+        F.avg(F.when(F.length("Code") > 0, kinds / F.length("Code"))).alias("benchmark_score"),
+        F.sum(F.length("Code")).alias("size"),
+    )
+    models = spark.createDataFrame([(m,) for m in _GENS], "model string")
+    return models.join(made, "model", "left").fillna(0, ["size"])
 
 
 def _white_scores(spark, folder):
@@ -502,7 +582,7 @@ def _white_scores(spark, folder):
 @query("auroc_vs_attribute", sql(*_TREND, select=f"""SELECT Detector, BaseModel, {sql6('auroc')} AS auroc, size::DOUBLE AS attribute
        FROM areas JOIN attrs ON model = BaseModel WHERE size IS NOT NULL AND size <> 0"""))
 def auroc_vs_attribute(spark, folder):
-    points = tr.with_attribute(_white_scores(spark, folder), _registry(spark), "size")
+    points = tr.with_attribute(_white_scores(spark, folder), _registry(spark, folder), "size")
     return _rounded(points).select("Detector", "BaseModel", "auroc", "attribute")
 
 
@@ -510,5 +590,31 @@ def auroc_vs_attribute(spark, folder):
        {sql6('regr_intercept(auroc, benchmark_score)')} AS intercept, count(*) AS models
        FROM areas JOIN attrs ON model = BaseModel WHERE benchmark_score <> 0 GROUP BY Detector"""))
 def auroc_trend(spark, folder):
-    line = tr.trend(tr.with_attribute(_white_scores(spark, folder), _registry(spark), "benchmark_score"))
+    line = tr.trend(tr.with_attribute(_white_scores(spark, folder), _registry(spark, folder), "benchmark_score"))
     return line.withColumn("slope", r6("slope")).withColumn("intercept", r6("intercept"))
+
+
+def _trend_sql(attribute: str) -> str:
+    return sql(*_TREND, select=f"""SELECT Detector, {sql6(f'regr_slope(auroc, {attribute} / u)')} AS slope,
+       {sql6(f'regr_intercept(auroc, {attribute} / u)')} AS intercept, count(*) AS models
+       FROM areas JOIN attrs ON model = BaseModel, (SELECT max({attribute})::DOUBLE AS u FROM attrs)
+       WHERE {attribute} <> 0 GROUP BY Detector""")
+
+
+def _trend_of(spark, folder, attribute):
+    """The line over the attribute in units of its largest value."""
+    registry = _registry(spark, folder)
+    unit = registry.agg(F.max(attribute).cast("double").alias("unit"))  # one row
+    scaled = registry.crossJoin(F.broadcast(unit)).withColumn(attribute, F.col(attribute) / F.col("unit"))
+    line = tr.trend(tr.with_attribute(_white_scores(spark, folder), scaled, attribute))
+    return line.withColumn("slope", r6("slope")).withColumn("intercept", r6("intercept"))
+
+
+@query("trend_training_date", _trend_sql("training_epoch"))
+def trend_training_date(spark, folder):
+    return _trend_of(spark, folder, "training_epoch")
+
+
+@query("trend_model_size", _trend_sql("size"))
+def trend_model_size(spark, folder):
+    return _trend_of(spark, folder, "size")

@@ -464,10 +464,13 @@ def token_top15_python(spark, folder):
     return _top(fq.compare_tokens(fq.token_frequencies(rows)))
 
 
-@query("token_id_round_trip", rf"SELECT item_id, array_to_string(regexp_extract_all(text, '\S+'), ' ') AS text FROM benchmark WHERE regexp_matches(text, '\S')")
+@query("token_id_round_trip", rf"""SELECT item_id, array_to_string(regexp_extract_all(text, '\S+'), ' ') AS text FROM (SELECT item_id, text FROM benchmark
+    UNION ALL SELECT -1 - item_id, repeat(' ', (item_id % 3)::INTEGER) FROM benchmark)""")
 def token_id_round_trip(spark, folder):
-    """Texts to vocabulary numbers and back."""
-    texts = table(spark, folder, "benchmark")
+    """Texts, blank ones among them, to vocabulary numbers and back."""
+    texts = table(spark, folder, "benchmark").select("item_id", "text")
+    blank = texts.select((-1 - F.col("item_id")).alias("item_id"), F.repeat(F.lit(" "), (F.col("item_id") % 3).cast("int")).alias("text"))
+    texts = texts.unionByName(blank)
     tokens = texts.select(F.explode(words(F.col("text"))).alias("token"))
     vocab = materialize(vocabulary(tokens), "vocabulary")
     return decode_ids(encode_ids(texts, vocab, "item_id", words, "text"), vocab, "item_id")

@@ -166,6 +166,20 @@ def source_catalog(spark, folder):
     return catalog.load_all(spark, catalog.tags(), [languages(["python"])])[1]
 
 
+@query("store_with_broken_rows", """SELECT doc_id::VARCHAR AS Prompt, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE '' END || text AS Code FROM documents""")
+def store_with_broken_rows(spark, folder):
+    """The usual reader of XML stores, over elements of which every third holds a control character."""
+    escaped = F.col("text")
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")):
+        escaped = F.replace(escaped, F.lit(sign), F.lit(name))
+    mark = F.when(F.col("doc_id") % 3 == 0, F.lit("\x01")).otherwise(F.lit(""))
+    path = scratch_path(spark, "broken")
+    table(spark, folder, "documents").select(
+        F.concat(F.lit('<sample Prompt="'), F.col("doc_id").cast("string"), F.lit('" Code="'), mark, escaped, F.lit('" />')).alias("value")
+    ).write.text(path)
+    return stores.read_store(spark, path, "xml").select("Prompt", "Code")
+
+
 @query("source_table", "SELECT text AS Code, item_id::VARCHAR AS Prompt FROM benchmark WHERE length(text) > 100")
 def source_table(spark, folder):
     """A downloaded table; rows whose projection has no code are skipped."""
@@ -200,7 +214,7 @@ def _epoch(date):
     return f"CAST({date} AS BIGINT)"
 
 
-_HALVES = f"""SELECT doc_id AS id, substr(text, 1, 64) AS "desc", unnest([({list(SPELLINGS)})[doc_id % 9 + 1], ({list(SPELLINGS)})[(doc_id + 4) % 9 + 1]]) AS lang,
+_HALVES = f"""SELECT doc_id AS id, source AS "desc", unnest([({list(SPELLINGS)})[doc_id % 9 + 1], ({list(SPELLINGS)})[(doc_id + 4) % 9 + 1]]) AS lang,
     unnest([substr(text, 1, length(text) // 2), substr(text, length(text) // 2 + 1)]) AS solution FROM documents"""
 
 
@@ -215,7 +229,7 @@ def source_problem_json(spark, folder):
     )
     path = scratch_path(spark, "problems")
     table(spark, folder, "documents").select(
-        n.cast("string").alias("id"), F.substring(text, 1, 64).alias("desc"), solutions.alias("solutions")
+        n.cast("string").alias("id"), F.col("source").alias("desc"), solutions.alias("solutions")
     ).write.json(path)
     return problems.from_problems(problems.read_problems(spark, path, lines=True))
 

@@ -21,8 +21,8 @@ XML_ROWS_PER_FILE = 5_000
 _XML = {"rowTag": "sample", "attributePrefix": "", "ignoreSurroundingSpaces": "false"}
 _CORRUPT = "_corrupt"
 
-# Characters that XML does not allow or discourages, plane by plane the two
-# noncharacters at its end.
+# Characters that the XML 1.0 standard does not allow or discourages; plane by plane the two
+# noncharacters of the Unicode standard at its end.
 _BASIC = r"\x00-\x08\x0B-\x1F\x7F-\x84\x86-\x9F\uD800-\uDFFF\uFDD0-\uFDDF\uFFFE-\uFFFF"
 _PLANES = "".join(f"\\x{{{plane:X}FFFE}}-\\x{{{plane:X}FFFF}}" for plane in range(1, 17))
 ILLEGAL_XML = f"[{_BASIC}{_PLANES}]"
@@ -54,10 +54,38 @@ def write_parquet(df: DataFrame, path: str, kind: str = "sample", partition_by:
     writer.option("maxRecordsPerFile", PARQUET_ROWS_PER_FILE).parquet(path)
 
 
-def read_xml(spark: SparkSession, path: str, kind: str = "sample") -> DataFrame:
-    """An XML store: one ``<sample …/>`` element with attributes per row."""
+def read_xml(spark: SparkSession, path: str, kind: str = "sample", on_broken: str = "error") -> DataFrame:
+    """An XML store: one ``<sample …/>`` element with attributes per row.
+
+    An element that does not parse is repaired and parsed again. One that stays broken fails the
+    read, or is left out with ``on_broken="drop"`` (:func:`broken_elements` lists those).
+    """
     schema, normalise = KINDS[kind]
-    return normalise(spark.read.format("xml").options(**_XML).schema(as_text(schema)).load(path))
+    rows = _elements(spark, path, schema)
+    if on_broken == "drop":
+        rows = rows.filter(f"row.{_CORRUPT} is null")
+    elif on_broken == "error":
+        message = F.concat(F.lit("broken element: "), F.substring(f"row.{_CORRUPT}", 1, 200))
+        failed = F.raise_error(message).cast(rows.schema["row"].dataType)
+        rows = rows.withColumn("row", F.when(F.col(f"row.{_CORRUPT}").isNull(), F.col("row")).otherwise(failed))
+    else:
+        raise ValueError(f"unknown choice {on_broken!r}")
+    return normalise(rows.select("row.*").drop(_CORRUPT))
+
+
+def broken_elements(spark: SparkSession, path: str, kind: str = "sample") -> DataFrame:
+    """``(value)``: the elements of a store that do not parse even after repair."""
+    rows = _elements(spark, path, KINDS[kind][0])
+    return rows.filter(f"row.{_CORRUPT} is not null").select(F.col(f"row.{_CORRUPT}").alias("value"))
+
+
+def _elements(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """``(row)``: each element, repaired where it has to be; what is still broken has _CORRUPT set.
+
+    Stores hold an element per line, so files are split anywhere and a broken element cannot end the
+    reading of those behind it, as it does in a parser of whole documents.
+    """
+    return _parsed(spark.read.text(path), schema, "value").select("row")
 
 
 def write_xml(df: DataFrame, path: str, kind: str = "sample") -> None:
@@ -84,7 +112,7 @@ def parse_lines(lines: DataFrame, kind: str = "sample", column: str = "value") -
     """Rows of store lines; a line that does not parse is repaired and read again.
 
     Lines without a sample element are skipped, and lines that stay broken are
-    left out (see :func:`broken_lines`).
+    a second output, :func:`broken_lines`.
     """
     schema, normalise = KINDS[kind]
     return normalise(_parsed(lines, schema, column).filter(f"row.{_CORRUPT} is null").select("row.*"))
