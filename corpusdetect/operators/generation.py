@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from hashlib import sha256
 from math import ceil, log2
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scores import seeded_uniform
 from ..functions.text import clean_output, output_budget, prompt_by_format, strip_prompt
@@ -18,8 +23,9 @@ from ..schemas import SAMPLE_SCHEMA
 SEED = 81053
 ROUNDS_PER_STAGE = 8
 
-# Contexts sent to every executor; each row lists the context's successors.
-CHOICE_ROWS = 20_000
+# Intervals of a sampling shape sent to every executor, and the parts that larger ones are met by.
+SHAPE_ROWS = 500_000
+BUCKETS = 64
 # Tokens of finished paths sent to every executor.
 PATH_TOKENS = 10_000_000
 
@@ -87,54 +93,100 @@ def greedy_continuations(counts: DataFrame, steps: int) -> DataFrame:
     return path.select("model", "ctx", "tokens")
 
 
-def continue_greedily(open_rows: DataFrame, counts: DataFrame, max_steps: int) -> DataFrame:
-    """Adds ``tokens``: up to ``budget`` likeliest tokens after the column ``last``."""
-    paths = materialize(greedy_continuations(counts, max_steps), "continuations")
+def continue_greedily(open_rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Adds ``tokens``: up to ``budget`` likeliest tokens after the column ``last``.
+
+    Paths are as long as the largest budget, which is looked up first.
+    """
+    open_rows = materialize(open_rows, "open-rows")
+    longest = open_rows.agg(F.max("budget")).first()[0] or 1
+    paths = materialize(greedy_continuations(counts, longest), "continuations")
     joined = lookup_join(
-        open_rows.withColumn("ctx", F.col("last")), paths, ["model", "ctx"], "left",
-        max_rows=PATH_TOKENS // max_steps,
+        open_rows.withColumn("ctx", F.col("last")), paths, ["model", "ctx"], "left", max_rows=PATH_TOKENS // longest
     )
     nothing = F.array().cast("array<string>")
     return joined.withColumn("tokens", F.slice(F.coalesce("tokens", nothing), F.lit(1), F.col("budget"))).drop("ctx")
 
 
-def continue_sampled(open_rows: DataFrame, shape: DataFrame, steps: int, key: Sequence[str], seed: int = SEED) -> DataFrame:
+def continue_sampled(open_rows: DataFrame, shape: DataFrame, key: Sequence[str], seed: int = SEED) -> DataFrame:
     """Adds ``tokens``: up to ``budget`` tokens drawn from the shaped models.
 
     The draw of step i depends on the seed, the row's ``key`` and i only, so
-    results do not depend on how rows are spread. The intervals of a context are
-    one row of the lookup table, so a step joins without multiplying rows;
-    intermediate rows are written out every few steps.
+    results do not depend on how rows are spread. Up to SHAPE_ROWS intervals go
+    to every executor and each row is continued there to its end; larger models
+    are met in a join per token until no row is open.
+    """
+    shape = materialize(shape.select("model", "ctx", "token", "high"), "shape")
+    if fits_broadcast(shape, SHAPE_ROWS):
+        return _draw_in_tasks(open_rows, shape.collect(), list(key), seed)
+    return _draw_by_joins(open_rows, shape, list(key), seed)
+
+
+def _draw_in_tasks(open_rows: DataFrame, intervals: list, key: list[str], seed: int) -> DataFrame:
+    choices: dict[tuple, tuple[list, list]] = {}
+    for row in sorted(intervals, key=lambda r: (r["model"], r["ctx"], r["high"])):
+        highs, tokens = choices.setdefault((row["model"], row["ctx"]), ([], []))
+        highs.append(row["high"])
+        tokens.append(row["token"])
+    rows = open_rows.withColumn("_key", F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
+    own = rows.select("_key", "model", "last", "budget", *[c for c in open_rows.columns if c not in ("model", "last", "budget")])
+    schema = T.StructType([*[f for f in own.schema if f.name != "_key"], T.StructField("tokens", T.ArrayType(T.StringType()))])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, ends = [], []
+            for name, model, last, budget in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                tokens: list[str] = []
+                while len(tokens) < (budget or 0) and (model, last) in choices:
+                    highs, follow = choices[model, last]
+                    digest = sha256(f"{name}|{len(tokens)}".encode()).hexdigest()
+                    # Rounding may leave the last interval short of 1.
+                    last = follow[min(bisect_right(highs, int(digest[:8], 16) / 2**32), len(follow) - 1)]
+                    tokens.append(last)
+                out.append(tokens)
+                ends.append(last)
+            columns = list(batch.columns[1:])
+            columns[1] = pa.array(ends, pa.string())
+            yield pa.record_batch([*columns, pa.array(out, pa.list_(pa.string()))], names=[f.name for f in schema])
+
+    return own.mapInArrow(draw, schema)
+
+
+def _draw_by_joins(open_rows: DataFrame, shape: DataFrame, key: list[str], seed: int) -> DataFrame:
+    """A context's intervals are met by the bucket of the drawn number, so a step does not multiply rows.
+
+    ``[0, 1)`` is cut into BUCKETS equal parts; an interval is listed under every part it touches.
     """
-    choices = materialize(
-        shape.groupBy("model", "ctx").agg(
-            F.sort_array(F.collect_list(F.struct("high", "token"))).alias("choices")
-        ),
-        "choices",
+    before = Window.partitionBy("model", "ctx").orderBy("high")
+    low = F.coalesce(F.lag("high").over(before), F.lit(0.0))
+    last = F.lead("high").over(before).isNull()
+    listed = shape.withColumn("low", low).withColumn("high", F.when(last, F.lit(1.0)).otherwise(F.col("high")))
+    part = lambda x: F.least(F.floor(x * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+    listed = materialize(
+        listed.withColumn("part", F.explode(F.sequence(part(F.col("low")), part(F.col("high"))))), "intervals"
     )
-    fits = fits_broadcast(choices, CHOICE_ROWS)
-    rows = open_rows.withColumn("tokens", F.array().cast("array<string>"))
-    for step in range(steps):
+    rows = open_rows.withColumn("tokens", F.array().cast("array<string>")).withColumn("_open", F.col("budget") > 0)
+    step = 0
+    while True:
         drawn = seeded_uniform(seed, *[F.col(k) for k in key], F.lit(step))
-        joined = lookup_join(
-            rows.withColumn("ctx", F.col("last")), choices, ["model", "ctx"], "left", spread_by=list(key), fits=fits
+        asked = rows.withColumn("u", drawn).withColumn("part", part(F.col("u"))).withColumn("ctx", F.col("last"))
+        a, b = asked.alias("a"), listed.alias("b")
+        inside = F.expr(
+            "a._open AND a.model = b.model AND a.ctx = b.ctx AND a.part = b.part AND b.low <= a.u AND a.u < b.high"
         )
-        fitting = F.filter("choices", lambda c: c["high"] > F.col("u"))
-        # Rounding may leave the last interval short of 1.
-        token = F.coalesce(F.get(fitting, 0), F.element_at("choices", -1))["token"]
-        picked = joined.withColumn("u", drawn).withColumn(
-            "next", F.when(F.size("tokens") < F.col("budget"), token)
+        met = a.join(b, inside, "left").select("a.*", F.col("b.token").alias("next"))
+        grown = F.when(F.col("next").isNull(), F.col("tokens")).otherwise(F.concat("tokens", F.array("next")))
+        rows = met.select(
+            *open_rows.drop("last").columns,
+            F.coalesce("next", "last").alias("last"),
+            grown.alias("tokens"),
+            (F.col("next").isNotNull() & (F.size(grown) < F.col("budget"))).alias("_open"),
         )
-        rows = picked.select(
-            *[c for c in rows.columns if c not in ("tokens", "last")],
-            F.when(F.col("next").isNull(), F.col("tokens"))
-            .otherwise(F.concat("tokens", F.array("next")))
-            .alias("tokens"),
-            F.col("next").alias("last"),
-        )
-        if step % ROUNDS_PER_STAGE == ROUNDS_PER_STAGE - 1:
+        step += 1
+        if step % ROUNDS_PER_STAGE == 0:
             rows = materialize(rows, "round")
-    return rows
+            if rows.filter("_open").isEmpty():
+                return rows.drop("_open")
 
 
 def best_of(candidates: DataFrame, group: Sequence[str], score: Column, output: str = "output") -> DataFrame:
@@ -174,26 +226,60 @@ def to_samples(generated: DataFrame, now: int) -> DataFrame:
     """Sample rows of generated text, sharing the source's prompt, corpus and language.
 
     Expects ``full_prompt``, the full ``output`` (prompt included), ``model`` and the
-    setting columns TopK, TopP, Temperature next to the source's columns.
+    setting columns TopK, TopP, Temperature of the run next to the source's columns.
+    Where a column ``clean`` is false, as for base models, the continuation is kept as it is.
     """
-    code = clean_output(strip_prompt(F.col("output"), F.col("full_prompt")))
+    raw = strip_prompt(F.col("output"), F.col("full_prompt"))
+    code = clean_output(raw)
+    if "clean" in generated.columns:
+        code = F.when(F.col("clean"), code).otherwise(raw)
     rows = generated.withColumn("Code", code).withColumn("Generator", F.col("model")).withColumn("Date", F.lit(now))
     return rows.select("sample_id", *[F.col(f.name).cast(f.dataType) for f in SAMPLE_SCHEMA])
 
 
-def generate(
+def generate(samples: DataFrame, models: DataFrame, counts: DataFrame, now: int, dynamic: bool = True) -> DataFrame:
+    """The greedy generation job: capability, prompt, continuation, clean-up, record."""
+    rows = open_prompts(samples, models, dynamic=dynamic)
+    done = continue_greedily(rows, counts)
+    return to_samples(done.withColumn("output", F.concat("full_prompt", F.array_join("tokens", ""))), now)
+
+
+def generate_sampled(
     samples: DataFrame,
     models: DataFrame,
     counts: DataFrame,
     now: int,
-    max_steps: int,
+    grid: Sequence[dict],
+    count: int = 1,
+    best_of_n: int = 1,
+    score: Column | None = None,
     dynamic: bool = True,
+    seed: int = SEED,
 ) -> DataFrame:
-    """The generation job: capability, prompt, continuation, clean-up, record.
+    """The sampled generation job: every setting of the grid, ``count`` outputs, each the best of some.
 
-    ``max_steps`` is the largest ``max_tokens`` of the models, which no budget
-    exceeds.
+    A setting has ``temperature``, ``top_k`` and ``top_p``; the rows carry it. Adds ``slot``, the number
+    of the output among the ``count``. ``score`` rates the column ``output`` (the continuation) of a
+    candidate; without it the first is taken.
     """
     rows = open_prompts(samples, models, dynamic=dynamic)
-    done = continue_greedily(rows, counts, max_steps)
-    return to_samples(done.withColumn("output", F.concat("full_prompt", F.array_join("tokens", ""))), now)
+    slots = F.sequence(F.lit(0), F.lit(count * best_of_n - 1))
+    rows = materialize(rows.withColumn("candidate", F.explode(slots)), "prompts")
+    made = []
+    for setting in grid:
+        shape = sampling_shape(counts, setting.get("temperature") or 1.0, setting.get("top_k"), setting.get("top_p"))
+        done = continue_sampled(rows.select("sample_id", "model", "last", "budget", "candidate"), shape,
+                                ["sample_id", "model", "candidate"], seed)
+        outputs = done.select(
+            "sample_id", "model", F.floor(F.col("candidate") / best_of_n).cast("int").alias("slot"), "candidate",
+            F.array_join("tokens", "").alias("output"),
+        )
+        best = best_of(outputs, ["sample_id", "model", "slot"], F.lit(0) if score is None else score)
+        joined = rows.filter("candidate = 0").drop("candidate", "TopK", "TopP", "Temperature").join(best, ["sample_id", "model"])
+        joined = joined.withColumn("output", F.concat("full_prompt", "output")).withColumns({
+            "TopK": F.lit(setting.get("top_k")), "TopP": F.lit(setting.get("top_p")),
+            "Temperature": F.lit(setting.get("temperature")),
+        })
+        made.append(to_samples(joined.withColumn("sample_id", F.struct("sample_id", "slot")), now)
+                    .select("sample_id.sample_id", "sample_id.slot", *SAMPLE_SCHEMA.names))
+    return reduce(DataFrame.unionByName, made)

@@ -21,14 +21,15 @@ from .views import SAMPLE_HASH, samples, sql, table, detections
 _MAX_TOKENS = 1024
 _FORMATS = {"en": "doc_comment", "fr": "named_language_comment", "de": "instruction", "es": "language_comment"}
 # One of the models supports a single language.
+# Models that take instructions fence their code; what the others write is kept as it is.
 _REGISTRY = [
-    (m, name, _FORMATS[m], _MAX_TOKENS) for m in MODELS for name in DISPLAY_NAMES if m != "es" or name == "python"
+    (m, name, _FORMATS[m], _MAX_TOKENS, _FORMATS[m] == "instruction") for m in MODELS for name in DISPLAY_NAMES if m != "es" or name == "python"
 ]
-_REGISTRY_SQL = "SELECT * FROM (VALUES " + ", ".join(str(r) for r in _REGISTRY) + ") r(model, Language, prompt_format, max_tokens)"
+_REGISTRY_SQL = "SELECT * FROM (VALUES " + ", ".join(str(r) for r in _REGISTRY) + ") r(model, Language, prompt_format, max_tokens, clean)"
 
 
 def _registry(spark):
-    return spark.createDataFrame(_REGISTRY, "model string, Language string, prompt_format string, max_tokens int")
+    return spark.createDataFrame(_REGISTRY, "model string, Language string, prompt_format string, max_tokens int, clean boolean")
 
 
 def _counts(spark, folder):
@@ -56,7 +57,7 @@ _REST = "TopK, TopP, Temperature, Prompt, OriginalPrompt"
 def generation_job(spark, folder):
     """Human samples and what four models continue from their prompts, interlaced."""
     human = samples(spark, folder).filter(F.col("Generator") == HUMAN)
-    made = gen.generate(human, _registry(spark), _counts(spark, folder), RUN_TIME, _MAX_TOKENS)
+    made = gen.generate(human, _registry(spark), _counts(spark, folder), RUN_TIME)
     return so.interlace(human.select(*made.columns).unionByName(made), "sample_id", MODELS)
 
 
@@ -77,24 +78,24 @@ def sampling_shape(spark, folder):
     return _shape(spark, folder).select("model", "ctx", "token", r6("p").alias("p"), r6("high").alias("high"))
 
 
-_CANDIDATES, _STEPS = 3, 6
+_CANDIDATES = 3
 _UNIFORM = "('0x' || substr(sha256('81053|' || sample_id || '|' || model || '|' || candidate || '|' || k), 1, 8))::BIGINT / 4294967296e0"
-_DRAW = f"""SELECT sample_id, model, candidate, 0 AS k, last, '' AS txt, {_UNIFORM.replace("|| k)", "|| 0)")} AS u FROM open_rows, (SELECT unnest(range({_CANDIDATES})) AS candidate)
-    UNION ALL SELECT sample_id, model, candidate, k + 1, token, txt || token, {_UNIFORM.replace("|| k)", "|| (k + 1))")} FROM
-      (SELECT d.sample_id, d.model, d.candidate, d.k, c.token, d.txt, row_number() OVER (PARTITION BY d.sample_id, d.model, d.candidate ORDER BY c.high) AS rn
-       FROM draw d JOIN cum c ON c.model = d.model AND c.ctx = d.last AND c.high > d.u WHERE d.k < {_STEPS}) WHERE rn = 1"""
-_SAMPLED = _BASE[:2] + (("shape", _SHAPE), ("cum", _CUMULATED), ("registry", _REGISTRY_SQL), ("open_rows", _OPEN),
-           ("draw(sample_id, model, candidate, k, last, txt, u)", _DRAW),
-           ("ended", "SELECT sample_id, model, candidate, arg_max(txt, k) AS output FROM draw GROUP BY ALL"))
+_DRAW = f"""SELECT sample_id, model, candidate, budget, 0 AS k, last, {_UNIFORM.replace("|| k)", "|| 0)")} AS u FROM open_rows, (SELECT unnest(range({_CANDIDATES})) AS candidate)
+    UNION ALL SELECT d.sample_id, d.model, d.candidate, d.budget, d.k + 1, c.token, {_UNIFORM.replace("sample_id", "d.sample_id").replace("model", "d.model").replace("candidate", "d.candidate").replace("|| k)", "|| (d.k + 1))")}
+      FROM draw d JOIN cum c ON c.model = d.model AND c.ctx = d.last AND c.low <= d.u AND (d.u < c.high OR c.final) WHERE d.k < d.budget"""
+_CUM = """SELECT *, lead(high) OVER (PARTITION BY model, ctx ORDER BY high) IS NULL AS final FROM cum0"""
+_SAMPLED = _BASE[:2] + (("shape", _SHAPE), ("cum0", _CUMULATED), ("cum", _CUM), ("registry", _REGISTRY_SQL), ("open_rows", _OPEN),
+           ("draw(sample_id, model, candidate, budget, k, last, u)", _DRAW),
+           ("ended", "SELECT sample_id, model, candidate, coalesce(string_agg(last, '' ORDER BY k) FILTER (k > 0), '') AS output FROM draw GROUP BY ALL"))
 
 
 def _candidates(spark, folder):
-    """Three short continuations per prompt and model, reproducible by their keys."""
+    """Three continuations per prompt and model, as long as their budgets, reproducible by their keys."""
     human = samples(spark, folder).filter(F.col("Generator") == HUMAN)
-    rows = gen.open_prompts(human, _registry(spark)).withColumn("budget", F.lit(_STEPS))
+    rows = gen.open_prompts(human, _registry(spark))
     slots = F.sequence(F.lit(0), F.lit(_CANDIDATES - 1))
     rows = rows.select("sample_id", "model", "last", "budget", F.explode(slots).alias("candidate"))
-    done = gen.continue_sampled(rows, _shape(spark, folder), _STEPS, ["sample_id", "model", "candidate"])
+    done = gen.continue_sampled(rows, _shape(spark, folder), ["sample_id", "model", "candidate"])
     return done.select("sample_id", "model", "candidate", F.array_join("tokens", "").alias("output"))
 
 
@@ -111,6 +112,31 @@ def best_of_n(spark, folder):
     return gen.best_of(_candidates(spark, folder), ["sample_id", "model"], score)
 
 
+_RUN = {"temperature": 0.97, "top_k": 50, "top_p": 0.95}
+_MADE = f"""o.Language, output AS Code, 50 AS TopK, 0.95e0 AS TopP, 0.97e0 AS Temperature, o.Prompt, o.OriginalPrompt,
+    CAST({RUN_TIME} AS BIGINT) AS Date, o.Dataset"""
+
+
+@query("generation_job_sampled", sql("samples", *_SAMPLED, select=f"""SELECT sample_id, candidate::INTEGER AS slot, model AS Generator, {_MADE}
+    FROM ended JOIN open_rows o USING (sample_id, model)"""))
+def generation_job_sampled(spark, folder):
+    """Three sampled outputs per prompt and model under one setting, as sample rows."""
+    human = samples(spark, folder).filter(F.col("Generator") == HUMAN)
+    return gen.generate_sampled(human, _registry(spark), _counts(spark, folder), RUN_TIME, [_RUN], count=_CANDIDATES)
+
+
+@query("generation_job_best_of", sql("samples", *_SAMPLED, ("best", """SELECT sample_id, model, output FROM ended QUALIFY row_number() OVER
+    (PARTITION BY sample_id, model ORDER BY len(list_distinct(string_split(output, ''))) DESC, candidate) = 1"""),
+    select=f"SELECT sample_id, 0 AS slot, model AS Generator, {_MADE} FROM best JOIN open_rows o USING (sample_id, model)"))
+def generation_job_best_of(spark, folder):
+    """One output per prompt and model: of three candidates that with the most distinct characters."""
+    human = samples(spark, folder).filter(F.col("Generator") == HUMAN)
+    score = F.size(F.array_distinct(F.split("output", "")))
+    return gen.generate_sampled(
+        human, _registry(spark), _counts(spark, folder), RUN_TIME, [_RUN], best_of_n=_CANDIDATES, score=score
+    )
+
+
 _GRID = [{"GridTemperature": t, "GridTopP": p} for t in (0.2, 0.97) for p in (0.5, 0.95)]
 
 
