@@ -43,6 +43,7 @@ STRIDE, WINDOW = 40, 64
 # Words that make up the evidence of a text.
 TOP = 3
 SLOPE = 2.0
+WRONGLY = 5
 # Both dictionaries end with this, and every word is followed by it: a block is then never too short
 # to be compressed, and the word is not among the last bytes, in which no match may begin.
 _TAIL = bytes(range(1, 25))
@@ -193,10 +194,10 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
     found = [evidence([t[1:-1].decode() for t in k], model) for k in (check if check[0] and check[1] else learn)]
 
     def right(threshold: float) -> tuple[float, float]:
-        # Ordinary documents are far more: a share of them rejected weighs twice.
-        return (found[1] > threshold).mean() - 2 * (found[0] > threshold).mean(), -abs(threshold - 3.5)
+        # Ordinary documents are far more: a share of them rejected weighs WRONGLY times as much.
+        return (found[1] > threshold).mean() - WRONGLY * (found[0] > threshold).mean(), -abs(threshold - 3.5)
 
-    threshold = max((x + 0.5 for x in range(-1, 16)), key=right)
+    threshold = max((x + 0.5 for x in range(-1, 30)), key=right)
     return Model(ordinary, toxic, threshold)
 
 
