@@ -33,18 +33,14 @@ def combined_tag(tags: Sequence[str]) -> str:
 def first_wins(df: DataFrame, order: Sequence[Column], key: Column | None = None) -> DataFrame:
     """The first row, in ``order``, of every set of rows with the same sample hash.
 
-    An aggregate instead of a ranking window: copies are reduced before the
-    shuffle, so a text that makes up a third of the table costs one row per
-    task.
+    ``order`` must tell all rows apart. Hashes and order keys are aggregated, copies being reduced in
+    each task, and the rows are then met by their order key: texts take no part in the aggregate, and
+    no copy, however frequent, makes a hot key.
     """
-    names = df.columns
-    hashed = df.withColumn("_key", sample_row_hash() if key is None else key)
-    kept = hashed.groupBy("_key").agg(
-        F.min_by(F.struct(*names), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias(
-            "row"
-        )
-    )
-    return kept.select(*[F.col("row")[n].alias(n) for n in names])
+    place = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
+    keyed = df.select((sample_row_hash() if key is None else key).alias("_key"), place.alias("_place"))
+    first = keyed.groupBy("_key").agg(F.min("_place").alias("_place")).select("_place")
+    return df.withColumn("_place", place).join(first, "_place", "left_semi").drop("_place")
 
 
 def interlace(samples: DataFrame, key: str, generators: Sequence[str]) -> DataFrame:

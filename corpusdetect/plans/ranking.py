@@ -29,17 +29,19 @@ def global_index(
 
     ``total`` names a further column for the number of all rows.
 
-    The rows are range-partitioned and written once; each range is numbered by
-    itself and shifted by the number of rows before it. ``order`` must be total
-    for a repeatable result. No window spans the table: the widest one covers
-    one row per partition.
+    The rows are range-partitioned, sorted there and written with their place in the partition, in one
+    shuffle; each range is then shifted by the number of rows before it. ``order`` must be total for a
+    repeatable result. No window spans the table: the widest one covers one row per partition.
     """
     ranged = materialize(
-        df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ordered"
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()),
+        "ordered",
     )
+    # Spark numbers rows by partition in the upper bits and by place in the lower 33.
+    part, within = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        ranged.groupBy("_part")
+        ranged.groupBy(part.alias("_part"))
         .agg(F.count(F.lit(1)).alias("_rows"))
         .select(
             "_part",
@@ -47,12 +49,11 @@ def global_index(
             F.sum("_rows").over(Window.partitionBy()).alias("_total"),
         )
     )
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     # One row per partition of the range shuffle: bounded by its partition count.
     numbered = (
-        ranged.withColumn("_within", within)
+        ranged.withColumn("_part", part)
         .join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_offset") + F.col("_within") - F.lit(1).cast("bigint"))
-        .drop("_part", "_within", "_offset")
+        .withColumn(name, F.col("_offset") + within)
+        .drop("_part", "_place", "_offset")
     )
     return numbered.withColumnRenamed("_total", total) if total else numbered.drop("_total")

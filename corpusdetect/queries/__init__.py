@@ -4,6 +4,7 @@ from . import (  # noqa: F401  (importing registers the queries)
     detection_queries,
     evaluation_queries,
     generation_queries,
+    job_queries,
     sample_queries,
     source_queries,
 )

@@ -464,6 +464,20 @@ def token_top15_python(spark, folder):
     return _top(fq.compare_tokens(fq.token_frequencies(rows)))
 
 
+def _sentences(text):
+    """A user's tokenizer: any function from a column to an array of strings."""
+    return F.filter(F.transform(F.split(text, "[.!?]"), lambda part: F.trim(part)), lambda part: part != "")
+
+
+@query("token_frequency_own_tokenizer", r"""SELECT lang AS Generator, token, count(*) AS cnt FROM
+    (SELECT lang, unnest(list_filter(list_transform(regexp_split_to_array(text, '[.!?]'), lambda p: trim(p, ' ')), lambda p: p <> '')) AS token FROM documents)
+    GROUP BY ALL""")
+def token_frequency_own_tokenizer(spark, folder):
+    """Sentences counted as tokens."""
+    docs = table(spark, folder, "documents").select(F.col("lang").alias("Generator"), F.col("text").alias("Code"))
+    return fq.token_frequencies(docs, tokenizer=_sentences)
+
+
 @query("token_id_round_trip", rf"""SELECT item_id, array_to_string(regexp_extract_all(text, '\S+'), ' ') AS text FROM (SELECT item_id, text FROM benchmark
     UNION ALL SELECT -1 - item_id, repeat(' ', (item_id % 3)::INTEGER) FROM benchmark)""")
 def token_id_round_trip(spark, folder):

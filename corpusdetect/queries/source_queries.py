@@ -155,6 +155,18 @@ def xml_repair(spark, folder):
     return stores.read_xml_repaired(spark, path).select("Prompt", "Code")
 
 
+@query("catalog_stores", sql("samples", select=f"SELECT {_SAMPLE_COLUMNS} FROM samples WHERE Dataset IN ('{CORPORA[0]}', '{CORPORA[1]}')"))
+def catalog_stores(spark, folder):
+    """Two stored tags, one in XML and one in Parquet, loaded through the catalog and united."""
+    rows, catalog = samples(spark, folder), Catalog()
+    for tag, form, write in ((CORPORA[0], "xml", stores.write_xml), (CORPORA[1], "parquet", stores.write_parquet)):
+        path = scratch_path(spark, form)
+        write(rows.filter(F.col("Dataset") == tag), path)
+        catalog.register_store(tag, path, form)
+    _, united = catalog.load_all(spark, CORPORA[:2])
+    return united.select(*SAMPLE_SCHEMA.names)
+
+
 @query("source_catalog", sql("samples", select=f"SELECT {_SAMPLE_COLUMNS}, CAST(list_position({list(CORPORA)}, Dataset) - 1 AS INTEGER) AS src_ord FROM samples WHERE Language = 'python'"))
 def source_catalog(spark, folder):
     """User-defined sources under their tags, united with a shared filter."""
