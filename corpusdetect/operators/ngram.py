@@ -274,10 +274,11 @@ def _lookup_tables(models, entries, pairs, single):
     )
 
     # Rank among the successors of a context; equal counts share the best rank.
-    # A window holds the distinct successors of one context.
-    ranked = models.counts.withColumn(
-        "place", F.rank().over(Window.partitionBy("model", "ctx").orderBy(F.desc("c")))
-    ).select("ctx", "token", "model", "c", F.col("place").cast("double").alias("place"))
+    # A window holds the distinct counts of one context, however many successors it has.
+    above = Window.partitionBy("model", "ctx").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)
+    places = models.counts.groupBy("model", "ctx", "c").agg(F.count(F.lit(1)).alias("k"))
+    places = places.withColumn("place", (F.coalesce(F.sum("k").over(above), F.lit(0)) + 1).cast("double")).drop("k")
+    ranked = models.counts.join(places, ["model", "ctx", "c"]).select("ctx", "token", "model", "c", "place")
     by_token = materialize(
         models.counts.select("ctx", "token")
         .distinct()

@@ -2,10 +2,11 @@
 
 from .joins import fits_broadcast, lookup_join
 from .ranking import global_index, range_buckets
-from .storage import by_key, materialize, scratch_path, shared_folder, spread_small
+from .storage import by_key, drop_scratch, materialize, scratch_path, shared_folder, spread_small
 
 __all__ = [
     "by_key",
+    "drop_scratch",
     "fits_broadcast",
     "global_index",
     "lookup_join",

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDERS: dict[str, str] = {}
+_SCRATCH: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,7 +22,7 @@ def shared_folder(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not (context.master == "local" or context.master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     app = context.applicationId
     if app not in _LOCAL_FOLDERS:
@@ -31,7 +32,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str = "table") -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def drop_scratch() -> int:
+    """Delete the intermediate tables that this process has written, when nothing reads them any more.
+
+    Returns how many paths there were.
+    """
+    from pyarrow import fs
+
+    paths, _SCRATCH[:] = list(_SCRATCH), []
+    for path in paths:
+        system, name = fs.FileSystem.from_uri(path)
+        system.delete_dir_contents(name, missing_dir_ok=True)
+    return len(paths)
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:

@@ -179,9 +179,8 @@ def stream_dedupe(spark, folder):
     rows = samples(spark, folder).drop("sample_id")
     rows.unionByName(rows).repartition(4).write.parquet(store)
     stream = ingest.read_stream(spark, store, files_per_batch=2)
-    once = lambda source: ingest.unique_samples(source).select("hash")
-    ingest.ingest(stream, once, target, position).awaitTermination()
-    return spark.read.parquet(target)
+    ingest.append_unique(stream, target, position).awaitTermination()
+    return spark.read.parquet(target).select("hash")
 
 
 @query("stream_scores", sql("samples", select="SELECT sample_id, length(Code) AS Value FROM samples"))

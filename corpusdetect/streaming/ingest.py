@@ -44,20 +44,38 @@ def ingest(
     )
 
 
-def unique_samples(source: DataFrame, watermark: tuple[str, str] | None = None) -> DataFrame:
-    """The first sample of every hash in a stream.
+def unique_samples(source: DataFrame, watermark: tuple[str, str]) -> DataFrame:
+    """The first sample of every hash in a stream, as far as the watermark reaches.
 
-    Without a watermark (event-time column, delay) the state grows with the
-    number of distinct samples; with one, hashes older than the delay are
-    forgotten.
+    The watermark (event-time column, delay) bounds the state: hashes older than the delay are
+    forgotten. :func:`append_unique` forgets none and keeps no state.
     """
-    hashed = source.withColumn("hash", sample_row_hash())
-    if watermark is None:
-        return hashed.dropDuplicates(["hash"])
     column, delay = watermark
+    hashed = source.withColumn("hash", sample_row_hash())
     return hashed.withWatermark(column, delay).dropDuplicatesWithinWatermark(["hash"])
 
 
+def append_unique(source: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Append each sample whose hash the store does not hold yet.
+
+    The store itself is the state: a batch is reduced to distinct hashes and met with those of the
+    other batches. Each batch has its own subfolder, replaced as a whole on repetition.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        new = batch.withColumn("hash", sample_row_hash()).dropDuplicates(["hash"])
+        if number:
+            stored = batch.sparkSession.read.parquet(target).filter(F.col("batch") != number)
+            new = new.join(stored.select("hash").distinct(), "hash", "left_anti")
+        new.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return (
+        source.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def remaining(samples: DataFrame, done: DataFrame, row_hash: Column | None = None) -> DataFrame:
     """Samples without a row in ``done`` (a column ``CodeSampleHash``)."""
     key = sample_row_hash() if row_hash is None else row_hash
