@@ -36,8 +36,8 @@ MISS = 1e-6
 BATCH = 32
 BLOCK = 1000
 HUBS = 64
-# A table of ids and groups of at most so many rows (24 bytes each) is sent to every executor.
-BROADCAST_ROWS = 1_000_000
+# A table of ids and their blocks of at most so many rows (some 50 bytes each) is sent to every executor.
+BROADCAST_ROWS = 250_000
 _SIZE = BANDS * ROWS
 _random = np.random.default_rng(64023)
 _FACTOR = (_random.integers(0, 1 << 32, _SIZE, dtype=np.uint64) | 1).astype(np.uint32)
