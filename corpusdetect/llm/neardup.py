@@ -38,6 +38,8 @@ BLOCK = 1000
 HUBS = 64
 # A table of ids and their blocks of at most so many rows (some 50 bytes each) is sent to every executor.
 BROADCAST_ROWS = 250_000
+# Likewise for a list of bare ids.
+BROADCAST_IDS = 1_000_000
 _SIZE = BANDS * ROWS
 _random = np.random.default_rng(64023)
 _FACTOR = (_random.integers(0, 1 << 32, _SIZE, dtype=np.uint64) | 1).astype(np.uint32)
@@ -351,7 +353,9 @@ def near_duplicates(
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows, unchanged, of the kept documents; repeated ids once, rows without an id all."""
     described = materialize(near_duplicates(docs, id_col, text_col, **options), "near-duplicates")
-    gone = described.where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
+    gone = materialize(described.where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
+    if gone.count() <= BROADCAST_IDS:  # else the texts are shuffled to meet them
+        gone = F.broadcast(gone)
     kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
     ids = described.where("kept AND doc_id IS NOT NULL").groupBy("doc_id")
     if ids.count().where("count > 1").isEmpty():
