@@ -341,7 +341,7 @@ def near_duplicates(
     found = components(links)
     by_set = described.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
     joined = by_set.join(found, "id", "left")
-    component = F.coalesce("component", "id", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
     return joined.select(
         "doc_id",
         "n_shingles",
