@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import sample_row_hash
+from ..plans.storage import materialize
 from ..schemas import HUMAN
 
 
@@ -47,9 +48,9 @@ def interlace(samples: DataFrame, key: str, generators: Sequence[str]) -> DataFr
     """Order of the combined store: each human row, then its generated rows.
 
     ``key`` identifies the source sample; generated rows follow in the order of
-    ``generators``. Adds ``gen_ord`` and sorts by (key, gen_ord).
+    ``generators``. Adds ``gen_ord`` and sorts by (key, gen_ord). The rows are written first, as a
+    global sort samples its input and would compute it twice.
     """
     tags = F.array(F.lit(HUMAN), *[F.lit(g) for g in generators])
-    return samples.withColumn("gen_ord", F.array_position(tags, F.col("Generator")) - 1).orderBy(
-        key, "gen_ord"
-    )
+    placed = samples.withColumn("gen_ord", F.array_position(tags, F.col("Generator")) - 1)
+    return materialize(placed, "interlaced").orderBy(key, "gen_ord")
