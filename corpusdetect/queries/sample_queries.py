@@ -179,7 +179,7 @@ def _group_sql(rule):
                ("lens", "SELECT DISTINCT length AS n FROM sized"),
                ("anchors(a)", f"SELECT min(n) FROM lens UNION ALL SELECT min(n) FROM anchors JOIN lens ON {rule} GROUP BY a"),
                ("firsts", "SELECT a, CAST(row_number() OVER (ORDER BY a) - 1 AS INTEGER) AS size_group FROM anchors"),
-               select="SELECT sample_id, length, max(size_group) AS size_group FROM sized JOIN firsts ON a <= length GROUP BY ALL")
+               select="SELECT sample_id, length, max(size_group) AS size_group FROM sized LEFT JOIN firsts ON a <= length GROUP BY ALL")
 
 
 def _sized(spark, folder):
@@ -191,6 +191,14 @@ def size_groups_relative(spark, folder):
     return gp.size_groups(_sized(spark, folder), "length", 0.25)
 
 
+@query("size_groups_null_length", _group_sql("n - a > 100").replace(f"CAST(len({_WORDS}) AS INTEGER)", f"CASE WHEN sample_id % 7 <> 0 THEN CAST(len({_WORDS}) AS INTEGER) END")
+       .replace("FROM sized),", "FROM sized WHERE length IS NOT NULL),", 1))
+def size_groups_null_length(spark, folder):
+    """Rows without a length are kept, in no group."""
+    rows = _sized(spark, folder).withColumn("length", F.when(F.col("sample_id") % 7 != 0, F.col("length")))
+    return gp.size_groups(rows, "length", 100)
+
+
 @query("size_groups_absolute", _group_sql("n - a > 100"))
 def size_groups_absolute(spark, folder):
     return gp.size_groups(_sized(spark, folder), "length", 100)
@@ -412,6 +420,19 @@ def token_share(spark, folder):
     return fq.token_shares(_frequencies(spark, folder)).withColumn("share", r6("share"))
 
 
+_NULL_SLICE = "CASE WHEN sample_id % 3 <> 0 THEN Dataset END"
+_FREQ_NULL = f"SELECT Dataset, Generator, token, count(*) AS cnt FROM (SELECT {_NULL_SLICE} AS Dataset, Generator, unnest({_WORDS}) AS token FROM samples WHERE {_SETTING}) GROUP BY ALL"
+
+
+@query("token_share_null_slice", sql("samples", ("freq", _FREQ_NULL), select=f"""SELECT Dataset, Generator, token, cnt, CAST(sum(cnt) OVER (PARTITION BY Dataset, Generator) AS BIGINT) AS total,
+       {sql6('cnt / (sum(cnt) OVER (PARTITION BY Dataset, Generator))::DOUBLE')} AS share FROM freq"""))
+def token_share_null_slice(spark, folder):
+    """Shares within slices of which one has no name."""
+    rows = samples(spark, folder).filter(default_setting()).withColumn("Dataset", F.expr(_NULL_SLICE))
+    by = ("Dataset", "Generator")
+    return fq.token_shares(fq.token_frequencies(rows, by), by).withColumn("share", r6("share"))
+
+
 def _compare(by=""):
     on = f"{by}, " if by else ""
     return f"""SELECT {on}Generator, token, hc / hsum::DOUBLE AS x, ac / asum::DOUBLE AS y FROM
