@@ -2,10 +2,13 @@
 
 1. Every text becomes its set of five-word shingles, a key of that set, a MinHash signature and the
    keys of its bands. Equal sets are one class, named by its smallest id.
-2. Classes that share a band are a bucket. Each is paired with two pivots of the bucket, not with all,
-   and a pair's signatures are compared batch by batch: it is dropped as soon as the posterior
-   probability that the similarity reaches the threshold is below the chosen miss probability.
-3. What survives ties classes into loose groups. A group is compared in blocks of bounded size inside
+2. Classes that share a band are a bucket. Each is paired with two pivots of the bucket first, and a
+   pair's signatures are compared batch by batch: it is dropped as soon as the posterior probability
+   that the similarity reaches the threshold is below the chosen miss probability. What survives ties
+   classes into loose groups. Buckets whose members are then in different groups are dealt in blocks
+   of bounded size, and signatures of different groups are compared in every pair of blocks: any two
+   members of a bucket are of one group, or have been compared.
+3. A group is compared in blocks of bounded size inside
    tasks: signatures batch by batch again, survivors on the full sets, skipping what is connected
    already. A group of one block is settled by that. In a larger one each block also holds a few hubs,
    which all blocks share; then only the classes outside the group's largest component are compared
@@ -36,6 +39,8 @@ MISS = 1e-6
 BATCH = 32
 BLOCK = 1000
 HUBS = 64
+# Members of a bucket that are dealt together.
+DEALT = 1000
 # A table of ids and their blocks of at most so many rows (some 50 bytes each) is sent to every executor.
 BROADCAST_ROWS = 250_000
 # Likewise for a list of bare ids.
@@ -130,20 +135,124 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def _pivot_pairs(classes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of a class and a pivot of one of its buckets."""
+def _bucketed(classes: DataFrame) -> DataFrame:
+    """(id, band, p, q, n): the members of every bucket of more classes than one, with its pivots."""
     members = classes.select("id", F.explode("bands").alias("band"))
     pivots = (
         members.groupBy("band")
-        .agg(F.min("id").alias("p"), F.max_by("id", F.xxhash64("id", "band")).alias("q"), F.max("id").alias("_top"))
+        .agg(
+            F.min("id").alias("p"),
+            F.max_by("id", F.xxhash64("id", "band")).alias("q"),
+            F.max("id").alias("_top"),
+            F.count(F.lit(1)).alias("n"),
+        )
         .where("p <> _top")
-        .select("band", "p", "q")
+        .select("band", "p", "q", "n")
     )
-    paired = members.join(pivots, "band").select("id", F.explode(F.array("p", "q")).alias("pivot"))
-    paired = paired.where("id <> pivot")
+    return members.join(pivots, "band").select("id", "band", "p", "q", "n")
+
+
+def _pivot_pairs(bucketed: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of a class and a pivot of one of its buckets."""
+    paired = bucketed.select("id", F.explode(F.array("p", "q")).alias("pivot")).where("id <> pivot")
     return paired.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
 
+def links_across(
+    ids: list, labels: list, sides: np.ndarray, sizes: np.ndarray, short: np.ndarray, percent: int, least: tuple[int, ...]
+) -> list[tuple]:
+    """Links that join all labels between which the sizes and signatures of any pair let the threshold be reached.
+
+    Where there are two sides, pairs of one side are left to other blocks.
+    """
+    order = np.argsort(sizes, kind="stable")
+    _, label = np.unique(np.array(labels), return_inverse=True)
+    label, side, size, short = label[order], sides[order], sizes[order], short[order]
+    one_side = bool((side == side[0]).all())
+    # By size, what is too large for a member lies behind all that is not.
+    ends = np.searchsorted(size, 100 * size // percent, side="right")
+    found = []
+    for i in range(len(order)):
+        part = slice(i + 1, int(ends[i]))
+        apart = label[part] != label[i]
+        others = i + 1 + np.flatnonzero(apart if one_side else apart & (side[part] != side[i]))
+        if not len(others):
+            continue
+        live, _ = surviving(np.broadcast_to(short[i], (len(others), _SIZE)), short[others], least)
+        for j in others[live].tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                found.append((ids[order[i]], ids[order[j]]))
+    return found
+
+
+def _bucket_links(bucketed: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Links (a, b) between members of a bucket that ``labels`` (id, component) has in different groups."""
+    kind, least = classes.schema["id"].dataType.simpleString(), least_matches(percent, miss)
+    # In smaller buckets every member has met every other as a pivot.
+    several = bucketed.where("n > 3 OR n = 3 AND p = q").select("id", "band", "n")
+    several = several.join(labels, "id", "left").select("id", "band", "n", F.coalesce("component", "id").alias("label"))
+    several = materialize(several, "bucket-members")
+    code = F.xxhash64("id")
+    opened = (
+        several.groupBy("band")
+        .agg(
+            F.max("n").alias("n"),
+            F.min("label").alias("_low"),
+            F.max("label").alias("_high"),
+            F.sum(F.shiftright(code, 32)).alias("_one"),
+            F.sum(code.bitwiseAND(0xFFFFFFFF)).alias("_two"),
+        )
+        .where("_low <> _high")
+    )
+    # Bands that come from one passage have the same members: once is enough.
+    opened = materialize(opened.groupBy("n", "_one", "_two").agg(F.min("band").alias("band")).select("band"), "open-buckets")
+    number = F.ceil(F.col("n") / DEALT).cast("int")
+    own = _place(number, F.col("id"), 4).cast("int")
+    block = F.explode(F.sequence(F.lit(0), number - 1)).alias("_with")
+    signed = classes.select("id", "n_shingles", "short")
+    dealt = several.join(opened, "band").select("id", "band", "label", own.alias("_own"), block).join(signed, "id")
+    dealt = dealt.select(
+        "band",
+        F.least("_own", "_with").alias("low"),
+        F.greatest("_own", "_with").alias("high"),
+        F.when(F.col("_own") <= F.col("_with"), 0).otherwise(1).alias("side"),
+        "label",
+        "id",
+        "n_shingles",
+        "short",
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, kind = None, [], None
+
+        def settle() -> list[tuple]:
+            if len(held) < 2 or (key[1] != key[2] and len({x[0] for x in held}) < 2):
+                return []
+            sides, labels, ids, sizes, short = zip(*held, strict=True)
+            table = np.frombuffer(b"".join(short), dtype=np.uint8).reshape(-1, _SIZE)
+            return links_across(list(ids), list(labels), np.array(sides), np.array(sizes), table, percent, least)
+
+        def batch_of(links: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([x[i] for x in links], kind) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            links, kind = [], batch.schema.field(5).type
+            for row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                if row[:3] != key:
+                    links += settle()
+                    key, held = row[:3], []
+                held.append(row[3:])
+            if links:
+                yield batch_of(links, kind)
+        links = settle()
+        if links:
+            yield batch_of(links, kind)
+
+    dealt = dealt.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
+    return materialize(dealt.mapInArrow(compare, f"a {kind}, b {kind}"), "bucket-links")
+
+
 def _prune(pairs: DataFrame, classes: DataFrame, percent: int, miss: float) -> DataFrame:
     """The pairs whose sizes and signatures let the threshold be reached."""
     least = least_matches(percent, miss)
@@ -331,8 +440,13 @@ def near_duplicates(
         full.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").select("id", "n_shingles", "bands", "short"),
         "class-signatures",
     )
-    pairs = materialize(_prune(_pivot_pairs(classes), classes, percent, miss), "pairs")
-    placed = materialize(_blocks(components(pairs)), "blocks")
+    bucketed = materialize(_bucketed(classes), "bucketed")
+    pairs = materialize(_prune(_pivot_pairs(bucketed), classes, percent, miss), "pairs")
+    groups = components(pairs)
+    across = _bucket_links(bucketed, classes, groups, percent, miss)
+    if not across.isEmpty():
+        groups = components(pairs.union(across))
+    placed = materialize(_blocks(groups), "blocks")
     links = _compare(docs, placed.select("id", "label", "blocks"), id_col, text_col, percent, miss)
     if not placed.where("_blocks > 1").isEmpty():
         rest = _rest_blocks(placed, components(links))

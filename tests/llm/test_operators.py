@@ -213,6 +213,27 @@ def test_near_duplicates_chains_and_blocks(spark, monkeypatch):
         assert got == expected
 
 
+def family(seed):
+    """Longer documents that share a passage, then two short near copies of the passage."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(4000)]
+    passage = " ".join(words[:60])
+    texts = [passage + " " + " ".join(rng.choice(words) for _ in range(n)) for n in [30] * 600 + [5, 5]]
+    return dict(enumerate(texts))
+
+
+def test_near_copies_within_a_family_of_longer_texts(spark, monkeypatch):
+    """Their buckets are filled by the longer texts, so neither is a pivot."""
+    texts = family(0)
+    expected = components_by_force(texts)
+    assert expected[601][1] == 600
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    for dealt in (1000, 40):
+        monkeypatch.setattr(neardup, "DEALT", dealt)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs).collect()}
+        assert got == expected
+
+
 def test_near_duplicates_awkward(spark, odd, empty):
     rows = neardup.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
