@@ -42,7 +42,13 @@ BASE = (
     Rule("access", "AKIA[A-Z0-9]+", "AKIA[A-Z0-9]", 16),
     Rule("hex", "[0-9a-f]+", "[0-9a-f]{32}", 32),
 )
-_PEM = r"-----BEGIN\x20([A-Z0-9]+\x20)*PRIVATE\x20KEY-----"
+_NAME = r"\x20([A-Z0-9]+\x20)*PRIVATE\x20KEY-----"
+# From the header to the END line, between which are no five dashes; where it is missing, over what
+# follows in lines of base64 (also quoted, or with their ends written as escapes), the last of any length.
+_ENDED = r"([\x00-\x2c\x2e-\xfe]|-{1,4}[\x00-\x2c\x2e-\xfe])*-----END" + _NAME
+_APART = r"""([\x09\x0a\x0d\x20"',>|]|\\[nr])+"""
+_OPEN = f"({_APART}[A-Za-z-]+:\\x20[\\x20-\\x7e]+)*({_APART}[A-Za-z0-9+/]{{16,}}={{0,2}})+({_APART}[A-Za-z0-9+/]+={{0,2}})?"
+_PEM = f"-----BEGIN{_NAME}({_ENDED}|{_OPEN})?"
 _JWT = r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"
 MORE = (
     Rule("private_key", _PEM, r"-----BEGIN\x20"),
