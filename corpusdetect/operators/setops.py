@@ -34,14 +34,15 @@ def combined_tag(tags: Sequence[str]) -> str:
 def first_wins(df: DataFrame, order: Sequence[Column], key: Column | None = None) -> DataFrame:
     """The first row, in ``order``, of every set of rows with the same sample hash.
 
-    ``order`` must tell all rows apart. Hashes and order keys are aggregated, copies being reduced in
-    each task, and the rows are then met by their order key: texts take no part in the aggregate, and
-    no copy, however frequent, makes a hot key.
+    Of rows with equal order keys too, one stays. The rows are written with a number each, which settles
+    such ties and by which they are met again: texts take no part in the aggregate, copies are reduced
+    in each task, and no copy, however frequent, makes a hot key.
     """
-    place = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
-    keyed = df.select((sample_row_hash() if key is None else key).alias("_key"), place.alias("_place"))
-    first = keyed.groupBy("_key").agg(F.min("_place").alias("_place")).select("_place")
-    return df.withColumn("_place", place).join(first, "_place", "left_semi").drop("_place")
+    number = F.monotonically_increasing_id().alias("_row")
+    rows = materialize(df.select("*", (sample_row_hash() if key is None else key).alias("_key"), number), "numbered")
+    place = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], "_row")
+    first = rows.groupBy("_key").agg(F.min(place).alias("_place")).select("_place._row")
+    return rows.join(first, "_row", "left_semi").select(*df.columns)
 
 
 def interlace(samples: DataFrame, key: str, generators: Sequence[str]) -> DataFrame:

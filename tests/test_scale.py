@@ -10,6 +10,7 @@ from corpusdetect.operators import evaluation as ev
 from corpusdetect.operators import ngram
 from corpusdetect.operators import setops as so
 from corpusdetect.plans import global_index, lookup_join, shared_folder
+from corpusdetect.schemas import PROBLEM_SCHEMA
 from corpusdetect.sources import problems, stores
 from corpusdetect.sources.catalog import Catalog
 from corpusdetect.streaming import ingest
@@ -64,6 +65,20 @@ def test_copies_of_one_text_are_one_row(spark):
     assert len(kept) == 667 and min(r.id for r in kept if r.t == "copy") == 0
 
 
+def test_rows_with_equal_order_keys_are_one_row(spark):
+    rows = [(1, "a"), (1, "a"), (1, "b"), (2, "a"), (2, "c"), (2, "c"), (3, None), (3, None)]
+    df = spark.createDataFrame(rows, "id bigint, t string").repartition(3)
+    kept = [tuple(r) for r in so.first_wins(df, [F.col("id")], F.col("t")).collect()]
+    assert sorted(kept, key=str) == [(1, "a"), (1, "b"), (2, "c"), (3, None)]
+
+
+def test_equal_solutions_in_two_spellings_of_a_language_are_one_sample(spark):
+    rows = [("7", "d", {"python": "x = 1", "python3": "x = 1", "java": "int x = 1;"}), ("8", "d", {"python3": "x = 2"})]
+    found = problems.from_problems(spark.createDataFrame(rows, PROBLEM_SCHEMA)).collect()
+    assert sorted((r.id, r.Language, r.Code) for r in found) == [
+        ("7", "java", "int x = 1;"), ("7", "python", "x = 1"), ("8", "python", "x = 2")]
+
+
 def test_scores_do_not_depend_on_the_join_strategy(spark, monkeypatch):
     df = spark.createDataFrame([(1, "a", "abcab"), (2, "b", "bbbac"), (3, "a", "x"), (4, "b", "")], "sample_id long, model string, Code string")
     counted = ngram.bigram_counts(df, ["sample_id", "model"], characters)
