@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hamming, langid, mixing, neardup, neighbours, packing, secretscan, tokencount, toxicity, warc
+from . import filteraudit, hamming, langid, mixing, neardup, neighbours, packing, secretscan, simhash, tokencount, toxicity, warc
 from .common import table, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokencount.model_path("piece_bpe_32k.model")
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), path)
+
+
+@query("op12_simhash_duplicates")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op13_audit_filters", filteraudit.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
