@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import filteraudit, hamming, langid, mixing, neardup, neighbours, packing, secretscan, simhash, tokencount, toxicity, warc
+from . import collocations, filteraudit, hamming, langid, mixing, neardup, neighbours, packing, secretscan, simhash, tokencount, toxicity, warc
 from .common import table, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), path)
 
 
+@query("op11_mine_collocations", collocations.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op12_simhash_duplicates")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))

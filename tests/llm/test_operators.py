@@ -59,7 +59,7 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} | {"pipeline"} == {q.split("_")[0] for q in queries() if q.startswith(("op", "pipeline"))} - {
+    assert {f"op{n}" for n in range(1, 14)} | {"pipeline"} == {q.split("_")[0] for q in queries() if q.startswith(("op", "pipeline"))} - {
         q.split("_")[0] for q in queries() if q.startswith(("output", "order"))}
 
 
