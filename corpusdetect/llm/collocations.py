@@ -436,23 +436,23 @@ WITH p AS (
   SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p
 ), g AS (
   SELECT lang, k::BIGINT AS size, phrase, count(*) AS a FROM (
-    SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
-    FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)) GROUP BY ALL
+    SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+    FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS i FROM (SELECT *, unnest([1, 2, 3, 4]) AS k FROM w))) GROUP BY ALL
 ), n AS (
   SELECT lang, sum(a)::BIGINT AS n FROM g WHERE size = 1 GROUP BY lang
 ), c AS (
   SELECT lang, size, phrase, a, string_split(phrase, ' ') AS ws FROM g WHERE size >= 2 AND a >= 30
+), k AS (
+  SELECT lang, phrase, a, k, array_to_string(ws[:k], ' ') AS first, array_to_string(ws[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM c)
 ), s AS (
-  SELECT c.lang, c.size, c.phrase, c.a, k, f.a AS l, r.a AS r, (2000000::HUGEINT * c.a // (f.a + r.a))::BIGINT AS score
-  FROM c, (SELECT unnest([1, 2, 3]) AS k)
-  JOIN g f ON f.lang = c.lang AND f.phrase = array_to_string(c.ws[:k], ' ')
-  JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[k + 1:], ' ')
-  WHERE k < c.size
-  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1
+  SELECT k.lang, k.phrase, k.a, k.k, f.a AS l, r.a AS r, (2000000::HUGEINT * k.a // (f.a + r.a))::BIGINT AS score
+  FROM k JOIN g f ON f.lang = k.lang AND f.phrase = k.first JOIN g r ON r.lang = k.lang AND r.phrase = k.rest
+  QUALIFY row_number() OVER (PARTITION BY k.lang, k.phrase ORDER BY score, k.k) = 1
 ), u AS (
   SELECT lang, sub, max(a) AS longer FROM (
     SELECT lang, a, array_to_string(ws[i:i + n - 1], ' ') AS sub
-    FROM c, (SELECT unnest([2, 3]) AS n), (SELECT unnest([1, 2, 3]) AS i) WHERE n < size AND i + n - 1 <= size) GROUP BY ALL
+    FROM (SELECT *, unnest(range(1, size - n + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS n FROM c))) GROUP BY ALL
 )
 SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, s.a DESC, s.phrase) AS rank,
        s.phrase, s.a, s.l, s.r, n.n, s.score
