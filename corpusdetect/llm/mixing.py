@@ -12,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans import global_index, materialize
+from ..plans import fits_broadcast, global_index, materialize
 from .common import WORD
 
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 SEED = 20240229
+# Sources whose rows are sent to every executor.
+BROADCAST_SOURCES = 100_000
 # The seeded order is a 60-bit number, looked at 12 bits at a time.
 _STEP = 12
 
@@ -68,12 +70,12 @@ def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, weights: tupl
 
 
 def _crossing(sums: DataFrame, cell: str) -> DataFrame:
-    """The cell of each source in which the running size passes the quota."""
+    """The cell of each source in which the running size reaches the quota, at its end or before."""
     upto = Window.partitionBy("source").orderBy(cell)
     return (
         sums.withColumn("_to", F.col("_base") + F.sum("_size").over(upto))
         .withColumn("_base", F.col("_to") - F.col("_size"))
-        .where((F.col("_base") < F.col("_quota")) & (F.col("_quota") < F.col("_to")))
+        .where((F.col("_base") < F.col("_quota")) & (F.col("_quota") <= F.col("_to")))
         .drop("_size", "_to")
     )
 
@@ -107,6 +109,51 @@ def _cutoffs(narrow: DataFrame, quotas: DataFrame) -> DataFrame:
     )
 
 
+def decide(
+    narrow: DataFrame, max_epochs: int = MAX_EPOCHS, weights: tuple[int, ...] = WEIGHTS
+) -> DataFrame:
+    """(source, source_size, target, _whole, _cut), one row per source, written: how often its documents are taken.
+
+    ``narrow`` has source, size and _order of every document. Each is taken ``_whole`` times, and once
+    more if its order is not above ``_cut``.
+    """
+    sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = materialize(source_targets(sizes, max_epochs, weights), "mix-targets")
+    whole = F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs)).cast("bigint")
+    targets = targets.withColumn("_whole", F.when(F.col("source_size") > 0, whole).otherwise(F.lit(0)))
+    targets = targets.withColumn("_quota", F.col("target") - F.col("_whole") * F.col("source_size"))
+    cuts = _cutoffs(narrow, targets.select("source", "_quota"))
+    # No cell reaches the quota: it is nothing, or rounding has put it above all of the source.
+    none = F.when(F.col("_quota") >= F.col("source_size"), F.lit(1 << 60)).otherwise(F.lit(-1))
+    decided = (
+        targets.alias("t")
+        .join(cuts.alias("c"), F.expr("t.source <=> c.source"), "left")
+        .select("t.source", "t.source_size", "t.target", "t._whole", F.coalesce(F.col("c._cut"), none).alias("_cut"))
+    )
+    return materialize(decided, "mix-decided")
+
+
+def _small(decided: DataFrame) -> DataFrame:
+    """One row per source goes to every executor, if there are not too many sources."""
+    return F.broadcast(decided) if fits_broadcast(decided, BROADCAST_SOURCES) else decided
+
+
+def _epochs(order: Column) -> Column:
+    return F.col("s._whole") + (order <= F.col("s._cut")).cast("bigint")
+
+
+def _narrow(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: int) -> DataFrame:
+    return materialize(
+        docs.select(
+            F.col(id_col).alias("doc_id"),
+            F.col(source_col).alias("source"),
+            words(text_col).alias("size"),
+            _order(F.col(id_col), seed).alias("_order"),
+        ),
+        "mix-sizes",
+    )
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -123,51 +170,37 @@ def mix(
     together; an empty table gives no rows. Only id, source and size of the rows are ever moved. The
     order is a hash of seed and id, so reruns and retried tasks agree.
     """
-    narrow = materialize(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            words(text_col).alias("size"),
-            _order(F.col(id_col), seed).alias("_order"),
-        ),
-        "mix-sizes",
-    )
-    sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = materialize(source_targets(sizes, max_epochs, weights), "mix-targets")
-    whole = F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs)).cast("bigint")
-    targets = targets.withColumn("_whole", F.when(F.col("source_size") > 0, whole).otherwise(F.lit(0)))
-    targets = targets.withColumn("_quota", F.col("target") - F.col("_whole") * F.col("source_size"))
-    cuts = _cutoffs(narrow, targets.select("source", "_quota"))
-    # No crossing cell: the quota is nothing, or all of the source.
-    decided = (
-        targets.alias("t")
-        .join(cuts.alias("c"), F.expr("t.source <=> c.source"), "left")
-        .select(
-            "t.*",
-            F.coalesce(
-                F.col("c._cut"),
-                F.when(F.col("_quota") >= F.col("source_size"), F.lit(1 << 60)).otherwise(F.lit(-1)),
-            ).alias("_cut"),
-        )
-    )
-    epochs = F.col("d._whole") + (F.col("n._order") <= F.col("d._cut")).cast("bigint")
+    narrow = _narrow(docs, id_col, source_col, text_col, seed)
+    decided = _small(decide(narrow, max_epochs, weights))
     return (
         narrow.alias("n")
-        .join(decided.alias("d"), F.expr("n.source <=> d.source"))
-        .select("n.doc_id", "n.source", "n.size", "d.source_size", "d.target", epochs.alias("epochs"))
+        .join(decided.alias("s"), F.expr("n.source <=> s.source"))
+        .select("n.doc_id", "n.source", "n.size", "s.source_size", "s.target", _epochs(F.col("n._order")).alias("epochs"))
         .withColumn("taken", F.col("size") * F.col("epochs"))
     )
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken, columns unchanged."""
-    chosen = mix(docs, id_col, **options).where("epochs > 0")
-    # Rows of one id are decided alike.
-    chosen = chosen.groupBy("doc_id", "source").agg(F.min("epochs").alias("epochs"))
-    source = options.get("source_col", "source")
-    times = F.transform(F.sequence(F.lit(1), F.col("c.epochs")), lambda x: x)
-    same = F.col(f"d.{id_col}").eqNullSafe(F.col("c.doc_id")) & F.col(f"d.{source}").eqNullSafe(F.col("c.source"))
-    return docs.alias("d").join(chosen.alias("c"), same).select("d.*", F.explode(times).alias("__time")).drop("__time")
+def repeated(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    text_col: str = "text",
+    max_epochs: int = MAX_EPOCHS,
+    weights: tuple[int, ...] = WEIGHTS,
+    seed: int = SEED,
+) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it is taken, columns unchanged.
+
+    What a row gets follows from its id and its source's row, so texts are read and not shuffled.
+    """
+    decided = _small(decide(_narrow(docs, id_col, source_col, text_col, seed), max_epochs, weights))
+    # The row as one struct, whatever its columns are called.
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col(source_col).alias("source"), _order(F.col(id_col), seed).alias("_order")
+    )
+    met = rows.alias("n").join(decided.alias("s"), F.expr("n.source <=> s.source"))
+    taken = met.select("n.row", _epochs(F.col("n._order")).alias("epochs")).where("epochs > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("epochs")))).select("row.*")
 
 
 ORACLE = f"""

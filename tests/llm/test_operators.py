@@ -88,6 +88,49 @@ def test_mixing_clamps_until_feasible(spark):
     assert got["b"] == pytest.approx(max(free * 2 / 3, free - 300)) and sum(got.values()) == pytest.approx(1111)
 
 
+def taken_by_sql(rows):
+    connection = duckdb.connect()
+    connection.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    connection.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    return sorted(connection.sql(mixing.ORACLE).fetchall(), key=str)
+
+
+@pytest.mark.parametrize("sizes", [(10, 10, 10), (10, 0, 20, 0, 0, 10, 20), (7, 7, 7, 7, 7, 7, 7, 7, 7)])
+def test_mixing_quotas_at_borders_of_documents(spark, sizes):
+    """Two sources with targets that are sums of whole documents: the quota meets a border, or lies in the middle."""
+    rows = [(100 * s + i, "w " * n, f"s{s}") for s in range(2) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = [(r.doc_id, r["size"], r.source_size, r.target, r.taken) for r in mixing.mix(df).collect()]
+    assert sorted(got, key=str) == taken_by_sql(rows)
+    total = sum(sizes)
+    for source, target in ((0, 2 * total / 3), (1, 4 * total / 3)):
+        assert abs(sum(r[4] for r in got if r[0] // 100 == source) - target) <= max(sizes) / 2
+
+
+@pytest.mark.parametrize("spread", [0, 20, 40, 59])
+def test_mixing_quotas_at_borders_of_cells(spark, spread):
+    """Documents whose orders agree in their upper bits share cells of the first or of both levels."""
+    rng = random.Random(spread)
+    narrow = [("s", rng.choice([0, 3, 4, 5]), (1 << 59) + rng.getrandbits(max(1, 59 - spread))) for _ in range(300)]
+    narrow = [*{r[2]: r for r in narrow}.values()]
+    df = spark.createDataFrame(narrow, "source string, size bigint, _order bigint")
+    upto, at = [0], sorted(narrow, key=lambda r: r[2])
+    for r in at:
+        upto.append(upto[-1] + r[1])
+    for quota in [*rng.sample(upto[1:], min(4, len(at))), upto[-1], upto[len(at) // 2] + 1.5]:
+        quotas = spark.createDataFrame([("s", float(quota))], "source string, _quota double")
+        cut = [r._cut for r in mixing._cutoffs(df, quotas).collect()]
+        cut = cut[0] if cut else -1
+        for before, r in zip(upto, at):
+            if r[1]:
+                assert (r[2] <= cut) == (2 * before + r[1] <= 2 * quota)
+
+
+def test_mixing_moves_no_texts(spark):
+    plan = mixing.repeated(spark.read.parquet(f"{SMALL}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and not re.search("Exchange (hash|range|Round)", plan)
+
+
 def test_mixing_awkward(spark, odd, empty):
     rows = mixing.mix(odd).collect()
     assert len(rows) == odd.count() and all(r.size == 0 and r.taken == 0 for r in rows if r.doc_id in (0, 1, 2))
