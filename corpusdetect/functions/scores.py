@@ -71,7 +71,12 @@ def default_setting(top_p: float = 0.95, temperature: float = 0.97) -> Column:
     )
 
 
+def seeded_bits(seed: int, *parts: Column) -> Column:
+    """A whole number below 2 ** 32 that depends on the seed and the row's keys only."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("bigint")
+
+
 def seeded_uniform(seed: int, *parts: Column) -> Column:
     """A number in [0, 1) that depends on the seed and the row's keys only."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return seeded_bits(seed, *parts).cast("double") / F.lit(4294967296.0)

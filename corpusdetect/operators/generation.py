@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from functools import reduce
 from hashlib import sha256
-from math import ceil, log2
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scores import seeded_uniform
+from ..functions.scores import seeded_bits
 from ..functions.text import clean_output, output_budget, prompt_by_format, strip_prompt
 from ..functions.tokens import Tokenizer, characters, token_count
 from ..plans.joins import fits_broadcast, lookup_join
@@ -23,9 +21,19 @@ from ..schemas import SAMPLE_SCHEMA
 SEED = 81053
 ROUNDS_PER_STAGE = 8
 
-# Intervals of a sampling shape sent to every executor, and the parts that larger ones are met by.
-SHAPE_ROWS = 500_000
+# Slots of alias tables sent to every executor.
+SLOTS = 500_000
+# Parts that tokens of one count are dealt to before they are put in order.
 BUCKETS = 64
+# A token whose preceding mass is this near to top-p is taken to be there, whatever the order of a sum.
+ROUNDING = 1e-9
+# A probability of 1 has two to this many parts.
+_PARTS = 28
+# Greedy paths: tokens that a frontier goes on in one job, and jobs before all contexts are taken.
+FRONTIER_STEPS = 8
+FRONTIER_JOBS = 8
+# Each jump table goes this many times as far as the one before.
+JUMP = 4
 # Tokens of finished paths sent to every executor.
 PATH_TOKENS = 10_000_000
 
@@ -40,29 +48,92 @@ def settings_grid(samples: DataFrame, grid: Sequence[dict]) -> DataFrame:
 def sampling_shape(
     counts: DataFrame, temperature: float = 1.0, top_k: int | None = None, top_p: float | None = None
 ) -> DataFrame:
-    """``(model, ctx, token, p, low, high)``: what may follow and how likely.
+    """``(model, ctx, token, p)``: what may follow and how likely.
 
-    Frequencies are sharpened by the temperature, cut to the ``top_k`` most
-    likely, then to those that start below ``top_p`` of the cumulated mass, and
-    scaled to 1; ``[low, high)`` is the token's interval. A window holds the
-    successors of one context of one model, no more than the vocabulary.
+    Frequencies are sharpened by the temperature, cut to the ``top_k`` most likely, then to those that
+    start below ``top_p`` of the cumulated mass (those within ROUNDING of it start there), and scaled to 1.
+    On ties the first tokens stay.
+
+    All successors with one count are alike, so the cuts are found in the histogram of counts: a window
+    holds the different counts of one context, at most the square root of twice its occurrences. Only
+    where a cut goes through the tokens of one count are these put in order.
     """
+    histogram = counts.groupBy("model", "ctx", "c").agg(F.count(F.lit(1)).alias("m"))
     context = Window.partitionBy("model", "ctx")
-    order = context.orderBy(F.desc("weight"), "token")
+    order = context.orderBy(F.desc("c"))
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("c").over(context)
-    shaped = counts.withColumn("weight", F.pow(F.col("c") / total.cast("double"), F.lit(1.0 / temperature)))
-    shaped = shaped.withColumn("place", F.row_number().over(order))
+    total = F.sum(F.col("c") * F.col("m")).over(context)
+    shaped = histogram.withColumn("weight", F.pow(F.col("c") / total.cast("double"), F.lit(1.0 / temperature)))
+    kept = F.col("m")
     if top_k is not None:
-        shaped = shaped.filter(F.col("place") <= top_k)
+        ahead = F.coalesce(F.sum("m").over(before), F.lit(0))
+        kept = F.greatest(F.lit(0), F.least(F.lit(top_k) - ahead, F.col("m")))
+    shaped = shaped.withColumn("kept", kept.cast("bigint"))
     if top_p is not None:
-        reached = F.coalesce(F.sum("weight").over(before), F.lit(0.0)) / F.sum("weight").over(context)
-        shaped = shaped.withColumn("reached", reached).filter(F.col("reached") < top_p)
-    p = F.col("weight") / F.sum("weight").over(context)
-    high = F.sum("p").over(order)
-    shaped = shaped.withColumn("p", p).withColumn("high", high)
-    low = F.coalesce(F.lag("high").over(order), F.lit(0.0))
-    return shaped.withColumn("low", low).select("model", "ctx", "token", "p", "low", "high")
+        mass = F.col("kept") * F.col("weight")
+        limit = F.sum(mass).over(context) * F.lit(top_p - ROUNDING)
+        shaped = shaped.withColumn("room", limit - F.coalesce(F.sum(mass).over(before), F.lit(0.0)))
+        within = F.least(F.ceil(F.col("room") / F.col("weight")), F.col("kept"))
+        # Whatever the limits, the most likely token stays.
+        first = (F.row_number().over(order) == 1).cast("bigint")
+        shaped = shaped.withColumn("kept", F.greatest(first, within))
+    shaped = shaped.withColumn("p", F.col("weight") / F.sum(F.col("kept") * F.col("weight")).over(context))
+    shaped = shaped.where("kept > 0").select("model", "ctx", "c", "m", "kept", "p")
+    rows = counts.join(shaped, ["model", "ctx", "c"])
+    whole = rows.where("kept = m")
+    cut = rows.where("kept < m").withColumn("_deal", F.pmod(F.xxhash64("token"), F.lit(BUCKETS)))
+    for keys in (("model", "ctx", "c", "_deal"), ("model", "ctx", "c")):
+        cut = cut.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy("token"))).where("_place <= kept")
+    return whole.select("model", "ctx", "token", "p").union(cut.select("model", "ctx", "token", "p"))
+
+
+def alias_tables(shape: DataFrame) -> DataFrame:
+    """``(model, ctx, slot, token, other, keep, size, token_size, other_size)``: draws in constant time.
+
+    A context with ``size`` successors has as many slots, numbered from 0 and equally likely. A slot holds
+    ``token`` up to ``keep`` of 2 ** 32 and ``other`` beyond; ``token_size`` and ``other_size`` are the sizes of the
+    contexts that follow, null where the model knows none. So the next draw needs no look at the size.
+
+    Probabilities are rounded to whole parts, with which everything is exact. Tokens below the mean give
+    their slot's rest to the first token above the mean that has something left; when that falls below the mean
+    itself, the next one fills its slot. Which one is found by cumulated deficits and excesses, in
+    one order of both. A window holds the kept successors of one context.
+    """
+    context = Window.partitionBy("model", "ctx")
+    parts = F.greatest(F.lit(1), F.round(F.col("p") * F.lit(float(1 << _PARTS)))).cast("bigint")
+    rows = shape.select("model", "ctx", "token", parts.alias("parts"))
+    rows = rows.withColumns({
+        "size": F.count(F.lit(1)).over(context),
+        "full": F.sum("parts").over(context),
+        "slot": F.row_number().over(context.orderBy("token")) - 1,
+    })
+    gap = F.col("size") * F.col("parts") - F.col("full")
+    rows = rows.withColumn("light", (gap <= 0).cast("int")).withColumn("gap", F.abs(gap))
+    upto = F.sum("gap").over(Window.partitionBy("model", "ctx", "light").orderBy("token"))
+    rows = rows.withColumn("upto", upto).withColumn(
+        "at", F.when(F.col("light") == 1, F.col("upto") - F.col("gap")).otherwise(F.col("upto"))
+    )
+    order = context.orderBy("at", "light", "token")
+    heavy = F.when(F.col("light") == 0, F.col("token"))
+    following = F.first(heavy, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    deficit = F.last(F.when(F.col("light") == 1, F.col("upto")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    left = F.when(F.col("light") == 1, F.col("full") - F.col("gap")).otherwise(
+        F.col("full") + F.col("upto") - F.greatest(F.coalesce("deficit", F.lit(0)), F.col("upto"))
+    )
+    rows = rows.withColumn("other", following).withColumn("deficit", deficit).withColumn("left", left)
+    alone = (F.col("left") >= F.col("full")) | F.col("other").isNull()
+    slots = rows.select(
+        "model", "ctx", "slot", "token",
+        F.when(alone, F.col("token")).otherwise(F.col("other")).alias("other"),
+        F.when(alone, F.lit(1 << 32)).otherwise(F.expr("shiftleft(left, 32) div full")).alias("keep"),
+        "size",
+    )
+    sizes = shape.groupBy("model", "ctx").agg(F.count(F.lit(1)).alias("n"))
+    for name in ("token", "other"):
+        slots = slots.alias("a").join(sizes.alias("b"), F.expr(f"a.model = b.model AND a.{name} = b.ctx"), "left").select(
+            "a.*", F.col("b.n").alias(f"{name}_size")
+        )
+    return slots
 
 
 def likeliest(counts: DataFrame) -> DataFrame:
@@ -71,36 +142,78 @@ def likeliest(counts: DataFrame) -> DataFrame:
     return counts.select("model", "ctx", "c", "token").groupBy("model", "ctx").agg(smallest.alias("token"))
 
 
-def greedy_continuations(counts: DataFrame, steps: int) -> DataFrame:
-    """``(model, ctx, tokens)``: at least ``steps`` likeliest tokens after a context.
+def _step(rows: DataFrame, jump: DataFrame, at: str, to: str) -> DataFrame:
+    """Adds the context ``to`` that ``jump`` (model, ctx, token) leads to from the context ``at``; null where none."""
+    met = rows.alias("r").join(jump.alias("j"), F.expr(f"r.model = j.model AND r.{at} = j.ctx"), "left")
+    return met.select("r.*", F.col("j.token").alias(to))
+
 
-    What follows depends on the last token only, so paths are doubled by
-    joining the table with itself: log2(steps) joins over the contexts instead
-    of one join over all samples per token. Paths end early where the model
-    knows no successor.
+def reachable(greedy: DataFrame, starts: DataFrame) -> DataFrame:
+    """The rows of ``greedy`` (model, ctx, token) for ``starts`` (model, ctx) and all contexts that they lead to.
+
+    A frontier goes on FRONTIER_STEPS tokens a job and keeps what is new. Greedy paths soon run into
+    contexts already seen; where they do not within FRONTIER_JOBS, all contexts are taken.
     """
-    path = likeliest(counts).select("model", "ctx", F.array("token").alias("tokens"), F.col("token").alias("last"))
-    for turn in range(ceil(log2(max(steps, 1)))):
-        after = path.select("model", F.col("ctx").alias("last"), F.col("tokens").alias("more"), F.col("last").alias("end"))
-        path = path.join(after, ["model", "last"], "left").select(
-            "model",
-            "ctx",
-            F.when(F.col("more").isNull(), F.col("tokens")).otherwise(F.concat("tokens", "more")).alias("tokens"),
-            F.coalesce("end", "last").alias("last"),
-        )
-        if turn % 4 == 3:
-            path = materialize(path, "paths")
-    return path.select("model", "ctx", "tokens")
+    known = frontier = materialize(starts.select("model", "ctx").distinct(), "frontier")
+    for _ in range(FRONTIER_JOBS):
+        ahead = frontier.withColumnRenamed("ctx", "c0")
+        for i in range(FRONTIER_STEPS):
+            ahead = _step(ahead, greedy, f"c{i}", f"c{i + 1}")
+        met = ahead.select("model", F.explode(F.array(*[f"c{i + 1}" for i in range(FRONTIER_STEPS)])).alias("ctx"))
+        met = met.where("ctx IS NOT NULL").distinct()
+        frontier = materialize(met.join(known, ["model", "ctx"], "left_anti"), "frontier")
+        if frontier.isEmpty():
+            return greedy.join(known, ["model", "ctx"], "left_semi")
+        known = known.union(frontier)
+    return greedy
+
+
+def jump_tables(steps: DataFrame, longest: int) -> list[DataFrame]:
+    """Tables (model, ctx, token) of where 1, JUMP, JUMP ** 2, … steps lead, as far as ``longest`` asks for."""
+    tables = [steps]
+    while JUMP ** len(tables) <= longest:
+        far = tables[-1].withColumnRenamed("token", "t1")
+        for i in range(1, JUMP):
+            far = _step(far, tables[-1], f"t{i}", f"t{i + 1}")
+        far = far.where(F.col(f"t{JUMP}").isNotNull())
+        tables.append(materialize(far.select("model", "ctx", F.col(f"t{JUMP}").alias("token")), "jumps"))
+    return tables
+
+
+def greedy_continuations(counts: DataFrame, starts: DataFrame) -> DataFrame:
+    """``(model, ctx, tokens)``: the ``need`` likeliest tokens after each of ``starts`` (model, ctx, need).
+
+    What follows depends on the last token only. Contexts that are reached from the starts get jump
+    tables; a path is then laid out from its far jumps down to single steps, so it takes as many joins
+    as its length has digits, and as many rows as tokens are asked for. A path ends early where the
+    model knows no successor. Starts are different (model, ctx).
+    """
+    starts = materialize(starts, "starts")
+    longest = starts.agg(F.max("need")).first()[0] or 0
+    greedy = materialize(likeliest(counts), "likeliest")
+    tables = jump_tables(materialize(reachable(greedy, starts), "steps"), longest)
+    places = starts.where("need > 0").select("model", F.col("ctx").alias("start"), "need", F.lit(0).alias("off"), F.col("ctx").alias("c0"))
+    for level in reversed(range(len(tables))):
+        for i in range(JUMP - 1):
+            places = _step(places, tables[level], f"c{i}", f"c{i + 1}")
+        on = [F.struct((F.col("off") + F.lit(i * JUMP**level)).alias("off"), F.col(f"c{i}").alias("c0")) for i in range(JUMP)]
+        places = places.select("model", "start", "need", F.inline(F.array(*on))).where("off <= need AND c0 IS NOT NULL")
+    # What stands at a place is the token before it.
+    laid = places.where("off > 0").groupBy("model", F.col("start").alias("ctx"))
+    ordered = F.sort_array(F.collect_list(F.struct("off", F.col("c0").alias("token"))))
+    return laid.agg(ordered.alias("path")).select("model", "ctx", F.col("path.token").alias("tokens"))
 
 
 def continue_greedily(open_rows: DataFrame, counts: DataFrame) -> DataFrame:
     """Adds ``tokens``: up to ``budget`` likeliest tokens after the column ``last``.
 
-    Paths are as long as the largest budget, which is looked up first.
+    Each (model, last) gets one path, as long as the largest budget of its rows.
     """
     open_rows = materialize(open_rows, "open-rows")
-    longest = open_rows.agg(F.max("budget")).first()[0] or 1
-    paths = materialize(greedy_continuations(counts, longest), "continuations")
+    starts = open_rows.where("last IS NOT NULL").groupBy("model", F.col("last").alias("ctx")).agg(F.max("budget").alias("need"))
+    paths = materialize(greedy_continuations(counts, starts), "continuations")
+    # A path has no more tokens than the largest budget.
+    longest = paths.agg(F.max(F.size("tokens"))).first()[0] or 1
     joined = lookup_join(
         open_rows.withColumn("ctx", F.col("last")), paths, ["model", "ctx"], "left", max_rows=PATH_TOKENS // longest
     )
@@ -108,26 +221,25 @@ def continue_greedily(open_rows: DataFrame, counts: DataFrame) -> DataFrame:
     return joined.withColumn("tokens", F.slice(F.coalesce("tokens", nothing), F.lit(1), F.col("budget"))).drop("ctx")
 
 
-def continue_sampled(open_rows: DataFrame, shape: DataFrame, key: Sequence[str], seed: int = SEED) -> DataFrame:
+def continue_sampled(
+    open_rows: DataFrame, shape: DataFrame, key: Sequence[str], seed: int = SEED, max_rows: int | None = None
+) -> DataFrame:
     """Adds ``tokens``: up to ``budget`` tokens drawn from the shaped models.
 
-    The draw of step i depends on the seed, the row's ``key`` and i only, so
-    results do not depend on how rows are spread. Up to SHAPE_ROWS intervals go
-    to every executor and each row is continued there to its end; larger models
-    are met in a join per token until no row is open.
+    The draw of step i depends on the seed, the row's ``key`` and i only, so results do not depend on how
+    rows are spread. Alias tables of up to ``max_rows`` slots (SLOTS) go to every executor and each row is
+    continued there to its end; larger ones are met in one equi-join per token until no row is open.
     """
-    shape = materialize(shape.select("model", "ctx", "token", "high"), "shape")
-    if fits_broadcast(shape, SHAPE_ROWS):
-        return _draw_in_tasks(open_rows, shape.collect(), list(key), seed)
-    return _draw_by_joins(open_rows, shape, list(key), seed)
-
-
-def _draw_in_tasks(open_rows: DataFrame, intervals: list, key: list[str], seed: int) -> DataFrame:
-    choices: dict[tuple, tuple[list, list]] = {}
-    for row in sorted(intervals, key=lambda r: (r["model"], r["ctx"], r["high"])):
-        highs, tokens = choices.setdefault((row["model"], row["ctx"]), ([], []))
-        highs.append(row["high"])
-        tokens.append(row["token"])
+    slots = materialize(alias_tables(materialize(shape.select("model", "ctx", "token", "p"), "shape")), "slots")
+    if fits_broadcast(slots, SLOTS if max_rows is None else max_rows):
+        return _draw_in_tasks(open_rows, slots.collect(), list(key), seed)
+    return _draw_by_joins(open_rows, slots, list(key), seed)
+
+
+def _draw_in_tasks(open_rows: DataFrame, slots: list, key: list[str], seed: int) -> DataFrame:
+    choices: dict[tuple, list] = {}
+    for row in slots:
+        choices.setdefault((row["model"], row["ctx"]), [None] * row["size"])[row["slot"]] = (row["token"], row["other"], row["keep"])
     rows = open_rows.withColumn("_key", F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
     own = rows.select("_key", "model", "last", "budget", *[c for c in open_rows.columns if c not in ("model", "last", "budget")])
     schema = T.StructType([*[f for f in own.schema if f.name != "_key"], T.StructField("tokens", T.ArrayType(T.StringType()))])
@@ -138,10 +250,10 @@ def _draw_in_tasks(open_rows: DataFrame, intervals: list, key: list[str], seed:
             for name, model, last, budget in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 tokens: list[str] = []
                 while len(tokens) < (budget or 0) and (model, last) in choices:
-                    highs, follow = choices[model, last]
-                    digest = sha256(f"{name}|{len(tokens)}".encode()).hexdigest()
-                    # Rounding may leave the last interval short of 1.
-                    last = follow[min(bisect_right(highs, int(digest[:8], 16) / 2**32), len(follow) - 1)]
+                    own = choices[model, last]
+                    place = int(sha256(f"{name}|{len(tokens)}".encode()).hexdigest()[:8], 16) * len(own)
+                    token, other, keep = own[place >> 32]
+                    last = token if place & 0xFFFFFFFF < keep else other
                     tokens.append(last)
                 out.append(tokens)
                 ends.append(last)
@@ -152,41 +264,39 @@ def _draw_in_tasks(open_rows: DataFrame, intervals: list, key: list[str], seed:
     return own.mapInArrow(draw, schema)
 
 
-def _draw_by_joins(open_rows: DataFrame, shape: DataFrame, key: list[str], seed: int) -> DataFrame:
-    """A context's intervals are met by the bucket of the drawn number, so a step does not multiply rows.
-
-    ``[0, 1)`` is cut into BUCKETS equal parts; an interval is listed under every part it touches.
-    """
-    before = Window.partitionBy("model", "ctx").orderBy("high")
-    low = F.coalesce(F.lag("high").over(before), F.lit(0.0))
-    last = F.lead("high").over(before).isNull()
-    listed = shape.withColumn("low", low).withColumn("high", F.when(last, F.lit(1.0)).otherwise(F.col("high")))
-    part = lambda x: F.least(F.floor(x * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
-    listed = materialize(
-        listed.withColumn("part", F.explode(F.sequence(part(F.col("low")), part(F.col("high"))))), "intervals"
+def _draw_by_joins(open_rows: DataFrame, slots: DataFrame, key: list[str], seed: int) -> DataFrame:
+    """A row knows the size of its context from the draw before, so a step is one join on its slot."""
+    sizes = slots.where("slot = 0").select("model", "ctx", "size")
+    rows = open_rows.alias("r").join(sizes.alias("s"), F.expr("r.model = s.model AND r.last = s.ctx"), "left").select(
+        "r.*", F.array().cast("array<string>").alias("tokens"), F.col("s.size").alias("_size")
     )
-    rows = open_rows.withColumn("tokens", F.array().cast("array<string>")).withColumn("_open", F.col("budget") > 0)
+    rows = rows.withColumn("_size", F.when(F.col("budget") > 0, F.col("_size")))
     step = 0
     while True:
-        drawn = seeded_uniform(seed, *[F.col(k) for k in key], F.lit(step))
-        asked = rows.withColumn("u", drawn).withColumn("part", part(F.col("u"))).withColumn("ctx", F.col("last"))
-        a, b = asked.alias("a"), listed.alias("b")
-        inside = F.expr(
-            "a._open AND a.model = b.model AND a.ctx = b.ctx AND a.part = b.part AND b.low <= a.u AND a.u < b.high"
+        place = seeded_bits(seed, *[F.col(k) for k in key], F.lit(step)) * F.col("_size")
+        asked = rows.withColumn("_place", place).withColumn("_slot", F.shiftrightunsigned("_place", 32))
+        met = asked.alias("r").join(
+            slots.alias("s"), F.expr("r.model = s.model AND r.last = s.ctx AND r._slot = s.slot"), "left"
         )
-        met = a.join(b, inside, "left").select("a.*", F.col("b.token").alias("next"))
-        grown = F.when(F.col("next").isNull(), F.col("tokens")).otherwise(F.concat("tokens", F.array("next")))
+        first = F.col("r._place").bitwiseAND(F.lit(0xFFFFFFFF)) < F.col("s.keep")
+        drawn = F.when(first, F.col("s.token")).otherwise(F.col("s.other"))
+        after = F.when(first, F.col("s.token_size")).otherwise(F.col("s.other_size"))
+        met = met.select("r.*", drawn.alias("_next"), after.alias("_after"))
+        grown = F.when(F.col("_next").isNull(), F.col("tokens")).otherwise(F.concat("tokens", F.array("_next")))
         rows = met.select(
-            *open_rows.drop("last").columns,
-            F.coalesce("next", "last").alias("last"),
+            *[F.coalesce("_next", "last").alias(c) if c == "last" else c for c in open_rows.columns],
             grown.alias("tokens"),
-            (F.col("next").isNotNull() & (F.size(grown) < F.col("budget"))).alias("_open"),
+            F.when(F.col("_next").isNotNull() & (F.size(grown) < F.col("budget")), F.col("_after")).alias("_size"),
         )
         step += 1
         if step % ROUNDS_PER_STAGE == 0:
+            # Rows that are done are put aside and not carried through later joins.
             rows = materialize(rows, "round")
-            if rows.filter("_open").isEmpty():
-                return rows.drop("_open")
+            still = rows.where("_size IS NOT NULL")
+            ended = rows.where("_size IS NULL") if step == ROUNDS_PER_STAGE else ended.union(rows.where("_size IS NULL"))  # noqa: F821
+            if still.isEmpty():
+                return ended.drop("_size")
+            rows = still
 
 
 def best_of(candidates: DataFrame, group: Sequence[str], score: Column, output: str = "output") -> DataFrame:

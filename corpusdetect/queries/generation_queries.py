@@ -65,27 +65,52 @@ _SHAPE = """SELECT model, ctx, token, w / sum(w) OVER (PARTITION BY model, ctx)
     (SELECT *, sum(w) OVER (PARTITION BY model, ctx ORDER BY w DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) / sum(w) OVER (PARTITION BY model, ctx) AS reached FROM
       (SELECT *, row_number() OVER (PARTITION BY model, ctx ORDER BY w DESC, token) AS place FROM
         (SELECT model, ctx, token, pow(c / (sum(c) OVER (PARTITION BY model, ctx))::DOUBLE, 1e0 / 0.97e0) AS w FROM counts)) WHERE place <= 50)
-    WHERE coalesce(reached, 0e0) < 0.95e0"""
-_CUMULATED = "SELECT *, coalesce(sum(p) OVER (PARTITION BY model, ctx ORDER BY p DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS low, sum(p) OVER (PARTITION BY model, ctx ORDER BY p DESC, token ROWS UNBOUNDED PRECEDING) AS high FROM shape"
+    WHERE coalesce(reached, 0e0) < 0.95e0 - 1e-9"""
+# Every slot keeps its token up to a whole part of 2 ** 32 and holds one other token beyond. Lights are at their
+# deficits before them, heavies at their excesses with them; a slot's other token is the next heavy.
+_ALIAS = """SELECT model, ctx, n, slot, token, CASE WHEN alone THEN token ELSE other END AS other,
+      CASE WHEN alone THEN 4294967296 ELSE (rest * 4294967296) // W END AS keep FROM
+    (SELECT *, rest >= W OR other IS NULL AS alone FROM
+      (SELECT *, CASE WHEN light THEN W - gap ELSE W + upto - greatest(coalesce(deficit, 0), upto) END AS rest FROM
+        (SELECT *, first_value(CASE WHEN NOT light THEN token END IGNORE NULLS) OVER (PARTITION BY model, ctx ORDER BY spot, light, token
+              ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS other,
+            last_value(CASE WHEN light THEN upto END IGNORE NULLS) OVER (PARTITION BY model, ctx ORDER BY spot, light, token
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS deficit FROM
+          (SELECT *, CASE WHEN light THEN upto - gap ELSE upto END AS spot FROM
+            (SELECT *, (sum(gap) OVER (PARTITION BY model, ctx, light ORDER BY token))::BIGINT AS upto FROM
+              (SELECT *, n * parts <= W AS light, abs(n * parts - W) AS gap FROM
+                (SELECT model, ctx, token, parts, count(*) OVER (PARTITION BY model, ctx) AS n, (sum(parts) OVER (PARTITION BY model, ctx))::BIGINT AS W,
+                    row_number() OVER (PARTITION BY model, ctx ORDER BY token) - 1 AS slot FROM
+                  (SELECT model, ctx, token, greatest(1, round(p * 268435456e0))::BIGINT AS parts FROM shape))))))))"""
 
 
 def _shape(spark, folder):
     return gen.sampling_shape(_counts(spark, folder), temperature=0.97, top_k=50, top_p=0.95)
 
 
-@query("sampling_shape", sql(*_BASE[:2], ("shape", _SHAPE), ("cum", _CUMULATED), select=f"SELECT model, ctx, token, {sql6('p')} AS p, {sql6('high')} AS high FROM cum"))
+@query("sampling_shape", sql(*_BASE[:2], ("shape", _SHAPE), select=f"SELECT model, ctx, token, {sql6('p')} AS p FROM shape"))
 def sampling_shape(spark, folder):
-    return _shape(spark, folder).select("model", "ctx", "token", r6("p").alias("p"), r6("high").alias("high"))
+    return _shape(spark, folder).select("model", "ctx", "token", r6("p").alias("p"))
+
+
+@query("alias_tables", sql(*_BASE[:2], ("shape", _SHAPE), ("alias", _ALIAS), select="""SELECT model, ctx, slot, token, other, keep, n AS size,
+    (SELECT count(*) FROM shape s WHERE s.model = a.model AND s.ctx = a.token) AS token_size FROM alias a"""))
+def alias_tables(spark, folder):
+    """Slots from which a token is drawn in constant time."""
+    slots = gen.alias_tables(_shape(spark, folder))
+    return slots.select("model", "ctx", F.col("slot").cast("bigint").alias("slot"), "token", "other", "keep", "size",
+                        F.coalesce("token_size", F.lit(0)).alias("token_size"))
 
 
 _CANDIDATES = 3
-_UNIFORM = "('0x' || substr(sha256('81053|' || sample_id || '|' || model || '|' || candidate || '|' || k), 1, 8))::BIGINT / 4294967296e0"
-_DRAW = f"""SELECT sample_id, model, candidate, budget, 0 AS k, last, {_UNIFORM.replace("|| k)", "|| 0)")} AS u FROM open_rows, (SELECT unnest(range({_CANDIDATES})) AS candidate)
-    UNION ALL SELECT d.sample_id, d.model, d.candidate, d.budget, d.k + 1, c.token, {_UNIFORM.replace("sample_id", "d.sample_id").replace("model", "d.model").replace("candidate", "d.candidate").replace("|| k)", "|| (d.k + 1))")}
-      FROM draw d JOIN cum c ON c.model = d.model AND c.ctx = d.last AND c.low <= d.u AND (d.u < c.high OR c.final) WHERE d.k < d.budget"""
-_CUM = """SELECT *, lead(high) OVER (PARTITION BY model, ctx ORDER BY high) IS NULL AS final FROM cum0"""
-_SAMPLED = _BASE[:2] + (("shape", _SHAPE), ("cum0", _CUMULATED), ("cum", _CUM), ("registry", _REGISTRY_SQL), ("open_rows", _OPEN),
-           ("draw(sample_id, model, candidate, budget, k, last, u)", _DRAW),
+_BITS = "('0x' || substr(sha256('81053|' || sample_id || '|' || model || '|' || candidate || '|' || k), 1, 8))::BIGINT"
+_DRAW = f"""SELECT sample_id, model, candidate, budget, 0 AS k, last, {_BITS.replace("|| k)", "|| 0)")} AS x FROM open_rows, (SELECT unnest(range({_CANDIDATES})) AS candidate)
+    UNION ALL SELECT d.sample_id, d.model, d.candidate, d.budget, d.k + 1, CASE WHEN (d.x * a.n) & 4294967295 < a.keep THEN a.token ELSE a.other END,
+      {_BITS.replace("sample_id", "d.sample_id").replace("model", "d.model").replace("candidate", "d.candidate").replace("|| k)", "|| (d.k + 1))")}
+      FROM draw d JOIN sizes z ON z.model = d.model AND z.ctx = d.last JOIN alias a ON a.model = d.model AND a.ctx = d.last AND a.slot = (d.x * z.n) >> 32
+      WHERE d.k < d.budget"""
+_SAMPLED = _BASE[:2] + (("shape", _SHAPE), ("alias", _ALIAS), ("sizes", "SELECT model, ctx, count(*) AS n FROM shape GROUP BY ALL"),
+           ("registry", _REGISTRY_SQL), ("open_rows", _OPEN), ("draw(sample_id, model, candidate, budget, k, last, x)", _DRAW),
            ("ended", "SELECT sample_id, model, candidate, coalesce(string_agg(last, '' ORDER BY k) FILTER (k > 0), '') AS output FROM draw GROUP BY ALL"))
 
 
