@@ -17,6 +17,7 @@ from ..functions.text import calendar_epoch, sample_row_hash
 from ..functions.tokens import Tokenizer, token_count, words
 from ..plans.joins import lookup_join
 from ..plans.ranking import global_index
+from ..plans.sketch import may_contain
 from ..schemas import HUMAN
 
 Filter = Callable[[DataFrame], DataFrame]
@@ -52,12 +53,19 @@ def length(span: range, tokenizer: Tokenizer = words, column: str = "Code") -> F
     return where((count >= span.start) & (count < span.stop) & on_step)
 
 
-def distribution(hashes: DataFrame, row_hash: Column | None = None) -> Filter:
-    """Rows whose sample hash occurs in ``hashes`` (one column ``hash``)."""
+def distribution(hashes: DataFrame, row_hash: Column | None = None, sketch: DataFrame | None = None) -> Filter:
+    """Rows whose sample hash occurs in ``hashes`` (one column ``hash``).
+
+    With a ``sketch`` of the hashes (:mod:`plans.sketch`) rows that surely do not occur are dropped in the
+    scan, and only the others are shuffled to meet the list.
+    """
     key = sample_row_hash() if row_hash is None else row_hash
 
     def apply(df: DataFrame) -> DataFrame:
         keyed = df.withColumn("hash", key)
+        if sketch is not None:
+            # Spark would push a semi join below the sketch's.
+            return lookup_join(may_contain(keyed, sketch, "hash"), hashes.select("hash").distinct(), ["hash"]).drop("hash")
         return lookup_join(keyed, hashes.select("hash"), ["hash"], "left_semi").drop("hash")
 
     return apply

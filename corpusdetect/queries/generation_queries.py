@@ -10,8 +10,10 @@ from ..functions.text import sample_row_hash
 from ..operators import generation as gen
 from ..operators import ngram
 from ..operators import setops as so
-from ..plans.storage import scratch_path
+from ..plans import sketch
+from ..plans.storage import materialize, scratch_path
 from ..schemas import HUMAN, SAMPLE_SCHEMA
+from ..sources.bucketed import BucketedStore
 from ..streaming import ingest
 from .detection_queries import MODELS, RUN_TIME, _BASE, corpus
 from .registry import query, r6, sql6
@@ -208,6 +210,30 @@ def stream_dedupe(spark, folder):
     return spark.read.parquet(target).select("hash")
 
 
+@query("stream_dedupe_two_runs", sql("samples", select=f"SELECT DISTINCT {SAMPLE_HASH} AS hash FROM samples"))
+def stream_dedupe_two_runs(spark, folder):
+    """Half of the samples, then all of them from a new checkpoint, into one store."""
+    target, rows = scratch_path(spark, "target"), samples(spark, folder)
+    for part in ("sample_id % 2 = 0", "true"):
+        store = scratch_path(spark, "store")
+        rows.filter(part).drop("sample_id").repartition(2).write.parquet(store)
+        stream = ingest.read_stream(spark, store, files_per_batch=2)
+        ingest.append_unique(stream, target, scratch_path(spark, "position")).awaitTermination()
+    return spark.read.parquet(target).select("hash")
+
+
+@query("stream_unique_in_time", sql("samples", select=f"SELECT DISTINCT {SAMPLE_HASH} AS hash FROM samples"))
+def stream_unique_in_time(spark, folder):
+    """Every sample arrives twice; the second arrival is known by state that the watermark bounds."""
+    store, target, position = (scratch_path(spark, x) for x in ("store", "target", "position"))
+    rows = samples(spark, folder).drop("sample_id")
+    rows.unionByName(rows).repartition(4).write.parquet(store)
+    dated = ingest.read_stream(spark, store, files_per_batch=2).withColumn("at", F.timestamp_seconds("Date"))
+    first = lambda stream: ingest.unique_samples(stream, ("at", "36500 days")).select("hash")
+    ingest.ingest(dated, first, target, position).awaitTermination()
+    return spark.read.parquet(target)
+
+
 @query("stream_scores", sql("samples", select="SELECT sample_id, length(Code) AS Value FROM samples"))
 def stream_scores(spark, folder):
     """Scores appended per micro-batch, each batch once however often it runs."""
@@ -215,7 +241,9 @@ def stream_scores(spark, folder):
     rows = samples(spark, folder).select("sample_id", "Code")
     rows.repartition(4).write.parquet(store)
     score = lambda batch: batch.select("sample_id", F.length("Code").cast("bigint").alias("Value"))
-    ingest.score_stream(ingest.read_stream(spark, store, rows.schema, 2), score, target, position).awaitTermination()
+    for where in (position, scratch_path(spark, "position")):  # all again after the first position is lost
+        stream = ingest.read_stream(spark, store, rows.schema, 2)
+        ingest.score_stream(stream, score, target, where, ["sample_id"]).awaitTermination()
     return spark.read.parquet(target).select("sample_id", "Value")
 
 
@@ -229,6 +257,32 @@ def resume_antijoin(spark, folder):
     return ingest.remaining(rows, done).select("sample_id")
 
 
+@query("resume_with_sketch", sql("samples", select=f"""SELECT sample_id FROM samples WHERE {SAMPLE_HASH} NOT IN
+    (SELECT {SAMPLE_HASH} FROM samples JOIN labels ON doc_id = sample_id)"""))
+def resume_with_sketch(spark, folder):
+    """As resume_antijoin, with a sketch in two pieces beside the list of what is done."""
+    rows, path = samples(spark, folder), scratch_path(spark, "sketch")
+    labelled = table(spark, folder, "labels").select(F.col("doc_id").alias("sample_id"))
+    done = materialize(rows.join(labelled, "sample_id", "left_semi").select(sample_row_hash().alias("CodeSampleHash")), "done")
+    blocks = sketch.blocks_for(done.count())
+    for digits in ("CodeSampleHash < '8'", "CodeSampleHash >= '8'"):
+        sketch.write_sketch(done.where(digits), "CodeSampleHash", path, blocks)
+    return ingest.remaining(rows, done, sketch=sketch.read_sketch(spark, path)).select("sample_id")
+
+
+@query("resume_bucketed", sql("samples", select=f"""SELECT sample_id FROM samples WHERE {SAMPLE_HASH} NOT IN
+    (SELECT {SAMPLE_HASH} FROM samples JOIN labels ON doc_id = sample_id)"""))
+def resume_bucketed(spark, folder):
+    """As resume_antijoin, against a store in buckets by the hash."""
+    path = scratch_path(spark, "bucketed")
+    store = BucketedStore(spark, path.rsplit("/", 1)[1].replace("-", "_"), path, "CodeSampleHash", 8)
+    rows = samples(spark, folder).withColumn("CodeSampleHash", sample_row_hash())
+    labelled = table(spark, folder, "labels").select(F.col("doc_id").alias("sample_id"))
+    for _ in range(2):  # what is stored already is not stored again
+        store.add_missing(rows.join(labelled, "sample_id", "left_semi"))
+    return store.missing(rows).select("sample_id")
+
+
 @query("resume_scores", sql("samples", "detections", select="""SELECT sample_id, Detector, BaseModel, SecondaryModel FROM detections
     WHERE NOT (Detector = 'rank' OR (Detector = 'binoculars' AND BaseModel = 'gen-a'))"""))
 def resume_scores(spark, folder):

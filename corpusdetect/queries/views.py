@@ -58,7 +58,7 @@ def samples(spark: SparkSession, folder: str, raw_language: bool = False) -> Dat
         "CAST(NULL AS int) AS TopK",
         f"{generated} {_pick((0.95, 0.5, 0.95, 0.5), '(doc_id div 4) % 4')} END AS TopP",
         f"{generated} {_pick((0.97, 0.97, 0.2, 0.2), '(doc_id div 4) % 4')} END AS Temperature",
-        "source AS Prompt",
+        "text AS Prompt",
         "text AS OriginalPrompt",
         "1420070400 + doc_id * 86400 AS Date",
         f"{_pick(CORPORA, '(doc_id div 16) % 6')} AS Dataset",
@@ -114,7 +114,7 @@ def _samples_sql(language: str) -> str:
       text AS Code, CAST(NULL AS INTEGER) AS TopK,
       CASE WHEN doc_id % 4 <> 0 THEN ({_list((0.95, 0.5, 0.95, 0.5))})[(doc_id // 4) % 4 + 1] END AS TopP,
       CASE WHEN doc_id % 4 <> 0 THEN ({_list((0.97, 0.97, 0.2, 0.2))})[(doc_id // 4) % 4 + 1] END AS Temperature,
-      source AS Prompt, text AS OriginalPrompt,
+      text AS Prompt, text AS OriginalPrompt,
       1420070400 + doc_id * 86400 AS Date,
       ({_list(CORPORA)})[(doc_id // 16) % 6 + 1] AS Dataset
     FROM documents"""
