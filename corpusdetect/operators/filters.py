@@ -9,19 +9,23 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.languages import canonical_language
 from ..functions.text import calendar_epoch, sample_row_hash
 from ..functions.tokens import Tokenizer, token_count, words
-from ..plans.joins import lookup_join
+from ..plans.joins import fits_broadcast, lookup_join
 from ..plans.ranking import global_index
 from ..plans.sketch import may_contain
+from ..plans.storage import materialize
 from ..schemas import HUMAN
 
 Filter = Callable[[DataFrame], DataFrame]
 
+# Order keys of an index filter sent to every executor.
+CHOSEN = 1_000_000
+
 
 def _bound(date: int | tuple[int, int, int]) -> int:
     return calendar_epoch(*date) if isinstance(date, tuple) else date
@@ -71,15 +75,35 @@ def distribution(hashes: DataFrame, row_hash: Column | None = None, sketch: Data
     return apply
 
 
-def index(span: range, order: Sequence[Column]) -> Filter:
-    """Rows whose number, counted from 0 in ``order`` after earlier filters, is in ``span``."""
+def index(span: range, order: Sequence[Column], descending: bool = False) -> Filter:
+    """Rows whose number, counted from 0 in ``order`` after earlier filters, is in ``span``.
+
+    Only order keys are sorted and numbered. Up to CHOSEN keys of the span go to every executor, so that
+    no other row is moved; of rows with equal keys as many stay as have a number in the span.
+    """
 
     def apply(df: DataFrame) -> DataFrame:
-        numbered = global_index(df, order, "_index")
+        names = [f"o{i}" for i in range(len(order))]
+        key = [o.alias(n) for o, n in zip(order, names)]
+        ranked = global_index(df.select(*key), [F.desc(n) if descending else F.asc(n) for n in names], "_index")
         position = F.col("_index")
         on_step = (position - F.lit(span.start)) % F.lit(span.step) == 0
         inside = (position >= span.start) & (position < span.stop) & on_step
-        return numbered.filter(inside).drop("_index")
+        chosen = ranked.filter(inside).groupBy(*names).agg(F.count(F.lit(1)).alias("_chosen"))
+        chosen = materialize(chosen, "chosen")
+        small = F.broadcast(chosen) if fits_broadcast(chosen, CHOSEN) else chosen
+        rows = df.select(F.struct("*").alias("row"), F.struct(*key).alias("key"))
+        small = small.select(F.struct(*names).alias("_key"), "_chosen")
+        met = rows.join(small, F.col("key").eqNullSafe(F.col("_key")))
+        # Of rows with one key all, or as many as are chosen.
+        all_of = ranked.groupBy(*names).agg(F.count(F.lit(1)).alias("_all")).where("_all > 1")
+        tied = materialize(all_of.select(F.struct(*names).alias("_tied"), "_all"), "ties")
+        if tied.isEmpty():
+            return met.select("row.*")
+        met = met.join(F.broadcast(tied) if fits_broadcast(tied, CHOSEN) else tied, F.col("key").eqNullSafe(F.col("_tied")), "left")
+        partly = met.where("_all > _chosen").withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("row")))
+        whole = met.where("_all IS NULL OR _all = _chosen").select("row.*")
+        return whole.union(partly.where("_n <= _chosen").select("row.*"))
 
     return apply
 

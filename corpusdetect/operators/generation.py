@@ -115,7 +115,9 @@ def alias_tables(shape: DataFrame) -> DataFrame:
     )
     order = context.orderBy("at", "light", "token")
     heavy = F.when(F.col("light") == 0, F.col("token"))
-    following = F.first(heavy, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    # What follows is read from the end, as a frame that only grows is gone through once.
+    back = context.orderBy(F.desc("at"), F.desc("light"), F.desc("token"))
+    following = F.last(heavy, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     deficit = F.last(F.when(F.col("light") == 1, F.col("upto")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     left = F.when(F.col("light") == 1, F.col("full") - F.col("gap")).otherwise(
         F.col("full") + F.col("upto") - F.greatest(F.coalesce("deficit", F.lit(0)), F.col("upto"))

@@ -9,9 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import sample_row_hash
+from ..plans.joins import fits_broadcast
 from ..plans.storage import materialize
 from ..schemas import HUMAN
 
+# Hashes of repeated rows sent to every executor.
+REPEATED = 1_000_000
+
 
 def concatenate(tables: Sequence[DataFrame], order_name: str = "src_ord") -> DataFrame:
     """Union of equally typed tables; ``order_name`` tells where a row came from."""
@@ -34,15 +38,30 @@ def combined_tag(tags: Sequence[str]) -> str:
 def first_wins(df: DataFrame, order: Sequence[Column], key: Column | None = None) -> DataFrame:
     """The first row, in ``order``, of every set of rows with the same sample hash.
 
-    Of rows with equal order keys too, one stays. The rows are written with a number each, which settles
-    such ties and by which they are met again: texts take no part in the aggregate, copies are reduced
-    in each task, and no copy, however frequent, makes a hot key.
+    Of rows with equal order keys too, one stays. Only hashes and order keys are counted and shuffled;
+    what comes out are the hashes that occur more than once. Up to REPEATED of these go to every executor, and
+    rows are kept or dropped where they are read. Copies are reduced in each task, so no copy, however
+    frequent, makes a hot key.
     """
-    number = F.monotonically_increasing_id().alias("_row")
-    rows = materialize(df.select("*", (sample_row_hash() if key is None else key).alias("_key"), number), "numbered")
-    place = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], "_row")
-    first = rows.groupBy("_key").agg(F.min(place).alias("_place")).select("_place._row")
-    return rows.join(first, "_row", "left_semi").select(*df.columns)
+    rows = df.select(
+        F.struct("*").alias("row"),
+        (sample_row_hash() if key is None else key).alias("key"),
+        F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("place"),
+    )
+    at_place = rows.groupBy("key", "place").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct("place", "n")).alias("first")
+    sets = at_place.groupBy("key").agg(first, F.sum("n").alias("n")).where("n > 1")
+    repeated = materialize(
+        sets.select(F.col("key").alias("_key"), F.col("first.place").alias("_place"), F.col("first.n").alias("_ties")),
+        "repeated",
+    )
+    small = F.broadcast(repeated) if fits_broadcast(repeated, REPEATED) else repeated
+    met = rows.join(small, F.col("key").eqNullSafe(F.col("_key")), "left")
+    kept = met.where(F.col("_ties").isNull() | F.col("place").eqNullSafe(F.col("_place")))
+    if repeated.where("_ties > 1").isEmpty():
+        return kept.select("row.*")
+    tied = kept.where("_ties > 1").dropDuplicates(["key"])
+    return kept.where("_ties IS NULL OR _ties = 1").select("row.*").union(tied.select("row.*"))
 
 
 def interlace(samples: DataFrame, key: str, generators: Sequence[str]) -> DataFrame:

@@ -34,10 +34,11 @@ def area(spark, human, ai, **options):
 @pytest.mark.parametrize("diff, groups", [(100, [[1, 6], [5], [3, 2], [4, 0]]), (0.25, [[1], [6], [5], [3, 2], [4, 0]])])
 def test_size_groups(spark, diff, groups):
     df = spark.createDataFrame(list(enumerate(LENGTHS)), "i int, length int")
-    found = {}
-    for r in gp.size_groups(df, "length", diff).orderBy("length").collect():
-        found.setdefault(r.size_group, []).append(r.i)
-    assert [found[g] for g in sorted(found)] == groups
+    for fold_up_to in (1000, 0):
+        found = {}
+        for r in gp.size_groups(df, "length", diff, fold_up_to).orderBy("length").collect():
+            found.setdefault(r.size_group, []).append(r.i)
+        assert [found[g] for g in sorted(found)] == groups
 
 
 def test_auroc_ties_and_extremes(spark):

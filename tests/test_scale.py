@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusdetect.functions.tokens import characters
 from corpusdetect.operators import evaluation as ev
+from corpusdetect.operators import filters as flt
+from corpusdetect.operators import grouping as gp
 from corpusdetect.operators import ngram
 from corpusdetect.operators import setops as so
 from corpusdetect.plans import global_index, lookup_join, shared_folder
@@ -154,3 +156,56 @@ def test_repeated_batches_do_not_duplicate(spark, tmp_path):
             ingest.read_stream(spark, store, schema, 2), lambda b: b, target, str(tmp_path / position)
         ).awaitTermination()
     assert spark.read.parquet(target).count() == 20
+
+
+def plain_groups(lengths, diff):
+    out, anchor, group = {}, None, -1
+    for n in sorted(set(lengths)):
+        if anchor is None or n - anchor > (n * diff if isinstance(diff, float) else diff):
+            anchor, group = n, group + 1
+        out[n] = group
+    return out
+
+
+@pytest.mark.parametrize("diff", [0.25, 1.0, 0, 40])
+def test_size_groups_by_pointers(spark, diff):
+    rng = random.Random(3)
+    lengths = [rng.randrange(1, 2000) for _ in range(250)] + [0, 0, 1]
+    df = spark.createDataFrame([(n,) for n in [*lengths, None]], "length int").repartition(5)
+    found = {r.length: r.size_group for r in gp.size_groups(df, "length", diff, fold_up_to=0).collect()}
+    assert found == plain_groups(lengths, diff) | {None: None}
+    assert gp.size_groups(df.limit(0), "length", diff, fold_up_to=0).count() == 0
+
+
+def test_size_groups_of_a_million_lengths(spark):
+    df = spark.range(1, 1_000_001).selectExpr("CAST(id AS int) AS length")
+    groups = gp.size_groups(df, "length", 0.01).groupBy("size_group").agg(F.min("length").alias("low"), F.max("length").alias("high"))
+    found = sorted((r.size_group, r.low, r.high) for r in groups.collect())
+    wanted = plain_groups(range(1, 1_000_001), 0.01)
+    assert len(found) == max(wanted.values()) + 1
+    assert all(wanted[low] == wanted[high] == g and wanted.get(high + 1, g + 1) == g + 1 for g, low, high in found)
+
+
+@pytest.mark.parametrize("chosen", [flt.CHOSEN, 0])
+def test_index_filter_numbers_keys_only(spark, monkeypatch, chosen):
+    monkeypatch.setattr(flt, "CHOSEN", chosen)
+    rng = random.Random(1)
+    rows = [(rng.choice([None, 1, 2, 3, 4]), rng.randrange(30), f"text {i}", i, "x") for i in range(200)]
+    df = spark.createDataFrame(rows, "a int, b int, text string, row int, key string").repartition(4)
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    for span in (range(0, 200), range(10, 40), range(5, 60, 2), range(150, 400), range(300, 400)):
+        got = [tuple(r) for r in flt.index(span, [F.col("a"), F.col("b")])(df).collect()]
+        positions = [i for i in span if i < len(rows)]
+        assert sorted(map(order, got)) == [sorted(map(order, rows))[i] for i in positions]
+        assert len(set(got)) == len(got) and set(got) <= set(rows)
+    last = [r.row for r in flt.index(range(0, 1), [F.col("row")], descending=True)(df).collect()]
+    assert last == [199]
+
+
+@pytest.mark.parametrize("listed", [so.REPEATED, 0])
+def test_first_wins_keeps_any_columns(spark, monkeypatch, listed):
+    monkeypatch.setattr(so, "REPEATED", listed)
+    rows = [(1, "a", "k", 7, 1), (2, "a", "l", 8, 2), (2, "b", "m", 9, 3), (2, "b", "n", 9, 4), (3, "c", None, None, 5)]
+    df = spark.createDataFrame(rows, "id bigint, t string, _key string, _row int, place int")
+    kept = [tuple(r) for r in so.first_wins(df, [F.col("id")], F.col("t")).collect()]
+    assert sorted(kept)[0] == rows[0] and sorted(kept)[2] == rows[4] and sorted(kept)[1] in rows[2:4] and len(kept) == 3
