@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions.scores import FLIPPED, SCORE_CAP, default_setting
@@ -524,7 +526,7 @@ def _paired(scores, column, pairs, on=("Detector", "Generator", "BaseModel")):
 
 
 # The languages that are compared.
-_LANGS = ["python", "java", "js", "cpp", "csharp", "go", "rust"]
+_LANGS = ["python", "java", "js", "csharp", "cpp", "go", "rust"]
 
 
 @query("diff_languages", sql("samples", "detections", ("scored", scored(flip=False, where=f"Language IN {_quoted(_LANGS)}")),
@@ -536,6 +538,45 @@ def diff_languages(spark, folder):
     return _paired(scores, "Language", [(a, b) for a in _LANGS for b in _LANGS if a != b])
 
 
+@query("diff_languages_usual", sql("samples", "detections", ("scored", scored(flip=False, where=f"Language IN {_quoted(_LANGS)} AND {_SETTING}")),
+       ("areas", areas(by="Language, Detector, BaseModel")),
+       select=f"""SELECT c.Language AS comparison_set, b.Language AS base_set, Detector, Generator, BaseModel,
+       {sql6('c.auroc - b.auroc')} AS diff FROM areas c JOIN areas b USING (Detector, Generator, BaseModel) WHERE c.Language <> b.Language"""))
+def diff_languages_usual(spark, folder):
+    """All pairs of languages under the usual sampling setting."""
+    rows = flt.languages(_LANGS)(detections(spark, folder).filter(default_setting()))
+    scores = ev.auroc(rows, by=("Language", "Detector", "BaseModel"))
+    return _paired(scores, "Language", [(a, b) for a in _LANGS for b in _LANGS if a != b])
+
+
+# The corpora that are compared, in Python or in all languages, under the usual setting.
+_PUBLISHED = {
+    "python_only": [
+        ("stackoverflow-post", "hf_codesearchnet-python"),
+        ("stackoverflow-post", "hf_apps"),
+        ("stackoverflow-post", "stackoverflow-pre"),
+    ],
+    "all": [("stackoverflow-post", "stackoverflow-pre"), ("leetcode-post", "hf_leetcode-pre")],
+}
+_PUBLISHED_VALUES = ", ".join(f"('{slice_}', '{a}', '{b}')" for slice_, pairs in _PUBLISHED.items() for a, b in pairs)
+
+
+@query("diff_published", sql("samples", "detections",
+       ("sliced", f"SELECT *, unnest(CASE WHEN Language = 'python' THEN ['all', 'python_only'] ELSE ['all'] END) AS slice FROM detections WHERE {_SETTING}"),
+       ("scored", scored("sliced", flip=False)), ("areas", areas(by="slice, Dataset, Detector, BaseModel")),
+       select=f"""SELECT p.slice, p.c AS comparison_set, p.b AS base_set, c.Detector, c.Generator, c.BaseModel, {sql6('c.auroc - b.auroc')} AS diff
+       FROM (VALUES {_PUBLISHED_VALUES}) p(slice, c, b) JOIN areas c ON c.Dataset = p.c AND c.slice = p.slice
+       JOIN areas b ON b.Dataset = p.b AND b.slice = p.slice AND b.Detector = c.Detector AND b.Generator = c.Generator AND b.BaseModel = c.BaseModel"""))
+def diff_published(spark, folder):
+    """Corpus pairs in Python and in all languages, both under the usual setting, from one pass."""
+    rows = detections(spark, folder).filter(default_setting())
+    slices = F.when(F.col("Language") == "python", F.array(F.lit("all"), F.lit("python_only"))).otherwise(F.array(F.lit("all")))
+    scores = ev.auroc(rows.withColumn("slice", F.explode(slices)), by=("slice", "Dataset", "Detector", "BaseModel"))
+    key = ["Detector", "Generator", "BaseModel", "slice"]
+    parts = [_paired(scores.filter(F.col("slice") == name), "Dataset", pairs, key) for name, pairs in _PUBLISHED.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("diff_settings", sql("samples", "detections", ("grid", _BY_SETTING), ("scored", scored("grid", flip=False)),
        ("areas", areas(by="setting_p, setting_t, Detector, BaseModel")),
        select=f"""SELECT c.setting_p, c.setting_t, Detector, Generator, BaseModel, {sql6('c.auroc - b.auroc')} AS diff

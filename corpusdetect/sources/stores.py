@@ -124,14 +124,55 @@ def broken_lines(lines: DataFrame, kind: str = "sample", column: str = "value")
     return parsed.filter(f"row.{_CORRUPT} is not null").select(column)
 
 
+# What character references in attributes stand for, the ampersand last. Others go to the parser.
+_REFERENCES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "#xA": "\n", "#xa": "\n", "#10": "\n", "#xD": "\r",
+               "#xd": "\r", "#13": "\r", "#x9": "\t", "#9": "\t", "amp": "&"}
+_OTHER_REFERENCE = "&(?!(" + "|".join(_REFERENCES) + ");)"
+
+
+def _decoded(value: Column) -> Column:
+    out = value
+    for name, sign in _REFERENCES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(sign))
+    return F.when(F.contains(value, F.lit("&")), out).otherwise(value)
+
+
+def _attributes(line: Column, names: list[str]) -> tuple[Column, Column]:
+    """Whether a line is plainly one element with quoted attributes, and the struct of these.
+
+    Between quotes stand, in turn, names and values, so one split takes the element apart. Anything out of
+    the ordinary (other quotes, references or tags, characters that XML does not allow) is not plain.
+    """
+    parts = F.split(F.trim(line), '"', -1)
+    heads = F.filter(parts, lambda _, i: i % 2 == 0)
+    tags = F.slice(heads, F.lit(1), F.size(heads) - 1)
+    tags = F.transform(tags, lambda x, i: F.when(i == 0, F.regexp_replace(x, "^<sample(?= )", "")).otherwise(x))
+    plain = (
+        (F.size(parts) % 2 == 1)
+        & (F.size(parts) > 1)
+        & F.element_at(parts, -1).rlike("^ ?/>$")
+        & F.forall(tags, lambda x: x.rlike("^ [A-Za-z_][A-Za-z0-9_]*=$"))
+        & (F.size(F.array_distinct(tags)) == F.size(tags))
+        & (F.instr(F.substring(F.trim(line), 2, 2147483647), "<") == 0)
+        & ~line.rlike(f"\t|{_OTHER_REFERENCE}|{ILLEGAL_XML}")
+    )
+    values = F.filter(parts, lambda _, i: i % 2 == 1)
+    found = [
+        _decoded(F.get(values, (F.array_position(tags, f" {n}=") - 1).cast("int"))).alias(n) for n in names
+    ]
+    return F.coalesce(plain, F.lit(False)), F.struct(*found, F.lit(None).cast("string").alias(_CORRUPT))
+
+
 def _parsed(lines: DataFrame, schema: T.StructType, column: str) -> DataFrame:
+    """Adds ``row``: the attributes by expressions where the line is plain, else by the XML parser."""
     wide = T.StructType([*as_text(schema).fields, T.StructField(_CORRUPT, T.StringType())])
     options = {**_XML, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    plain, attributes = _attributes(F.col(column), [f.name for f in as_text(schema)])
     first = F.from_xml(F.col(column), _ddl(wide), options)
     second = F.from_xml(repair_line(F.col(column)), _ddl(wide), options)
     return (
         lines.filter(F.col(column).contains("<sample "))
-        .withColumn("row", first)
+        .withColumn("row", F.when(plain, attributes).otherwise(first))
         .withColumn("row", F.when(F.col(f"row.{_CORRUPT}").isNull(), F.col("row")).otherwise(second))
     )
 
