@@ -97,6 +97,16 @@ class _Parser:
         return ("set", frozenset(chosen))
 
 
+def _reversed(tree):
+    """The tree of what a regex matches, read backwards."""
+    kind, *rest = tree
+    if kind == "set":
+        return tree
+    if kind == "times":
+        return (kind, _reversed(rest[0]), *rest[1:])
+    return (kind, *map(_reversed, reversed(rest) if kind == "cat" else rest))
+
+
 class _Nfa:
     def __init__(self):
         self.free: list[list[int]] = []  # moves without a byte
@@ -150,14 +160,15 @@ class Automaton:
     DEAD. Byte 255, which no UTF-8 text holds, always leads back to the first state.
     """
 
-    def __init__(self, rules: list[str], anywhere: bool):
+    def __init__(self, rules: list[str], anywhere: bool, backwards: bool = False):
         nfa = _Nfa()
         root = nfa.state()
         rule_of = {}
         for i, rule in enumerate(rules):
             first = nfa.state()
             nfa.free[root].append(first)
-            rule_of[nfa.add(_Parser(rule).parse(), first)] = 1 << i
+            tree = _Parser(rule).parse()
+            rule_of[nfa.add(_reversed(tree) if backwards else tree, first)] = 1 << i
         sets = sorted({s for moves in nfa.moves for s, _ in moves}, key=sorted)
         kinds: dict[tuple, int] = {}
         self.classes = np.array(
@@ -264,8 +275,12 @@ class Automaton:
                 end, rules = at + 1, self._accepts[state]
         return end, rules
 
-    def prepare(self) -> Automaton:
-        """Plain lists for ``longest``, and which bytes a match can begin with."""
+    def prepare(self, backwards: str | None = None) -> Automaton:
+        """Plain lists for ``longest``, and which bytes a match can begin with.
+
+        With ``backwards``, the rule's regex, only places are tried at which a match does begin.
+        """
+        self.behind = None if backwards is None else Automaton([backwards], anywhere=True, backwards=True)
         self._rows, self._classes = self.next.tolist(), self.classes.tolist()
         self._accepts = self.accepts.tolist()
         self.begins = (self.next[0] >= 0)[self.classes]
@@ -274,7 +289,11 @@ class Automaton:
     def leftmost(self, text: bytes) -> list[tuple[int, int]]:
         """Leftmost-longest matches that do not overlap."""
         found, free = [], 0
-        starts = np.flatnonzero(self.begins[np.frombuffer(text, dtype=np.uint8)])
+        raw = np.frombuffer(text, dtype=np.uint8)
+        if self.behind is None:
+            starts = np.flatnonzero(self.begins[raw])
+        else:
+            starts = np.flatnonzero(self.behind.accepts[self.behind.states(np.ascontiguousarray(raw[::-1]))][::-1])
         for start in starts.tolist():
             if start >= free:
                 end, _ = self.longest(text, start)

@@ -9,6 +9,7 @@ Scoring multiplies a batch's presence matrix by the landmarks' and by the weight
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -140,7 +141,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def hash_order(value) -> int:
-    """An order that follows neither ids nor sources."""
+    """An order that follows neither ids nor sources; ids that are no whole numbers go by their text."""
+    if value is not None and not isinstance(value, int):
+        value = zlib.crc32(str(value).encode())
     return (int(value or 0) * 0x9E3779B97F4A7C15) % (1 << 64)
 
 

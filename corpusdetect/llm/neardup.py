@@ -471,11 +471,21 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if gone.count() <= BROADCAST_IDS:  # else the texts are shuffled to meet them
         gone = F.broadcast(gone)
     kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    ids = described.where("kept AND doc_id IS NOT NULL").groupBy("doc_id")
-    if ids.count().where("count > 1").isEmpty():
+    ids = described.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    again = materialize(ids.select(F.col("doc_id").alias(id_col)), "repeated-ids")
+    n_again = again.count()
+    if not n_again:
         return kept
-    by_id = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
-    return kept.withColumn("__n", F.row_number().over(by_id)).where(f"__n = 1 OR {id_col} IS NULL").drop("__n")
+    if n_again <= BROADCAST_IDS:
+        again = F.broadcast(again)
+    # Rows without an id match none and stay where they are.
+    once = kept.join(again, id_col, "left_anti").select(*docs.columns)
+    rows = kept.join(again, id_col, "left_semi").select(
+        F.col(id_col).alias("id"), F.struct(F.col(text_col).isNull(), F.col(text_col)).alias("order"), F.struct(*docs.columns).alias("row")
+    )
+    # Reduced in each task first, so an id with very many rows is no hot key.
+    least = rows.groupBy("id").agg(F.min_by("row", "order").alias("row"))
+    return once.union(least.select("row.*"))
 
 
 ORACLE = r"""

@@ -106,22 +106,30 @@ def _search(k: int, projected: int, confidence: float, seed: int):
         flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
         return flat.astype(np.float64).reshape(-1, dim)
 
+    def measured(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors and their norms; those whose squares would vanish or overflow are scaled first."""
+        with np.errstate(over="ignore"):
+            norms = np.sqrt((vectors * vectors).sum(axis=1))
+        odd = (norms < 1e-140) | ~np.isfinite(norms)
+        if odd.any():
+            vectors = vectors.copy()
+            vectors[odd] /= np.abs(vectors[odd]).max(axis=1, keepdims=True)
+            norms[odd] = np.sqrt((vectors[odd] * vectors[odd]).sum(axis=1))
+        return vectors, norms
+
     def search(items: pa.Table, queries: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
         if items.num_rows and queries.num_rows:
             dim = items.column("dim")[0].as_py()
-            original = matrix(items.column("value"), dim)
-            norms = np.sqrt((original * original).sum(axis=1))
+            original, norms = measured(matrix(items.column("value"), dim))
             unit = original / norms[:, None]
             directions = np.random.default_rng([seed, dim]).standard_normal((dim, projected))
             tree = KdTree(unit @ directions)
             original, norms, unit = original[tree.order], norms[tree.order], unit[tree.order]
             listed = items.column("ids").to_pylist()
             ids = [listed[i] for i in tree.order]
-            for own, asked in zip(
-                queries.column("query_id").to_pylist(), matrix(queries.column("value"), dim), strict=True
-            ):
-                size = math.sqrt(float((asked * asked).sum()))
+            asking, sizes = measured(matrix(queries.column("value"), dim))
+            for own, asked, size in zip(queries.column("query_id").to_pylist(), asking, sizes.tolist(), strict=True):
                 direction = asked / size
                 kept: list[tuple[float, int, int]] = []  # smallest score first, then largest id
                 for box, start, end in tree.nearest_leaves(direction @ directions):

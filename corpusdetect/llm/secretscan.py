@@ -34,6 +34,9 @@ class Rule:
     trigger: str
     least: int = 1
     value_after: str = ""
+    # Whether places where matches begin are found by reading the text backwards first. It is for rules of which
+    # long parts may repeat without a match, which would be read again from each beginning.
+    backwards: bool = False
 
 
 _KEY = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
@@ -54,7 +57,7 @@ MORE = (
     Rule("private_key", _PEM, r"-----BEGIN\x20"),
     Rule("code_host", "gh[pousr]_[A-Za-z0-9]{36,}", "gh[pousr]_[A-Za-z0-9]"),
     Rule("chat", "xox[abprs]-[A-Za-z0-9-]{10,}", "xox[abprs]-[A-Za-z0-9-]"),
-    Rule("jwt", _JWT, "eyJ[A-Za-z0-9_-]"),
+    Rule("jwt", _JWT, "eyJ[A-Za-z0-9_-]", backwards=True),
 )
 RULES = BASE + MORE
 MASK = "[secret]"
@@ -64,7 +67,7 @@ class Scanner:
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = rules
         self.all = Automaton([r.trigger for r in rules], anywhere=True)
-        self.own = [Automaton([r.matches], anywhere=False).prepare() for r in rules]
+        self.own = [Automaton([r.matches], anywhere=False).prepare(r.matches if r.backwards else None) for r in rules]
 
     def _kept(self, rule: Rule, match: bytes) -> bool:
         if rule.value_after:

@@ -16,7 +16,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -57,6 +57,8 @@ class Model:
     ordinary: bytes
     toxic: bytes
     threshold: float
+    # Without marks the toxic dictionary is trained on whole windows, and these are the evidence.
+    marks: bool = True
 
 
 def _prepared(text: str | None) -> bytes:
@@ -115,22 +117,27 @@ def _lengths(content: bytes, text: bytes, starts: np.ndarray, sizes: np.ndarray)
 
 
 def savings(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bytes) for the distinct words of short windows: what the toxic dictionary saves on each."""
-    prepared = [_prepared(t) for t in texts]
+    """(text, bytes) for the distinct words of short windows: what the toxic dictionary saves on each.
+
+    Without marks, for the windows themselves.
+    """
+    # The last window of a text ends in the tail, so that a match may begin in the text's last bytes too.
+    prepared = [_prepared(t) + _TAIL for t in texts]
     joined = b"".join(prepared)
     begins = np.cumsum([0, *map(len, prepared)])
-    windows = [np.arange(0, len(t), STRIDE) + b for t, b in zip(prepared, begins, strict=False)]
+    windows = [np.arange(0, len(t) - len(_TAIL), STRIDE) + b for t, b in zip(prepared, begins, strict=False)]
     owner = np.repeat(np.arange(len(texts)), [len(w) for w in windows])
     starts = np.concatenate(windows) if windows else np.zeros(0, np.int64)
     sizes = np.minimum(WINDOW, begins[owner + 1] - starts)
-    saved = _lengths(model.ordinary, joined, starts, sizes) - _lengths(
-        model.ordinary + model.toxic, joined, starts, sizes
-    )
+    plain = _lengths(model.ordinary, joined, starts, sizes)
+    if not model.marks:
+        return owner, plain - _lengths(model.toxic, joined, starts, sizes)
+    saved = plain - _lengths(model.ordinary + model.toxic, joined, starts, sizes)
     words: list[set[bytes]] = [set() for _ in texts]
     for i in np.flatnonzero(saved > 0).tolist():
         own = int(owner[i])
         low = max(int(begins[own]), int(starts[i]) - 16)
-        high = min(int(begins[own + 1]), int(starts[i]) + WINDOW + 16)
+        high = min(int(begins[own + 1]) - len(_TAIL), int(starts[i]) + WINDOW + 16)
         words[own].update(_WORD.findall(joined, low, high))
     owners = np.repeat(np.arange(len(texts)), [len(w) for w in words])
     parts = [b" " + w + b" " + _TAIL for ws in words for w in sorted(ws)]
@@ -157,8 +164,6 @@ def score(found: np.ndarray, threshold: float) -> np.ndarray:
 
 def fit(rows: list[tuple[str | None, int]]) -> Model:
     """Learn from (text, toxic); without both classes nothing is ever toxic."""
-    import zstandard
-
     kinds: tuple[list[bytes], list[bytes]] = ([], [])
     for text, toxic in rows:
         kinds[toxic].append(_prepared(text))
@@ -184,12 +189,8 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
     # The most frequent come last: zstandard writes near matches shorter.
     order = sorted(marked, key=lambda w: (marked[w], w))
     toxic = b"".join(order)[-TOXIC_BYTES:]
-    windows = [t[i : i + WINDOW] for t in learn[0] for i in range(0, len(t), WINDOW)]
-    try:
-        ordinary = zstandard.train_dictionary(ORDINARY_BYTES, windows).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on: the text itself
-        ordinary = b"".join(learn[0])[-ORDINARY_BYTES:]
-    model = Model(ordinary, toxic, 0.0)
+    ordinary = _trained(learn[0], ORDINARY_BYTES)
+    model = Model(ordinary, toxic or _trained(learn[1], ORDINARY_BYTES), 0.0, bool(toxic))
     # Texts are bytes again here; they are lower-cased and padded already.
     found = [evidence([t[1:-1].decode() for t in k], model) for k in (check if check[0] and check[1] else learn)]
 
@@ -197,8 +198,20 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
         # Ordinary documents are far more: a share of them rejected weighs WRONGLY times as much.
         return (found[1] > threshold).mean() - WRONGLY * (found[0] > threshold).mean(), -abs(threshold - 3.5)
 
-    threshold = max((x + 0.5 for x in range(-1, 30)), key=right)
-    return Model(ordinary, toxic, threshold)
+    highest = 29 if model.marks else int(max(map(max, found)))
+    threshold = max((x + 0.5 for x in range(-1, highest + 1)), key=right)
+    return replace(model, threshold=threshold)
+
+
+def _trained(texts: list[bytes], size: int) -> bytes:
+    """A dictionary that zstandard trains on the windows of texts."""
+    import zstandard
+
+    windows = [t[i : i + WINDOW] for t in texts for i in range(0, len(t), WINDOW)]
+    try:
+        return zstandard.train_dictionary(size, windows).as_bytes()
+    except zstandard.ZstdError:  # too little text to train on: the text itself
+        return b"".join(texts)[-size:]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
