@@ -9,6 +9,8 @@ from ..plans.storage import scratch_path
 from ..schemas import DETECTION_SCHEMA, SAMPLE_SCHEMA
 from ..sources import normalise, problems, stores
 from ..sources.catalog import Catalog
+from ..sources.connector import PositionedSource, register, stream_source
+from ..streaming import ingest
 from .detection_queries import RUN_TIME
 from .registry import query
 from .sample_queries import _FENCED, _FENCE, DATE_SQL, fenced
@@ -178,6 +180,58 @@ def source_catalog(spark, folder):
     return catalog.load_all(spark, catalog.tags(), [languages(["python"])])[1]
 
 
+class FolderSource(PositionedSource):
+    """Samples of a folder of Parquet files, a position per file in the order of their names."""
+
+    tag = "sample-files"
+    stretch = 2
+    batch = 3
+
+    def _files(self):
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(self.options["path"])
+        found = system.get_file_info(fs.FileSelector(path))
+        return system, sorted(f.path for f in found if f.path.endswith(".parquet"))
+
+    def reach(self):
+        return len(self._files()[1])
+
+    def read(self, start, end):
+        import pyarrow.parquet as pq
+
+        system, files = self._files()
+        for file in files[start:end]:
+            for batch in pq.ParquetFile(system.open_input_file(file)).iter_batches(1024, columns=SAMPLE_SCHEMA.names):
+                yield from zip(*(batch.column(n).to_pylist() for n in SAMPLE_SCHEMA.names))
+
+
+def _sample_files(spark, folder):
+    path = scratch_path(spark, "files")
+    samples(spark, folder).drop("sample_id").repartition(7).write.parquet(path)
+    return path if "://" in path else f"file://{path}"
+
+
+@query("source_by_position", sql("samples", select=f"SELECT {_SAMPLE_COLUMNS} FROM samples"))
+def source_by_position(spark, folder):
+    """A user's source, read in parts by tasks and loaded through the catalog."""
+    catalog = Catalog()
+    catalog.register_source(spark, FolderSource, path=_sample_files(spark, folder))
+    return catalog.load(spark, FolderSource.tag).select(*SAMPLE_SCHEMA.names)
+
+
+@query("source_as_stream", sql("samples", select=f"SELECT {_SAMPLE_COLUMNS} FROM samples WHERE Language = 'python'"))
+def source_as_stream(spark, folder):
+    """The same source as a stream through the ingestion job."""
+    from ..operators.filters import languages
+
+    register(spark, FolderSource)
+    target, position = scratch_path(spark, "target"), scratch_path(spark, "position")
+    stream = stream_source(spark, FolderSource.tag, path=_sample_files(spark, folder))
+    ingest.ingest(stream, languages(["python"]), target, position).awaitTermination()
+    return spark.read.parquet(target).select(*SAMPLE_SCHEMA.names)
+
+
 @query("store_with_broken_rows", """SELECT doc_id::VARCHAR AS Prompt, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE '' END || text AS Code FROM documents""")
 def store_with_broken_rows(spark, folder):
     """The usual reader of XML stores, over elements of which every third holds a control character."""

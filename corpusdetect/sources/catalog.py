@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.filters import Filter, chain
 from ..operators.setops import combined_tag, concatenate
+from .connector import PositionedSource, read_source, register
 from .stores import KINDS, read_store
 
 Reader = Callable[[SparkSession], DataFrame]
@@ -38,6 +39,11 @@ class Catalog:
         kind = kind or STORE_TAGS.get(tag, "sample")
         self.register(tag, lambda spark: read_store(spark, path, form, kind), kind)
 
+    def register_source(self, spark: SparkSession, source: type[PositionedSource], kind: str = "sample", **options: str) -> None:
+        """Add a source that is read by position, in parts; as a stream it goes by the same tag."""
+        register(spark, source)
+        self.register(source.tag, lambda session: read_source(session, source.tag, **options), kind)
+
     def register_table(
         self, tag: str, path: str, project: Callable[[DataFrame], DataFrame], form: str = "parquet"
     ) -> None:
