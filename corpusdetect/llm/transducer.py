@@ -231,8 +231,11 @@ class CountTransducer:
         """Gains per position, by composing the state maps of chunks.
 
         A chunk's map is constant from its first fresh position on, so all chunks run that part at
-        once. What lies before it depends on the state at the chunk's start; it runs when the map of
-        the chunk before has been composed, again for all chunks at once that are so far.
+        once. The maps of chunks without one are learned at the states they are likely to be entered
+        with, again at once: states forget soon, so a chunk read from the first state tells how the next
+        one is entered. Composing these maps along the text shows which entries are still missing;
+        they are learned together, and so on. Chunks of equal content share a map, so that text which
+        repeats itself, and never forgets, takes few rounds too.
         """
         total = len(columns)
         chunks = -(-total // LANE)
@@ -250,17 +253,49 @@ class CountTransducer:
         leaving[tails] = self._run(
             padded, marks.reshape(-1), gains, starts[tails] + head[tails], LANE - head[tails], np.full(len(tails), self.first)
         )
-        waiting = np.flatnonzero(head > 0)
-        while len(waiting):
-            ready = leaving[waiting - 1] >= 0
-            now, waiting = waiting[ready], waiting[~ready]
-            if not len(now):
-                raise ValueError("the first chunk has no fresh position")
-            left = self._run(padded, marks.reshape(-1), gains, starts[now], head[now], leaving[now - 1])
-            open_ = ~constant[now]
-            leaving[now[open_]] = left[open_]
+        open_ = np.flatnonzero(~constant)
+        if len(open_):
+            self._compose(padded, gains, open_, leaving)
+        heads = tails[head[tails] > 0]  # the first chunk begins with a fresh position
+        self._run(padded, marks.reshape(-1), gains, starts[heads], head[heads], leaving[heads - 1])
         return gains[:total]
 
+    def _compose(self, padded: np.ndarray, gains: np.ndarray, open_: np.ndarray, leaving: np.ndarray) -> None:
+        """Fill in gains and ``leaving`` of the chunks ``open_``, which have no fresh position."""
+        _, example, content = np.unique(padded.reshape(-1, LANE)[open_], axis=0, return_index=True, return_inverse=True)
+        content = content.ravel().tolist()
+        maps: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
+        none = np.zeros(len(padded), dtype=bool)
+
+        def learn(entries: list[tuple[int, int]]) -> None:
+            # One run for each entry of a chunk: a chunk cannot be read from several states at once.
+            while entries:
+                now = list({c: (c, state) for c, state in entries}.values())
+                at = open_[example[[c for c, _ in now]]] * LANE
+                left = self._run(padded, none, gains, at, np.full(len(now), LANE), np.array([s for _, s in now]))
+                for entry, start, state in zip(now, at.tolist(), left.tolist()):
+                    maps[entry] = (state, gains[start : start + LANE].copy())
+                entries = [e for e in entries if e not in maps]
+
+        learn([(c, self.first) for c in set(content)])
+        while True:
+            missing: dict[tuple[int, int], None] = {}
+            entered = []
+            for chunk, c in zip(open_.tolist(), content):
+                entry = (c, int(leaving[chunk - 1]))
+                if entry not in maps:
+                    missing[entry] = None
+                    # Go on with what is likely.
+                    leaving[chunk] = maps[c, self.first][0]
+                else:
+                    leaving[chunk] = maps[entry][0]
+                entered.append(entry)
+            if not missing:
+                break
+            learn(list(missing))
+        for chunk, entry in zip(open_.tolist(), entered):
+            gains[chunk * LANE : (chunk + 1) * LANE] = maps[entry][1]
+
     def _run(self, columns, fresh, gains, starts, lengths, states) -> np.ndarray:
         """Read ``lengths`` characters from each start; returns the states at the ends."""
         order = np.argsort(-lengths, kind="stable")

@@ -142,3 +142,38 @@ def test_kernel_regression_equals_the_full_solution():
     slots = langid._slots(model.sequences)
     got = langid._kernel([t for t, _ in rows], slots, model.presence) @ model.weights
     assert np.allclose(got, wanted, atol=1e-2)
+
+
+def test_word_ids_equal_the_library():
+    from tokenizers import Tokenizer
+
+    from corpusdetect.llm.tokencount import model_path
+    from corpusdetect.llm.wordids import WordIds
+
+    path = model_path("byte_bpe_50k.json")
+    library, rng = Tokenizer.from_file(path), random.Random(9)
+    library.no_truncation()
+    library.no_padding()
+    parts = ["a", "Word", " ", " ", " ", "  ", "\n", "\t", "é", "　", "\x85", "\x1c", "'s", "don't", "1234", "😀", "<|endoftext|>", "x" * 70, "\xa0", "​"]
+    texts = ["", " ", "\n", "a\n", " a", "a ", "b a\n", "x\ny z", *("".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(1500))]
+    encoder = WordIds(path)
+    for _ in range(2):  # the second time from memory
+        for text, ids in zip(texts, encoder.ids(texts)):
+            assert np.frombuffer(ids, dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_chunks_without_a_space_are_composed_in_few_rounds(monkeypatch):
+    import sentencepiece
+
+    from corpusdetect.llm.tokencount import model_path
+    from corpusdetect.llm.transducer import CountTransducer
+
+    path, rng = model_path("piece_bpe_32k.model"), random.Random(10)
+    library, transducer = sentencepiece.SentencePieceProcessor(model_file=path), CountTransducer(path)
+    syllables = ["the", "an", "re", "ing", "st", "é", "o", "q", "1", "ab", "er"]
+    texts = ["".join(rng.choice(syllables) for _ in range(n)) for n in (20_000, 3, 900, 40_000)]
+    texts += ["a" * 50_000, "ab" * 20_000, "a" * 383 + " " + "b" * 5000, " ".join(["word"] * 400)]
+    calls, run = [], transducer._run
+    monkeypatch.setattr(transducer, "_run", lambda *a: calls.append(len(a[3])) or run(*a))
+    assert transducer.counts(texts).tolist() == [len(library.encode(t)) for t in texts]
+    assert len(calls) < 30 and max(calls) > 100
