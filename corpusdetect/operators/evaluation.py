@@ -116,26 +116,30 @@ def roc_curve(
     at the next one are the same. Curves are rows, not arrays, so their length
     is not bounded by memory.
 
-    The histogram is written out first; a curve needs every human score of its
-    group, so human counts (not rows) are repeated per generator of the group.
+    A distinct score is one row with the counts of all generators until scores are placed by range; only
+    then does a generator's curve get the scores that it or the humans have.
     """
     by = list(by)
     cell = by + ["Generator"]
     hist = materialize(
         score_histogram(detections, by, ["Generator"], flip, pessimistic_after_flip), "scores"
     )
-    human = hist.filter("human").select(*by, "v", F.col("n").alias("hc"), F.lit(0).alias("ac"))
-    ai = hist.filter("not human").select(*cell, "v", F.lit(0).alias("hc"), F.col("n").alias("ac"))
-    rivals = ai.select(*cell).distinct()
-    merged = (
-        lookup_join(human, rivals, by, spread_by=["v"])
-        .unionByName(ai)
-        .groupBy(*cell, "v")
-        .agg(F.sum("hc").alias("hc"), F.sum("ac").alias("ac"))
-        # Thresholds fall along the curve, so order by the negated score.
-        .withColumn("d", -F.col("v"))
+    own = F.struct("Generator", "n")
+    per_score = hist.groupBy(*by, "v").agg(
+        F.sum(F.when(F.col("human"), F.col("n")).otherwise(F.lit(0))).alias("hc"),
+        F.collect_list(F.when(~F.col("human"), own)).alias("ais"),
+    )
+    # Thresholds fall along the curve, so order by the negated score.
+    spread = materialize(range_buckets(per_score.withColumn("d", -F.col("v")), by, "d"), "curve")
+    # The generators of a group: one row a group.
+    rivals = hist.filter("not human").groupBy(*by).agg(F.collect_set(F.struct("Generator")).alias("rivals"))
+    each = lookup_join(spread, rivals, by, spread_by=["d"]).withColumn("rival", F.explode("rivals"))
+    theirs = F.filter("ais", lambda x: x["Generator"].eqNullSafe(F.col("rival.Generator")))
+    placed = (
+        each.withColumn("ac", F.coalesce(F.get(theirs, F.lit(0))["n"], F.lit(0)))
+        .filter("hc > 0 OR ac > 0")
+        .select(*by, F.col("rival.Generator").alias("Generator"), "_bucket", "v", "d", "hc", "ac")
     )
-    placed = materialize(range_buckets(merged, cell, "d"), "curve")
 
     bucket = cell + ["_bucket"]
     gained = F.struct("hc", "ac")
