@@ -11,6 +11,7 @@ import json
 import os
 import time
 
+from corpusdetect.plans import scratch_scope
 from corpusdetect.queries import QUERIES
 from corpusdetect.session import local_session
 
@@ -46,7 +47,8 @@ def main() -> None:
     seconds = {}
     for name in HEADLINE:
         start = time.perf_counter()
-        QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+        with scratch_scope():
+            QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
     print(
         json.dumps(

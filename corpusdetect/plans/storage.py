@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,18 +39,37 @@ def scratch_path(spark: SparkSession, label: str = "table") -> str:
     return path
 
 
+def _delete(paths: list[str]) -> int:
+    from pyarrow import fs
+
+    for path in paths:
+        system, name = fs.FileSystem.from_uri(path)
+        if system.get_file_info(name).type != fs.FileType.NotFound:
+            system.delete_dir(name)
+    return len(paths)
+
+
 def drop_scratch() -> int:
     """Delete the intermediate tables that this process has written, when nothing reads them any more.
 
     Returns how many paths there were.
     """
-    from pyarrow import fs
-
     paths, _SCRATCH[:] = list(_SCRATCH), []
-    for path in paths:
-        system, name = fs.FileSystem.from_uri(path)
-        system.delete_dir_contents(name, missing_dir_ok=True)
-    return len(paths)
+    return _delete(paths)
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Delete what is written to the shared folder inside, at the end: results must be stored or collected by then.
+
+    Scopes may lie in one another; one thread makes them.
+    """
+    before = len(_SCRATCH)
+    try:
+        yield
+    finally:
+        own, _SCRATCH[before:] = _SCRATCH[before:], []
+        _delete(own)
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:

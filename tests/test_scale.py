@@ -1,5 +1,6 @@
 """The ways taken for large or skewed inputs give the results of the simple ones."""
 
+import os
 import random
 
 import pytest
@@ -11,7 +12,7 @@ from corpusdetect.operators import filters as flt
 from corpusdetect.operators import grouping as gp
 from corpusdetect.operators import ngram
 from corpusdetect.operators import setops as so
-from corpusdetect.plans import global_index, lookup_join, shared_folder
+from corpusdetect.plans import global_index, lookup_join, materialize, scratch_path, scratch_scope, shared_folder
 from corpusdetect.schemas import PROBLEM_SCHEMA
 from corpusdetect.sources import problems, stores
 from corpusdetect.sources.catalog import Catalog
@@ -209,3 +210,17 @@ def test_first_wins_keeps_any_columns(spark, monkeypatch, listed):
     df = spark.createDataFrame(rows, "id bigint, t string, _key string, _row int, place int")
     kept = [tuple(r) for r in so.first_wins(df, [F.col("id")], F.col("t")).collect()]
     assert sorted(kept)[0] == rows[0] and sorted(kept)[2] == rows[4] and sorted(kept)[1] in rows[2:4] and len(kept) == 3
+
+
+def test_scratch_tables_last_as_long_as_their_scope(spark):
+    with scratch_scope():
+        outer = materialize(spark.range(3))
+        with scratch_scope():
+            inner = scratch_path(spark)
+            spark.range(5).write.parquet(inner)
+            scratch_path(spark, "never-written")
+            assert spark.read.parquet(inner).count() == 5
+        assert not os.path.exists(inner) and outer.count() == 3
+        left = outer.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(left)
+    assert not os.path.exists(left)
