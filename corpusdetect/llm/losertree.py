@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+_ENDED = object()
 
-def merge(runs: Sequence[Sequence[tuple]]) -> Iterator[tuple]:
+
+def merge(runs: Sequence[Iterable[tuple]]) -> Iterator[tuple]:
     """All rows of sorted runs in order; of equal rows the one of the earlier run first.
 
-    Inner nodes keep the run that lost there, node 0 the winner of all. After a run's head is taken,
-    its next head is played against the losers on the way up only: one comparison per level.
+    Runs are read as they are needed, one row ahead. Inner nodes keep the run that lost there, the root's
+    winner is next. After a run's head is taken, its next head is played against the losers on the way
+    up only: one comparison per level.
     """
     k = len(runs)
     if not k:
         return
-    place = [0] * k
+    rest = [iter(run) for run in runs]
+    heads = [next(run, _ENDED) for run in rest]
 
     def before(x: int, y: int) -> bool:
         """Whether run x comes before run y; runs at their end, and missing ones, come last."""
-        if x < 0 or place[x] >= len(runs[x]):
+        if x < 0 or heads[x] is _ENDED:
             return False
-        if y < 0 or place[y] >= len(runs[y]):
+        if y < 0 or heads[y] is _ENDED:
             return True
-        a, b = runs[x][place[x]], runs[y][place[y]]
+        a, b = heads[x], heads[y]
         return a < b or (a == b and x < y)
 
     leaves = 1
@@ -36,9 +40,9 @@ def merge(runs: Sequence[Sequence[tuple]]) -> Iterator[tuple]:
         ahead = before(left, right) or not before(right, left)
         winners[node], losers[node] = (left, right) if ahead else (right, left)
     champion = winners[1] if leaves > 1 else 0
-    while champion >= 0 and place[champion] < len(runs[champion]):
-        yield runs[champion][place[champion]]
-        place[champion] += 1
+    while champion >= 0 and heads[champion] is not _ENDED:
+        yield heads[champion]
+        heads[champion] = next(rest[champion], _ENDED)
         node = (leaves + champion) // 2
         while node:
             if before(losers[node], champion):

@@ -3,8 +3,8 @@
 A page whose payload was seen with a smaller id is written as a revisit of that page's response.
 Tasks write archives of gzip members, one per record, into the shared folder and report them; only
 reported archives count, so retried and doubled tasks do no harm. Reading an archive gives a run of
-captures sorted by URL key and time. Runs are dealt out by ranges of that order and merged within each
-range by a tree of losers, which makes the captures of every URL one history.
+captures sorted by URL key and time. Runs are cut at common borders, and the slices of each range are merged
+by a tree of losers, which makes the captures of every URL one history.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import base64
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 from urllib.parse import urlsplit
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import materialize, scratch_path
+from ..plans import fits_broadcast, materialize, scratch_path
 from .losertree import merge
 
 # Payloads of fewer bytes are always written in full.
@@ -32,6 +33,12 @@ _EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CHUNK = 1 << 20
+# Captures of a range that one task merges, the most ranges, and keys sampled to find the border of one.
+RANGE_ROWS = 200_000
+MAX_RANGES = 10_000
+SAMPLE = 64
+# Digests of repeated payloads sent to every executor.
+BROADCAST_DIGESTS = 1_000_000
 
 
 def payload_digest(payload: Column) -> Column:
@@ -162,6 +169,11 @@ _TYPES = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.stri
 _NAMES = [x.split()[0] for x in _CAPTURE.split(", ")]
 
 
+_SLICE = "range int, path string, run bigint, place bigint, block binary"
+_SLICE_TYPES = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+_SLICE_NAMES = [x.split()[0] for x in _SLICE.split(", ")]
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else [()] * len(_NAMES)
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES)
@@ -204,46 +216,92 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
 
 def _order(row: tuple) -> tuple:
-    """URL key, time, id (null last) and place of the record, which is unique."""
+    """URL key, time, id (null last), archive and offset of the record, which are unique."""
     return row[0], row[1], row[2] is None, row[2] or 0, row[3], row[4]
 
 
-def merge_runs(captures: DataFrame) -> DataFrame:
+def _borders(captures: DataFrame, ranges: int) -> list[tuple]:
+    """At most ``ranges`` - 1 places in the order of captures, about as far apart, from a sample of bounded size."""
+    total = captures.count()
+    step = max(1, total // (ranges * SAMPLE))
+    sample = captures.where(F.pmod(F.xxhash64("path", "at"), F.lit(step)) == 0).select("url_key", "captured", "page_id", "path", "at")
+    found = sorted(_order(tuple(r)) for r in sample.collect())
+    return [found[len(found) * i // ranges] for i in range(1, ranges)] if found else []
+
+
+def merge_runs(captures: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """All captures in one order over all partitions: URL key, time, id.
 
-    Ranges of the whole order, not of URLs, are dealt out: a URL with a third of the captures spans
-    many of them. A range must fit in a task's memory.
+    ``captures`` are written runs. Each run is cut at common borders into slices of packed blocks, and the
+    slices of a range meet in one task, where a tree of losers merges them, reading a block of each
+    run at a time. Nothing is sorted again. Ranges are of the whole order, not of URLs: a URL with a third
+    of the captures spans many of them.
     """
+    ranges = min(MAX_RANGES, captures.count() // range_rows + 1)
+    borders = _borders(captures, ranges)
 
-    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list[tuple]] = {}
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A run is what is in order of one archive, as far as this task reads it; blocks of a run are numbered.
+        run, place, last = TaskContext.get().partitionId() << 32, 0, None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs.setdefault(row[3], []).append((_order(row), row))
-        out = []
-        for _, row in merge([runs[path] for path in sorted(runs)]):
-            out.append(row)
-            if len(out) == 4096:
-                yield _batch(out)
-                out = []
-        if out:
-            yield _batch(out)
-
-    keys = [F.col("url_key"), F.col("captured"), F.col("page_id").asc_nulls_last(), F.col("path"), F.col("at")]
-    dealt = captures.repartitionByRange(*keys).sortWithinPartitions("path", *keys[:3], "at")
-    return dealt.mapInArrow(ordered, _CAPTURE)
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            keys = [_order(r) for r in rows]
+            packed: list[tuple[int, str, int, int, bytes]] = []
+            begin = 0
+            while begin < len(rows):
+                if last is None or rows[begin][3] != last[0] or keys[begin] < last[1]:
+                    run += 1
+                to = bisect_right(borders, keys[begin])
+                end = begin + 1
+                while end < len(rows) and rows[end][3] == rows[begin][3] and keys[end] > keys[end - 1] and (
+                    to == len(borders) or keys[end] < borders[to]
+                ):
+                    end += 1
+                last = (rows[end - 1][3], keys[end - 1])
+                block = pa.BufferOutputStream()
+                with pa.ipc.new_stream(block, batch.schema) as out:
+                    out.write_batch(batch.slice(begin, end - begin))
+                packed.append((to, rows[begin][3], run, place, block.getvalue().to_pybytes()))
+                place += 1
+                begin = end
+            if packed:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*packed), _SLICE_TYPES)], names=_SLICE_NAMES)
+
+    def merged(table: pa.Table) -> pa.Table:
+        blocks: dict[tuple[str, int], list[tuple[int, bytes]]] = {}
+        for path, run, place, block in zip(*(table.column(c).to_pylist() for c in ("path", "run", "place", "block"))):
+            blocks.setdefault((path, run), []).append((place, block))
+
+        def rows(own: list[tuple[int, bytes]]) -> Iterator[tuple]:
+            for _, block in sorted(own):
+                for batch in pa.ipc.open_stream(block):
+                    for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                        yield _order(row), row
+
+        out = [row for _, row in merge([rows(blocks[key]) for key in sorted(blocks)])]
+        return pa.Table.from_batches([_batch(out)])
+
+    sliced = captures.mapInArrow(cut, _SLICE)
+    return sliced.repartitionByRange(ranges, "range").groupBy("range").applyInArrow(merged, _CAPTURE)
 
 
 def with_originals(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST_BYTES
 ) -> DataFrame:
-    """(page_id, url, payload, digest, refers_to): the smallest id with an equal payload, if not its own."""
+    """(page_id, url, payload, digest, refers_to): the smallest id with an equal payload, if not its own.
+
+    Only digests that occur twice are looked up, so payloads are not shuffled where these are few.
+    """
     rows = pages.select(
         F.col(id_col).cast("bigint").alias("page_id"),
         F.col(url_col).alias("url"),
         F.coalesce(F.col(payload_col), F.lit("")).alias("payload"),
     ).withColumn("digest", payload_digest(F.col("payload").cast("binary")))
-    known = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("_first"))
+    counted = rows.where(F.octet_length("payload") >= least).groupBy("digest")
+    known = counted.agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    known = materialize(known, "repeated-digests")
+    if fits_broadcast(known, BROADCAST_DIGESTS):
+        known = F.broadcast(known)
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first"))
     return rows.join(known, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 

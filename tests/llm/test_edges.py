@@ -177,3 +177,20 @@ def test_chunks_without_a_space_are_composed_in_few_rounds(monkeypatch):
     monkeypatch.setattr(transducer, "_run", lambda *a: calls.append(len(a[3])) or run(*a))
     assert transducer.counts(texts).tolist() == [len(library.encode(t)) for t in texts]
     assert len(calls) < 30 and max(calls) > 100
+
+
+@pytest.mark.parametrize("rows", [3, 25, 100_000])
+def test_runs_are_cut_at_borders_and_merged_in_order(spark, rows):
+    from corpusdetect.llm import warc
+    from corpusdetect.plans import materialize
+
+    rng = random.Random(11)
+    captures = []
+    for run in range(6):
+        own = [(f"com,{rng.choice('aab')})/", f"2024-{rng.randrange(3):02}", rng.choice([None, *range(20)]), f"file{run}", 10 * i, "response", i, "d", None) for i in range(40)]
+        captures += sorted(own, key=warc._order)
+    df = materialize(spark.createDataFrame(captures, warc._CAPTURE).repartition(5, "path").sortWithinPartitions("path", "url_key", "captured", "page_id"))
+    # Files hold nulls first here, so runs are broken up where they are not in order.
+    merged = [tuple(r) for r in warc.merge_runs(df, rows).collect()]
+    assert merged == sorted(captures, key=warc._order)
+    assert warc.merge_runs(materialize(df.limit(0)), rows).count() == 0
