@@ -182,14 +182,17 @@ def jump_tables(steps: DataFrame, longest: int) -> list[DataFrame]:
     return tables
 
 
-def greedy_continuations(counts: DataFrame, starts: DataFrame) -> DataFrame:
+def greedy_continuations(counts: DataFrame, starts: DataFrame | int) -> DataFrame:
     """``(model, ctx, tokens)``: the ``need`` likeliest tokens after each of ``starts`` (model, ctx, need).
 
     What follows depends on the last token only. Contexts that are reached from the starts get jump
     tables; a path is then laid out from its far jumps down to single steps, so it takes as many joins
     as its length has digits, and as many rows as tokens are asked for. A path ends early where the
-    model knows no successor. Starts are different (model, ctx).
+    model knows no successor. Starts are different (model, ctx); a number asks for as many tokens after
+    every context.
     """
+    if isinstance(starts, int):
+        starts = counts.select("model", "ctx").distinct().withColumn("need", F.lit(starts))
     starts = materialize(starts, "starts")
     longest = starts.agg(F.max("need")).first()[0] or 0
     greedy = materialize(likeliest(counts), "likeliest")
