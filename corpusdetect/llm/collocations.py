@@ -4,7 +4,8 @@ Words are counted first. Then every task counts the windows of words at each pla
 HAT-trie a language; when that is full, its largest subtrees are written as runs, sorted by the words' 64-bit
 numbers and cut by prefix. The prefix of a window is its first two words, a longer one where these are
 very frequent; all runs of a partition of prefixes meet in one task, which merges them and so has the whole
-counts of all phrases with these prefixes. No vocabulary is sent around: a run names its words itself.
+counts of all phrases with these prefixes. Runs name the most frequent words by a list of bounded length, and
+all others themselves, so no vocabulary is sent around.
 """
 
 from __future__ import annotations
@@ -12,13 +13,13 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count
-from math import ceil
+from math import ceil, isqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +32,11 @@ TOP = 2000
 SCALE = 2_000_000
 COVERED_PERCENT = 80
 NO_LANG = "und"
-# Very frequent words: more than an eighth of a partition, and no more words than this.
+# Very frequent words: more occurrences than a 32nd of a partition, and no more words than this.
 HOT_WORDS = 65_536
 _SEED = 42
+# Bits of the table of frequent words: 2 MB, whatever the vocabulary.
+_FILTER_BITS = 24
 _SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
 # No word has a capital letter after lower-casing, so one can stand for the end of a piece.
 _END = b"A"
@@ -46,9 +49,11 @@ class Limits:
     entries: int = 1_000_000  # of the tries of a task, before it writes runs
     container: int = CONTAINER  # entries of a hash container before it bursts
     vocabulary: int = 500_000  # words
-    partition: int = 1_000_000  # windows of one partition of prefixes, on average
+    partition: int = 4_000_000  # windows of one partition of prefixes, on average
+    one_level: int = 64  # partitions that runs are cut for at once; with more, in two steps
     chunk: int = 4 << 20  # bytes of text that are taken apart at once
     id_bits: int = 64  # of a word's first hash
+    shared: int = 1 << 18  # words that runs name by their place in a list that goes to all tasks
 
 
 def _plain(b: int) -> int:
@@ -145,16 +150,36 @@ def _numbered(words: DataFrame, limits: Limits) -> tuple[DataFrame, dict[tuple[s
 # ---------------------------------------------------------------- windows
 
 
+class _Numbers(dict):
+    """Words by bytes: numbers by first occurrence, 0 for the end of a piece and for words that are surely rare."""
+
+    def __init__(self, lang: str, other: dict[tuple[str, str], int], frequent: np.ndarray, id_bits: int):
+        super().__init__({_END: 0})
+        self.lang, self.other, self.frequent, self.mask = lang, other, frequent, (1 << id_bits) - 1
+        self.hashes = [0]
+
+    def __missing__(self, word: bytes) -> int:
+        own = _digest(word) & self.mask
+        if self.other:
+            own = self.other.get((self.lang, word.decode()), own)
+        bit = own % (1 << _FILTER_BITS)
+        number = 0
+        if self.frequent[bit >> 3] >> (bit & 7) & 1:
+            number = len(self.hashes)
+            self.hashes.append(own)
+        self[word] = number
+        return number
+
+
 class _Reader:
     """Windows of one language in a task: word numbers by first occurrence, and the trie over them."""
 
-    def __init__(self, lang: str, other: dict[tuple[str, str], int], limits: Limits):
-        self.lang, self.other, self.limits = lang, other, limits
+    def __init__(self, lang: str, other: dict[tuple[str, str], int], frequent: np.ndarray, limits: Limits):
+        self.lang, self.other, self.frequent, self.limits = lang, other, frequent, limits
         self.reset()
 
     def reset(self) -> None:
-        self.numbers: defaultdict[bytes, int] = defaultdict(count(1).__next__)
-        self.numbers[_END] = 0
+        self.numbers = _Numbers(self.lang, self.other, self.frequent, self.limits.id_bits)
         self.open = np.zeros(0, dtype=np.uint32)
         self.trie = HatTrie(LONGEST, self.limits.container)
 
@@ -188,11 +213,7 @@ class _Reader:
 
     def hashes(self) -> np.ndarray:
         """The words' own numbers by their number here; 0 for none."""
-        own = [self.other.get((self.lang, w.decode())) if self.other else None for w in self.numbers]
-        mask = (1 << self.limits.id_bits) - 1
-        values = [_digest(w) & mask if o is None else o for w, o in zip(self.numbers, own)]
-        values[0] = 0
-        return np.array(values, dtype=np.uint64)
+        return np.array(self.numbers.hashes, dtype=np.uint64)
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -200,24 +221,12 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a ^ (a >> np.uint64(29))
 
 
-def _runs(lang: str, hashes: np.ndarray, rows: np.ndarray, counts: np.ndarray, hot: np.ndarray, parts: int) -> Iterator[tuple]:
-    """Sorted runs (part, base, words, grams, counts) of the windows ``rows`` (numbers into ``hashes``).
+def _based(own: np.ndarray, rows: np.ndarray, counts: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows (places in ``own``) and counts, and the shortest phrase that each counts for.
 
-    ``base`` is the shortest phrase that a window counts for. Where two or three first words are all
-    hot, the windows go by a longer prefix, and their sums stand in for the phrases above.
+    Where two or three first words are all hot, windows go by a longer prefix, and their sums stand in for
+    the phrases above.
     """
-    if not len(rows):
-        return
-    used = np.unique(rows)
-    used = used[np.argsort(hashes[used])]
-    place = np.zeros(len(hashes), dtype=np.uint32)
-    place[used] = np.arange(len(used), dtype=np.uint32)
-    own = hashes[used]
-    if own[0]:  # all windows are full: 0 still stands for none
-        own = np.concatenate([np.zeros(1, dtype=np.uint64), own])
-        place += 1
-        place[0] = 0
-    rows = place[rows]
     is_hot = np.isin(own, hot)
     base = np.full(len(rows), 2)
     upper = []
@@ -233,43 +242,195 @@ def _runs(lang: str, hashes: np.ndarray, rows: np.ndarray, counts: np.ndarray, h
             # What ends here counts for nothing longer.
             over = all_hot & (rows[:, k] == 0)
             rows, counts, base = rows[~over], counts[~over], base[~over]
-    rows = np.concatenate([rows, *[u[0] for u in upper]])
-    counts = np.concatenate([counts, *[u[1] for u in upper]])
-    base = np.concatenate([base, *[u[2] for u in upper]])
+    return tuple(np.concatenate([x, *[u[i] for u in upper]]) for i, x in enumerate((rows, counts, base)))
+
+
+def _parts(lang: str, own: np.ndarray, rows: np.ndarray, base: np.ndarray, parts: int) -> np.ndarray:
+    """The partition of each window's prefix."""
     key = _mix(own[rows[:, 0]], own[rows[:, 1]]) + np.uint64(_digest(lang.encode()))
     for k in range(2, LONGEST):
         key = np.where(base > k, _mix(key, own[rows[:, k]]), key)
-    part = (key % np.uint64(parts)).astype(np.int64)
+    return (key % np.uint64(parts)).astype(np.int64)
+
+
+class _Codes:
+    """How runs write words: the most frequent ones by their place in a list that all tasks have, others in own lists.
+
+    Code 0 is no word. The list is of bounded length, by falling frequency, so codes are mostly small.
+    """
+
+    def __init__(self, shared: np.ndarray):
+        self.shared = shared
+        self._order = np.argsort(shared)
+        self._sorted = shared[self._order]
+
+    def of(self, own: np.ndarray) -> np.ndarray:
+        """Codes of words by number; -1 for those that are not in the list."""
+        at = np.minimum(np.searchsorted(self._sorted, own), len(self._sorted) - 1)
+        return np.where(self._sorted[at] == own, self._order[at], -1)
+
+
+def _packed(numbers: np.ndarray, width: int) -> bytes:
+    """Numbers of ``width`` bytes, bytes of one weight together."""
+    planes = np.ascontiguousarray(numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpacked(packed: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
+
+
+def _runs(
+    codes: _Codes, own: np.ndarray, rows: np.ndarray, counts: np.ndarray, base: np.ndarray, deal: np.ndarray
+) -> Iterator[tuple]:
+    """Sorted runs (deal, base, words, grams, counts): words that are not in the common list, windows as codes."""
     wide = rows.astype(np.uint64)
-    order = np.lexsort((wide[:, 2] << np.uint64(32) | wide[:, 3], wide[:, 0] << np.uint64(32) | wide[:, 1], part * 8 + base))
-    rows, counts, group = rows[order], counts[order], (part * 8 + base)[order]
+    group = deal * 8 + base
+    order = np.lexsort((wide[:, 2] << np.uint64(32) | wide[:, 3], wide[:, 0] << np.uint64(32) | wide[:, 1], group))
+    rows, counts, group = rows[order], counts[order], group[order]
     begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    pack = zstandard.ZstdCompressor(level=1).compress
+    common = codes.of(own)
     for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(rows)]):
-        words, index = np.unique(rows[a:b], return_inverse=True)
-        kind = np.uint16 if len(words) < 1 << 16 else np.uint32
-        grams = np.ascontiguousarray(index.reshape(-1, LONGEST).T.astype(kind))
-        yield int(group[a]) // 8, int(group[a]) % 8, own[words].tobytes(), pack(grams.tobytes()), pack(counts[a:b].astype("<i8").tobytes())
-
-
-_RUN = pa.schema([("part", pa.int64()), ("lang", pa.string()), ("base", pa.int32()), ("words", pa.binary()),
+        grams = common[rows[a:b].T.ravel()]
+        apart = np.flatnonzero(grams < 0)
+        words, index = np.unique(rows[a:b].T.ravel()[apart], return_inverse=True)
+        grams[apart] = len(codes.shared) + index
+        yield int(group[a]) // 8, int(group[a]) % 8, own[words].tobytes(), _packed(grams, 4), _packed(counts[a:b], 8)
+
+
+class _Merge:
+    """Sorted runs of one language, merged by ranges of their first two words."""
+
+    def __init__(self, codes: _Codes, runs: list[tuple[int, bytes, bytes, bytes]]):
+        tables = [np.frombuffer(words, dtype=np.uint64) for _, words, _, _ in runs]
+        self.own = np.unique(np.concatenate([codes.shared, *tables]))
+        self.common = np.searchsorted(self.own, codes.shared).astype(np.uint64)
+        self.runs = []
+        for (base, _, packed, counts), table in zip(runs, tables):
+            others = np.searchsorted(self.own, table).astype(np.uint64)
+            grams = _unpacked(packed, 4).reshape(LONGEST, -1)
+            upper = self._pairs(grams[:2], others)
+            # Codes of the last two words are looked up range by range.
+            self.runs.append((base, others, grams[2:].copy(), upper, _unpacked(counts, 8).astype(np.int64)))
+
+    def _pairs(self, grams: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Two words a number, by their places in ``own``; codes beyond the common list are a run's own."""
+        known = len(self.common)
+        places = self.common[np.minimum(grams, known - 1)]
+        apart = grams >= known
+        places[apart] = others[grams[apart] - known]
+        return places[0] << np.uint64(32) | places[1]
+
+    def __len__(self) -> int:
+        return sum(len(r[3]) for r in self.runs)
+
+    def ranges(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(upper, lower, counts, base) in order, about ``size`` windows at once: two places a number, none split."""
+        n = len(self) // size + 1
+        sample = np.sort(np.concatenate([r[3][:: max(1, size // 1024)] for r in self.runs]))
+        cuts = np.unique(sample[[len(sample) * i // n for i in range(1, n)]])
+        at = [[0, *np.searchsorted(r[3], cuts).tolist(), len(r[3])] for r in self.runs]
+        for i in range(len(cuts) + 1):
+            parts = []
+            for (base, others, grams, upper, counts), ends in zip(self.runs, at):
+                own = slice(ends[i], ends[i + 1])
+                parts.append((upper[own], self._pairs(grams[:, own], others), counts[own], np.full(ends[i + 1] - ends[i], base)))
+            upper, lower, counts, base = map(np.concatenate, zip(*parts))
+            if len(upper):
+                order = np.lexsort((base, lower, upper))
+                yield upper[order], lower[order], counts[order], base[order]
+
+    def windows(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, counts, base): equal windows as one, places in ``own``."""
+        for upper, lower, counts, base in self.ranges(size):
+            begins = np.flatnonzero(_fresh(upper, lower, base))
+            columns = [x[begins] >> np.uint64(shift) & _PLACE for x in (upper, lower) for shift in (32, 0)]
+            yield np.column_stack(columns).astype(np.uint32), np.add.reduceat(counts, begins), base[begins]
+
+    def phrases(self, size: int, min_count: int) -> Iterator[tuple[list[list[int]], list[int]]]:
+        """Phrases by their words' numbers with at least ``min_count`` occurrences, and these."""
+        for upper, lower, counts, base in self.ranges(size):
+            third = lower >> np.uint64(32)
+            for n, keys in ((2, (upper,)), (3, (upper, third)), (4, (upper, lower))):
+                begins = np.flatnonzero(_fresh(*keys))
+                totals = np.add.reduceat(np.where(base <= n, counts, 0), begins)
+                keep = (totals >= min_count) & (keys[-1][begins] & _PLACE != 0)
+                at = begins[keep]
+                columns = [x[at] >> np.uint64(shift) & _PLACE for x in (upper, lower) for shift in (32, 0)]
+                yield self.own[np.column_stack(columns[:n])].view(np.int64).tolist(), totals[keep].tolist()
+
+
+_PLACE = np.uint64(0xFFFFFFFF)
+
+
+def _fresh(*keys: np.ndarray) -> np.ndarray:
+    """Where any of the keys differs from the row before."""
+    out = np.ones(len(keys[0]), dtype=bool)
+    out[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return out
+
+
+_RUN = pa.schema([("deal", pa.int64()), ("lang", pa.string()), ("base", pa.int32()), ("words", pa.binary()),
                   ("grams", pa.binary()), ("counts", pa.binary())])
+_RUN_DDL = "deal bigint, lang string, base int, words binary, grams binary, counts binary"
 _GRAM = pa.schema([("lang", pa.string()), ("gram", pa.list_(pa.int64())), ("a", pa.int64())])
 
 
-def _spilled(texts: DataFrame, other: dict[tuple[str, str], int], hot: dict[str, list[int]], parts: int, limits: Limits) -> DataFrame:
+def _filter(frequent: DataFrame) -> np.ndarray:
+    """Bits of all ids of ``frequent``: a table of fixed size that says of a word that it is surely rare, or not."""
+    bit = F.pmod(F.col("id"), F.lit(1 << _FILTER_BITS))
+    packed = frequent.groupBy(F.shiftright(bit, 5).cast("int").alias("at")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(id, {1 << _FILTER_BITS}) & 31 as int))")).alias("bits")
+    )
+    table = np.zeros(1 << (_FILTER_BITS - 5), dtype="<u4")
+    found = packed.toArrow()
+    table[found["at"].to_numpy()] = found["bits"].to_numpy().astype("<u4")
+    return table.view(np.uint8)
+
+
+def _most_frequent(words: DataFrame, most: int) -> np.ndarray:
+    """Ids of at most ``most`` words, by falling frequency after a 0: all above the least power of two that allows it."""
+    steps = words.groupBy(F.floor(F.log2("f")).alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
+    least, held = 64, 0
+    for step, n in sorted(((r.step, r.n) for r in steps), reverse=True):
+        held += n
+        if held > most:
+            break
+        least = step
+    found = words.where(F.floor(F.log2("f")) >= least).groupBy("id").agg(F.max("f").alias("f")).toArrow()
+    ids = found["id"].to_numpy()[np.argsort(-found["f"].to_numpy(), kind="stable")]
+    return np.concatenate([np.zeros(1, dtype=np.uint64), ids.view(np.uint64)])
+
+
+def _spilled(
+    texts: DataFrame,
+    other: dict[tuple[str, str], int],
+    hot: dict[str, list[int]],
+    frequent: np.ndarray,
+    parts: int,
+    within: int,
+    codes: Broadcast,
+    limits: Limits,
+) -> DataFrame:
+    """Runs of all tasks, dealt by partition of prefixes, or by ``within`` of them together."""
+    frequent = texts.sparkSession.sparkContext.broadcast(frequent)
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         readers: dict[str, _Reader] = {}
 
         def write(reader: _Reader, keep: int) -> Iterator[pa.RecordBatch]:
             rows, counts = reader.trie.spill(keep)
-            own = np.array(hot.get(reader.lang, []), dtype=np.uint64)
-            for run in _runs(reader.lang, reader.hashes(), rows, counts, own, parts):
-                yield pa.record_batch([pa.array([x], f.type) for x, f in zip((run[0], reader.lang, *run[1:]), _RUN)], schema=_RUN)
+            if len(rows):
+                # From numbers of this task to places in the order of the words' own numbers, the least of which is 0.
+                own, place = np.unique(reader.hashes(), return_inverse=True)
+                rows, counts, base = _based(own, place.astype(np.uint32)[rows], counts, np.array(hot.get(reader.lang, []), dtype=np.uint64))
+                part = _parts(reader.lang, own, rows, base, parts)
+                yield from _batches(reader.lang, _runs(codes.value, own, rows, counts, base, part // within))
 
         for batch in batches:
             for lang, raw in _by_lang(batch):
-                reader = readers.setdefault(lang, _Reader(lang, other, limits))
+                reader = readers.setdefault(lang, _Reader(lang, other, frequent.value, limits))
                 reader.read(raw)
                 if len(reader.numbers) > limits.vocabulary:
                     reader.end()
@@ -287,51 +448,56 @@ def _spilled(texts: DataFrame, other: dict[tuple[str, str], int], hot: dict[str,
             reader.end()
             yield from write(reader, 0)
 
-    return texts.mapInArrow(of, "part bigint, lang string, base int, words binary, grams binary, counts binary")
-
-
-def _merged(runs: list[tuple[int, bytes, bytes, bytes]], min_count: int) -> tuple[list[list[int]], list[int]]:
-    """The phrases with at least ``min_count`` occurrences in the sorted runs of one language."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    tables = [np.frombuffer(w, dtype=np.uint64) for _, w, _, _ in runs]
-    own = np.unique(np.concatenate(tables))
-    if own[0]:
-        own = np.concatenate([np.zeros(1, dtype=np.uint64), own])
-    upper, lower, counts, base = [], [], [], []
-    for (least, _, packed, n), table in zip(runs, tables):
-        kind = np.uint16 if len(table) < 1 << 16 else np.uint32
-        grams = np.searchsorted(own, table).astype(np.uint64)[np.frombuffer(unpack(packed), dtype=kind).reshape(LONGEST, -1)]
-        upper.append(grams[0] << np.uint64(32) | grams[1])
-        lower.append(grams[2] << np.uint64(32) | grams[3])
-        counts.append(np.frombuffer(unpack(n), dtype="<i8"))
-        base.append(np.full(len(counts[-1]), least))
-    upper, lower, counts, base = map(np.concatenate, (upper, lower, counts, base))
-    order = np.lexsort((lower, upper))
-    upper, lower, counts, base = upper[order], lower[order], counts[order], base[order]
-    third = lower >> np.uint64(32)
-    fresh = np.ones(len(upper), dtype=bool)
-    fresh[1:] = upper[1:] != upper[:-1]
-    phrases, found = [], []
-    for size in range(2, LONGEST + 1):
-        if size == 3:
-            fresh[1:] |= third[1:] != third[:-1]
-        elif size == 4:
-            fresh[1:] |= lower[1:] != lower[:-1]
-        begins = np.flatnonzero(fresh)
-        totals = np.add.reduceat(np.where(base <= size, counts, 0), begins)
-        last = {2: upper, 3: third, 4: lower}[size][begins] & np.uint64(0xFFFFFFFF)
-        keep = (totals >= min_count) & (last != 0)
-        at = begins[keep]
-        columns = [upper[at] >> np.uint64(32), upper[at] & np.uint64(0xFFFFFFFF), third[at], lower[at] & np.uint64(0xFFFFFFFF)]
-        phrases.extend(own[np.column_stack(columns[:size])].view(np.int64).tolist())
-        found.extend(totals[keep].tolist())
-    return phrases, found
+    return texts.mapInArrow(of, _RUN_DDL)
+
+
+def _batches(lang: str, runs: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    for run in runs:
+        yield pa.record_batch([pa.array([x], f.type) for x, f in zip((run[0], lang, *run[1:]), _RUN)], schema=_RUN)
+
+
+def _redealt(spilled: DataFrame, parts: int, coarse: int, codes: Broadcast, limits: Limits) -> DataFrame:
+    """Runs of many tasks merged into longer ones, dealt by partition.
+
+    With many partitions a task's runs would be cut into very short ones. So they are cut coarsely first;
+    a task merges what it gets, as much as a partition holds at a time, and cuts it finely.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs: dict[str, list] = defaultdict(list)
+        size: Counter = Counter()
+
+        def write(lang: str) -> Iterator[pa.RecordBatch]:
+            merge = _Merge(codes.value, runs.pop(lang))
+            size.pop(lang)
+            rows, counts, base = (np.concatenate(x) for x in zip(*merge.windows(limits.entries)))
+            yield from _batches(lang, _runs(codes.value, merge.own, rows, counts, base, _parts(lang, merge.own, rows, base, parts)))
+
+        for batch in batches:
+            for _, lang, *run in zip(*(c.to_pylist() for c in batch.columns)):
+                runs[lang].append(tuple(run))
+                # A window takes some ten bytes in a run.
+                size[lang] += (len(run[1]) + len(run[2])) // 10 + 1
+                if size.total() > limits.partition:
+                    yield from write(max(size, key=size.get))
+        for lang in list(runs):
+            yield from write(lang)
+
+    return spilled.repartition(coarse, "deal").mapInArrow(of, _RUN_DDL)
 
 
 def _phrase_counts(
-    texts: DataFrame, other: dict, hot: dict[str, list[int]], parts: int, min_count: int, limits: Limits
+    texts: DataFrame,
+    other: dict,
+    hot: dict[str, list[int]],
+    frequent: np.ndarray,
+    parts: int,
+    shared: np.ndarray,
+    min_count: int,
+    limits: Limits,
 ) -> DataFrame:
     """(lang, gram, a): phrases of 2 words and more with at least ``min_count`` occurrences."""
+    codes = texts.sparkSession.sparkContext.broadcast(_Codes(shared))
 
     def merge(table: pa.Table) -> pa.Table:
         runs = defaultdict(list)
@@ -339,14 +505,19 @@ def _phrase_counts(
             runs[row[0]].append(row[1:])
         langs, grams, counts = [], [], []
         for lang, own in runs.items():
-            phrases, found = _merged(own, min_count)
-            langs += [lang] * len(found)
-            grams += phrases
-            counts += found
+            for phrases, found in _Merge(codes.value, own).phrases(limits.entries, min_count):
+                langs += [lang] * len(found)
+                grams += phrases
+                counts += found
         return pa.table([pa.array(x, f.type) for x, f in zip((langs, grams, counts), _GRAM)], schema=_GRAM)
 
-    spilled = _spilled(texts, other, hot, parts, limits)
-    return spilled.groupBy("part").applyInArrow(merge, "lang string, gram array<bigint>, a bigint")
+    if parts <= limits.one_level:
+        spilled = _spilled(texts, other, hot, frequent, parts, 1, codes, limits)
+    else:
+        within = isqrt(parts)
+        coarse = _spilled(texts, other, hot, frequent, parts, within, codes, limits)
+        spilled = _redealt(coarse, parts, parts // within + 1, codes, limits)
+    return spilled.repartition(parts, "deal").groupBy("deal").applyInArrow(merge, "lang string, gram array<bigint>, a bigint")
 
 
 # ----------------------------------------------------------------- scores
@@ -380,9 +551,9 @@ def collocations(
     occurrences is left out. ``n`` is the number of all words of the language. Null texts hold nothing, a
     null language is "und", repeated rows count as often as they occur, an empty table gives no rows.
 
-    Words below ``min_count`` occur in no candidate, but stay in the windows: which words are rare is
-    known to no task. A task holds the windows of ``limits`` and those of a batch; one prefix has at most an
-    eighth of a partition's windows, or one in HOT_WORDS of all.
+    Words below ``min_count`` occur in no candidate, so windows end before them, as far as a table of
+    2 ** 24 bits knows them; the others do no harm, as all phrases are counted to the end. A task holds the windows of ``limits`` and those of a batch; one prefix has at most a
+    32nd of a partition's windows, or one in HOT_WORDS of all.
     """
     texts = _texts(docs, lang_col, text_col)
     words, other = _numbered(_word_counts(texts, limits), limits)
@@ -391,12 +562,13 @@ def collocations(
     total = sums.agg(F.sum("n")).first()[0] or 0
     parts = max(1, ceil(total / limits.partition))
     # No more than HOT_WORDS words can have so many occurrences.
-    hot_from = max(limits.partition // 8, total // HOT_WORDS + 1)
+    hot_from = max(limits.partition // 32, total // HOT_WORDS + 1)
     hot: dict[str, list[int]] = {}
     for row in words.where(F.col("f") >= hot_from).select("lang", "id").collect():
         hot.setdefault(row.lang, []).append(row.id % (1 << 64))
-    found = materialize(_phrase_counts(texts, other, hot, parts, min_count, limits), "phrases")
     words = words.where(F.col("f") >= min_count)
+    shared = _most_frequent(words, limits.shared)
+    found = materialize(_phrase_counts(texts, other, hot, _filter(words), parts, shared, min_count, limits), "phrases")
 
     known = words.select("lang", F.array("id").alias("gram"), F.col("f").alias("a")).union(found)
     size = F.size("gram")

@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -73,8 +74,10 @@ def test_awkward_rows_equal_brute_force(spark, rows, docs):
 
 
 def test_spills_hot_words_and_clashing_hashes(spark, rows, docs):
-    tight = collocations.Limits(entries=200, container=4, vocabulary=9, partition=400, chunk=50, id_bits=3)
+    tight = collocations.Limits(entries=200, container=4, vocabulary=9, partition=400, chunk=50, id_bits=3, shared=4)
     assert answer(collocations.collocations(docs, min_count=5, limits=tight)) == plain(rows, 5)
+    twice = replace(tight, one_level=2, entries=900)
+    assert answer(collocations.collocations(docs, min_count=5, limits=twice)) == plain(rows, 5)
 
 
 def test_trie_counts_and_bursts():
