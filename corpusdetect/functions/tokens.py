@@ -27,6 +27,17 @@ def characters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda token: token != "")
 
 
+def count_and_last(tokenizer: Tokenizer, text: Column) -> tuple[Column, Column]:
+    """How many tokens a text has, and its last one (null where there is none).
+
+    Characters are counted without being taken apart.
+    """
+    if tokenizer is characters:
+        return F.length(text), F.when(F.length(text) > 0, F.right(text, F.lit(1)))
+    tokens = tokenizer(text)
+    return F.size(tokens), F.try_element_at(tokens, F.lit(-1))
+
+
 def token_count(tokens: Column) -> Column:
     return F.size(tokens)
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.scores import seeded_bits
 from ..functions.text import clean_output, output_budget, prompt_by_format, strip_prompt
-from ..functions.tokens import Tokenizer, characters, token_count
+from ..functions.tokens import Tokenizer, characters, count_and_last
 from ..plans.joins import fits_broadcast, lookup_join
 from ..plans.storage import materialize
 from ..schemas import SAMPLE_SCHEMA
@@ -328,13 +328,10 @@ def open_prompts(
     fanned = lookup_join(samples, models, ["Language"], spread_by=["sample_id"])
     prompted = fanned.withColumn(
         "full_prompt", prompt_by_format(F.col("prompt_format"), F.col("Language"), F.col("Prompt"))
-    ).withColumn("prompt_tokens", tokenizer(F.col("full_prompt")))
-    own = token_count(tokenizer(F.col("Code"))) if dynamic else None
-    return (
-        prompted.withColumn("last", F.try_element_at("prompt_tokens", F.lit(-1)))
-        .withColumn("budget", output_budget(F.col("max_tokens"), F.size("prompt_tokens"), own))
-        .drop("prompt_tokens")
     )
+    prompt_tokens, last = count_and_last(tokenizer, F.col("full_prompt"))
+    own = count_and_last(tokenizer, F.col("Code"))[0] if dynamic else None
+    return prompted.withColumns({"last": last, "budget": output_budget(F.col("max_tokens"), prompt_tokens, own)})
 
 
 def to_samples(generated: DataFrame, now: int) -> DataFrame:
