@@ -8,18 +8,28 @@ ever as wide as the vocabulary.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.tokens import Tokenizer, characters
 from ..plans.joins import lookup_join
-from ..plans.storage import by_key, materialize
+from ..plans.storage import materialize, spread_small
 
 # Most statistics entries sent to every executor (some 100 bytes each).
 BROADCAST_ENTRIES = 1_000_000
+# Tokens (or bytes of text) and texts that a task counts at once, and rows that it hands on at once.
+TOKENS_AT_ONCE = 2_000_000
+TEXTS_AT_ONCE = 1 << 16
+ROWS_AT_ONCE = 250_000
+# Counts take few bytes, so files of so many rows keep a task from reading too many of them.
+COUNTS_PER_FILE = 100_000
 
 
 @dataclass(frozen=True)
@@ -43,22 +53,70 @@ def bigram_counts(
     The first element of ``keep`` identifies the sample. The first token of a
     text has a null ``ctx``, a text without tokens one row with a null token.
     Training and scoring both start from this table, so a text is tokenized
-    once. The texts are partitioned by sample before they are taken apart: the
-    counts, many times their size, are then never shuffled, and later sums per
-    sample combine in the task that reads them.
+    once. A text is counted in the task that reads it, as numbers sorted in
+    stretches of bounded length: neither texts nor their tokens are shuffled,
+    no hash table grows with a task's input, and the rows of a text stay
+    together, so later sums per sample combine in the task that reads them. A
+    key that comes twice has the rows of both its texts.
     """
-    texts = by_key(samples.select(*keep, column), keep[0])
-    tokens = texts.select(*keep, tokenizer(F.col(column)).alias("_tokens"))
-    count = F.size("_tokens")
-    before = F.slice("_tokens", F.lit(1), F.greatest(count - 1, F.lit(0)))
-    start = F.array(F.lit(None).cast("string"))
-    shifted = F.arrays_zip(F.concat(start, before).alias("ctx"), F.col("_tokens").alias("token"))
-    counted = (
-        tokens.select(*keep, F.inline_outer(F.when(count > 0, shifted)))
-        .groupBy(*keep, "ctx", "token")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return materialize(counted, "bigrams")
+    # Characters are taken apart where they are counted, other tokens by their expression.
+    taken = F.col(column).cast("string") if tokenizer is characters else tokenizer(F.col(column)).cast("array<string>")
+    texts = spread_small(samples.select(*keep, taken.alias("_taken")))
+    kept = texts.drop("_taken").schema.fields
+    text, number = T.StringType(), T.LongType()
+    out = T.StructType([*kept, T.StructField("ctx", text), T.StructField("token", text), T.StructField("n", number)])
+    return materialize(texts.mapInArrow(_counted, out), "bigrams", COUNTS_PER_FILE)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's bigrams with their counts; the last column holds texts or lists of tokens."""
+    for batch in batches:
+        sizes = np.zeros(len(batch), np.int64)
+        taken = batch.column(batch.num_columns - 1)
+        measured = pc.binary_length(taken) if pa.types.is_string(taken.type) else pc.list_value_length(taken)
+        sizes[:] = pc.fill_null(measured, 0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(sizes), 0
+        while start < len(batch):
+            reach = (ends[start - 1] if start else 0) + TOKENS_AT_ONCE
+            end = min(max(int(np.searchsorted(ends, reach, "right")), start + 1), start + TEXTS_AT_ONCE, len(batch))
+            found = _bigrams_of(batch.slice(start, end - start))
+            for at in range(0, len(found), ROWS_AT_ONCE):
+                yield found.slice(at, ROWS_AT_ONCE)
+            start = end
+
+
+def _bigrams_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A bigram of a text is one number: its text's, its first and its second token's."""
+    lengths, codes, tokens = _numbered(batch.column(batch.num_columns - 1))
+    kinds, some = len(tokens) + 1, lengths > 0  # the last number stands for no token
+    starts = (np.cumsum(lengths) - lengths)[some]
+    before = np.empty_like(codes)
+    before[1:] = codes[:-1]
+    before[starts] = len(tokens)
+    keys = (np.repeat(np.arange(len(lengths)), lengths) * kinds + before) * kinds + codes
+    empty = (np.flatnonzero(~some) * kinds + len(tokens)) * kinds + len(tokens)
+    keys, n = np.unique(np.concatenate([keys, empty]), return_counts=True)
+    pairs, second = np.divmod(keys, kinds)
+    rows, first = np.divmod(pairs, kinds)
+    named = pa.concat_arrays([tokens, pa.nulls(1, pa.string())])
+    columns = [batch.column(i).take(pa.array(rows)) for i in range(batch.num_columns - 1)]
+    columns += [named.take(pa.array(first)), named.take(pa.array(second)), pa.array(n.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "ctx", "token", "n"])
+
+
+def _numbered(taken: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """How many tokens each text has, all tokens as numbers, and the tokens that the numbers stand for."""
+    if pa.types.is_string(taken.type):
+        lengths = pc.fill_null(pc.utf8_length(taken), 0).to_numpy(zero_copy_only=False)
+        whole = "".join(t for t in taken.to_pylist() if t is not None)
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        used = np.flatnonzero(np.bincount(points, minlength=1))
+        numbers = np.zeros(int(used[-1]) + 1 if len(used) else 1, np.int64)
+        numbers[used] = np.arange(len(used))
+        return lengths.astype(np.int64), numbers[points], pa.array(map(chr, used.tolist()), pa.string())
+    lengths = pc.fill_null(pc.list_value_length(taken), 0).to_numpy(zero_copy_only=False)
+    coded = taken.flatten().dictionary_encode(null_encoding="encode")
+    return lengths.astype(np.int64), coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
 
 def train(

@@ -2,7 +2,7 @@
 
 from .joins import fits_broadcast, lookup_join
 from .ranking import global_index, range_buckets
-from .storage import by_key, drop_scratch, materialize, scratch_path, scratch_scope, shared_folder, spread_small
+from .storage import by_key, drop_scratch, materialize, parts_for, scratch_path, scratch_scope, shared_folder, spread_small
 
 __all__ = [
     "by_key",
@@ -12,6 +12,7 @@ __all__ = [
     "lookup_join",
     "materialize",
     "range_buckets",
+    "parts_for",
     "scratch_path",
     "scratch_scope",
     "shared_folder",

@@ -72,16 +72,18 @@ def scratch_scope() -> Iterator[None]:
         _delete(own)
 
 
-def materialize(df: DataFrame, label: str = "table") -> DataFrame:
+def materialize(df: DataFrame, label: str = "table", rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of the written table.
 
     Cuts the lineage so that a lost executor re-reads files instead of
     recomputing, pins every non-deterministic choice made upstream, and gives
-    the planner true sizes for its join choices.
+    the planner true sizes for its join choices. ``rows_per_file`` bounds files of
+    rows that take little room but much work: Spark counts a file as 4 MB at least
+    when it deals files to tasks.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -96,6 +98,11 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def parts_for(df: DataFrame, least: int) -> int:
+    """A multiple of ``least``, at least as many as ``df`` has partitions: parts that do not grow with the input."""
+    return least * max(1, -(-df.rdd.getNumPartitions() // least))
+
+
 def by_key(df: DataFrame, key: str) -> DataFrame:
     """Partition by ``key``, so that later groupings that include it need no shuffle.
 
