@@ -11,7 +11,7 @@ from ..operators import generation as gen
 from ..operators import ngram
 from ..operators import setops as so
 from ..plans import sketch
-from ..plans.storage import materialize, scratch_path
+from ..plans.storage import materialize, parts_for, scratch_path
 from ..schemas import HUMAN, SAMPLE_SCHEMA
 from ..sources.bucketed import BucketedStore
 from ..streaming import ingest
@@ -184,6 +184,13 @@ def seeded_rows(spark, folder):
 # ------------------------------------------------------------------- streams
 
 
+def _arrived(rows, store, least):
+    """Append rows to a store that a stream reads; ``least`` files or a multiple, no larger than the parts of the input."""
+    files = parts_for(rows, least)
+    rows.repartition(files).write.mode("append").parquet(store)
+    return files
+
+
 def _prepared(rows):
     return rows.withColumn("CodeSampleHash", sample_row_hash()).filter(F.col("Language") != "generic")
 
@@ -194,8 +201,8 @@ def stream_ingest(spark, folder):
     store, target, position = (scratch_path(spark, x) for x in ("store", "target", "position"))
     rows = samples(spark, folder).drop("sample_id")
     for part in ("Generator = 'human'", "Generator <> 'human'"):
-        rows.filter(part).repartition(4).write.mode("append").parquet(store)
-        ingest.ingest(ingest.read_stream(spark, store), _prepared, target, position).awaitTermination()
+        files = _arrived(rows.filter(part), store, 4)
+        ingest.ingest(ingest.read_stream(spark, store, files_per_batch=2 * files), _prepared, target, position).awaitTermination()
     return spark.read.parquet(target)
 
 
@@ -204,8 +211,8 @@ def stream_dedupe(spark, folder):
     """Every sample arrives twice and is kept once."""
     store, target, position = (scratch_path(spark, x) for x in ("store", "target", "position"))
     rows = samples(spark, folder).drop("sample_id")
-    rows.unionByName(rows).repartition(4).write.parquet(store)
-    stream = ingest.read_stream(spark, store, files_per_batch=2)
+    files = _arrived(rows.unionByName(rows), store, 4)
+    stream = ingest.read_stream(spark, store, files_per_batch=files // 2)
     ingest.append_unique(stream, target, position).awaitTermination()
     return spark.read.parquet(target).select("hash")
 
@@ -216,8 +223,8 @@ def stream_dedupe_two_runs(spark, folder):
     target, rows = scratch_path(spark, "target"), samples(spark, folder)
     for part in ("sample_id % 2 = 0", "true"):
         store = scratch_path(spark, "store")
-        rows.filter(part).drop("sample_id").repartition(2).write.parquet(store)
-        stream = ingest.read_stream(spark, store, files_per_batch=2)
+        files = _arrived(rows.filter(part).drop("sample_id"), store, 2)
+        stream = ingest.read_stream(spark, store, files_per_batch=files)
         ingest.append_unique(stream, target, scratch_path(spark, "position")).awaitTermination()
     return spark.read.parquet(target).select("hash")
 
@@ -227,8 +234,8 @@ def stream_unique_in_time(spark, folder):
     """Every sample arrives twice; the second arrival is known by state that the watermark bounds."""
     store, target, position = (scratch_path(spark, x) for x in ("store", "target", "position"))
     rows = samples(spark, folder).drop("sample_id")
-    rows.unionByName(rows).repartition(4).write.parquet(store)
-    dated = ingest.read_stream(spark, store, files_per_batch=2).withColumn("at", F.timestamp_seconds("Date"))
+    files = _arrived(rows.unionByName(rows), store, 4)
+    dated = ingest.read_stream(spark, store, files_per_batch=files // 2).withColumn("at", F.timestamp_seconds("Date"))
     first = lambda stream: ingest.unique_samples(stream, ("at", "36500 days")).select("hash")
     ingest.ingest(dated, first, target, position).awaitTermination()
     return spark.read.parquet(target)
@@ -239,10 +246,10 @@ def stream_scores(spark, folder):
     """Scores appended per micro-batch, each batch once however often it runs."""
     store, target, position = (scratch_path(spark, x) for x in ("store", "target", "position"))
     rows = samples(spark, folder).select("sample_id", "Code")
-    rows.repartition(4).write.parquet(store)
+    files = _arrived(rows, store, 4)
     score = lambda batch: batch.select("sample_id", F.length("Code").cast("bigint").alias("Value"))
     for where in (position, scratch_path(spark, "position")):  # all again after the first position is lost
-        stream = ingest.read_stream(spark, store, rows.schema, 2)
+        stream = ingest.read_stream(spark, store, rows.schema, files // 2)
         ingest.score_stream(stream, score, target, where, ["sample_id"]).awaitTermination()
     return spark.read.parquet(target).select("sample_id", "Value")
 
