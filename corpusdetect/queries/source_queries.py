@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import statistics as st
-from ..plans.storage import scratch_path
+from ..plans.storage import parts_for, scratch_path
 from ..schemas import DETECTION_SCHEMA, SAMPLE_SCHEMA
 from ..sources import normalise, problems, stores
 from ..sources.catalog import Catalog
@@ -202,13 +202,15 @@ class FolderSource(PositionedSource):
 
         system, files = self._files()
         for file in files[start:end]:
-            for batch in pq.ParquetFile(system.open_input_file(file)).iter_batches(1024, columns=SAMPLE_SCHEMA.names):
-                yield from zip(*(batch.column(n).to_pylist() for n in SAMPLE_SCHEMA.names))
+            # Buffered, so that no column of a whole row group is held.
+            with pq.ParquetFile(system.open_input_file(file), buffer_size=1 << 20) as rows:
+                for batch in rows.iter_batches(256, columns=SAMPLE_SCHEMA.names):
+                    yield batch.select(SAMPLE_SCHEMA.names)
 
 
 def _sample_files(spark, folder):
-    path = scratch_path(spark, "files")
-    samples(spark, folder).drop("sample_id").repartition(7).write.parquet(path)
+    path, rows = scratch_path(spark, "files"), samples(spark, folder).drop("sample_id")
+    rows.repartition(parts_for(rows, 7)).write.parquet(path)
     return path if "://" in path else f"file://{path}"
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -37,8 +38,12 @@ class PositionedSource(ABC):
         """How many positions there are now."""
 
     @abstractmethod
-    def read(self, start: int, end: int) -> Iterator[tuple]:
-        """The rows at positions ``start`` to ``end`` (exclusive), in the order of the schema."""
+    def read(self, start: int, end: int) -> Iterator[tuple] | Iterator[pa.RecordBatch]:
+        """The rows at positions ``start`` to ``end`` (exclusive), in the order of the schema.
+
+        Spark gathers thousands of tuples before it hands them on. Where rows are large, give Arrow batches with the
+        schema's columns: each goes on as it is, so a task holds no more than one of them.
+        """
 
 
 class Stretch(InputPartition):
@@ -58,7 +63,7 @@ class _Reader(DataSourceReader):
         # A source without rows still has one, empty, partition.
         return _stretches(0, self.source.reach(), self.source.stretch) or [Stretch(0, 0)]
 
-    def read(self, partition: Stretch) -> Iterator[tuple]:
+    def read(self, partition: Stretch) -> Iterator[tuple] | Iterator[pa.RecordBatch]:
         return self.source.read(*partition.value)
 
 
@@ -82,7 +87,7 @@ class _StreamReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Stretch]:
         return _stretches(start["position"], end["position"], self.source.stretch)
 
-    def read(self, partition: Stretch) -> Iterator[tuple]:
+    def read(self, partition: Stretch) -> Iterator[tuple] | Iterator[pa.RecordBatch]:
         return self.source.read(*partition.value)
 
     def commit(self, end: dict) -> None:
