@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import materialize
-from .components import components
+from .components import by_least, clusters, merged
 from .shingles import mixed, shingle_sets
 
 PERCENT = 75
@@ -159,9 +159,9 @@ def _pivot_pairs(bucketed: DataFrame) -> DataFrame:
 
 
 def links_across(
-    ids: list, labels: list, sides: np.ndarray, sizes: np.ndarray, short: np.ndarray, percent: int, least: tuple[int, ...]
+    labels: list, sides: np.ndarray, sizes: np.ndarray, short: np.ndarray, percent: int, least: tuple[int, ...]
 ) -> list[tuple]:
-    """Links that join all labels between which the sizes and signatures of any pair let the threshold be reached.
+    """Pairs of labels that join all labels between which the sizes and signatures of any pair let the threshold be reached.
 
     Where there are two sides, pairs of one side are left to other blocks.
     """
@@ -182,12 +182,12 @@ def links_across(
         for j in others[live].tolist():
             if label[j] != label[i]:
                 label[label == label[j]] = label[i]
-                found.append((ids[order[i]], ids[order[j]]))
+                found.append((labels[order[i]], labels[order[j]]))
     return found
 
 
 def _bucket_links(bucketed: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Links (a, b) between members of a bucket that ``labels`` (id, component) has in different groups."""
+    """Links (a, b) between the groups of members of a bucket; ``labels`` (id, component) has the groups."""
     kind, least = classes.schema["id"].dataType.simpleString(), least_matches(percent, miss)
     # In smaller buckets every member has met every other as a pivot.
     several = bucketed.where("n > 3 OR n = 3 AND p = q").select("id", "band", "n")
@@ -218,7 +218,6 @@ def _bucket_links(bucketed: DataFrame, classes: DataFrame, labels: DataFrame, pe
         F.greatest("_own", "_with").alias("high"),
         F.when(F.col("_own") <= F.col("_with"), 0).otherwise(1).alias("side"),
         "label",
-        "id",
         "n_shingles",
         "short",
     )
@@ -229,16 +228,16 @@ def _bucket_links(bucketed: DataFrame, classes: DataFrame, labels: DataFrame, pe
         def settle() -> list[tuple]:
             if len(held) < 2 or (key[1] != key[2] and len({x[0] for x in held}) < 2):
                 return []
-            sides, labels, ids, sizes, short = zip(*held, strict=True)
+            sides, labels, sizes, short = zip(*held, strict=True)
             table = np.frombuffer(b"".join(short), dtype=np.uint8).reshape(-1, _SIZE)
-            return links_across(list(ids), list(labels), np.array(sides), np.array(sizes), table, percent, least)
+            return links_across(list(labels), np.array(sides), np.array(sizes), table, percent, least)
 
         def batch_of(links: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
             return pa.record_batch([pa.array([x[i] for x in links], kind) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            links, kind = [], batch.schema.field(5).type
-            for row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+            links, kind = [], batch.schema.field(4).type
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if row[:3] != key:
                     links += settle()
                     key, held = row[:3], []
@@ -287,9 +286,10 @@ def links_of_block(
     """Links that connect the members of a block as far as any pair of it reaches the threshold.
 
     Sides: 0 for the block, 1 for hubs and for those that are compared with it. Members of one label
-    are connected already. Hubs among themselves are left to their own blocks.
+    are connected already, and links name them by it. Hubs among themselves are left to their own blocks.
     """
     n = len(ids)
+    names = [i if label is None else label for i, label in zip(ids, labels, strict=True)]
     short = short_signatures(np.array([signature(s) for s in sets]))
     parent = list(range(n))
 
@@ -312,7 +312,7 @@ def links_of_block(
         for j in others[live][np.argsort(-agree, kind="stable")].tolist():
             if root(i) != root(j) and _linked(sets[i], sets[j], percent):
                 parent[root(i)] = root(j)
-                found.append((ids[i], ids[j]))
+                found.append((names[i], names[j]))
     return found
 
 
@@ -442,17 +442,17 @@ def near_duplicates(
     )
     bucketed = materialize(_bucketed(classes), "bucketed")
     pairs = materialize(_prune(_pivot_pairs(bucketed), classes, percent, miss), "pairs")
-    groups = components(pairs)
+    groups = clusters(pairs)
     across = _bucket_links(bucketed, classes, groups, percent, miss)
     if not across.isEmpty():
-        groups = components(pairs.union(across))
+        groups = merged(groups, clusters(across))
     placed = materialize(_blocks(groups), "blocks")
-    links = _compare(docs, placed.select("id", "label", "blocks"), id_col, text_col, percent, miss)
-    if not placed.where("_blocks > 1").isEmpty():
-        rest = _rest_blocks(placed, components(links))
-        links = links.union(_compare(docs, rest, id_col, text_col, percent, miss))
     # An id with several sets belongs to several classes: their names are linked through it.
-    found = components(links)
+    found = clusters(_compare(docs, placed.select("id", "label", "blocks"), id_col, text_col, percent, miss))
+    if not placed.where("_blocks > 1").isEmpty():
+        rest = _rest_blocks(placed, found)
+        found = merged(found, clusters(_compare(docs, rest, id_col, text_col, percent, miss)))
+    found = by_least(found)
     by_set = described.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
     joined = by_set.join(found, "id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import materialize
-from .components import components
+from .components import clusters
 from .golay import near_codewords
 
 WORDS = 3
@@ -187,7 +187,7 @@ def _within_crowds(crowded: DataFrame) -> DataFrame:
     spots = marks.groupBy("spot").agg(F.min("print").alias("hub"), F.collect_set("print").alias("all"))
     near = spots.where(F.size("all") > 1).select(F.col("hub").alias("a"), F.explode("all").alias("b"))
     near = materialize(near.where("a <> b").distinct(), "near-links")
-    classes = components(near).select(F.col("id").alias("print"), F.col("component").alias("class"))
+    classes = clusters(near).select(F.col("id").alias("print"), F.col("component").alias("class"))
     classed = crowded.join(classes, "print", "left").withColumn("class", F.coalesce("class", "print"))
     sizes = classed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("largest"))
@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     described = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     owners = materialize(described.groupBy("print").agg(F.min("doc_id").alias("least")), "prints")
-    joined = components(links(owners.select("print"))).select(F.col("id").alias("print"), "component")
+    joined = clusters(links(owners.select("print"))).select(F.col("id").alias("print"), "component")
     classed = owners.join(joined, "print", "left").withColumn("component", F.coalesce("component", "print"))
     ids = classed.groupBy("component").agg(F.min("least").alias("component_id"))
     named = classed.join(ids, "component").select("print", "component_id")
