@@ -7,7 +7,13 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Takes two thirds of the room that Spark's usual one takes for texts.
+COMPACT = "zstd"
+# Parts of a large input that are worked on one after the other.
+SLICES = 6
 
 _LOCAL_FOLDERS: dict[str, str] = {}
 _SCRATCH: list[str] = []
@@ -72,6 +78,63 @@ def scratch_scope() -> Iterator[None]:
         _delete(own)
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session that holds inside."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def shuffles_dropped(spark: SparkSession):
+    """Inside, what a job has shuffled is deleted when the job ends, and not when the driver collects its garbage.
+
+    For jobs that write: a table that is collected twice would be shuffled twice.
+    """
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def empty_folder(path: str) -> None:
+    """Delete the files of a folder, which stays."""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path)
+    system.delete_dir_contents(name)
+
+
+@contextmanager
+def held(df: DataFrame, label: str = "table") -> Iterator[DataFrame]:
+    """:func:`materialize` for texts that are needed inside only; they are deleted at the end."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    try:
+        df.write.option("compression", COMPACT).parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        _delete([path])
+        if path in _SCRATCH:
+            _SCRATCH.remove(path)
+
+
+def slices(df: DataFrame, key: Column) -> list[DataFrame]:
+    """``df`` cut by a hash of ``key``; what is made of a slice can be deleted before the next one is read.
+
+    No more slices than partitions: small inputs are left whole. Each slice reads the input again.
+    """
+    parts = min(SLICES, df.rdd.getNumPartitions())
+    return [df.filter(_slice(key, parts) == i) for i in range(parts)] if parts > 1 else [df]
+
+
+def _slice(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts))
+
+
 def materialize(df: DataFrame, label: str = "table", rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of the written table.
 

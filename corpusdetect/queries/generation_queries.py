@@ -11,7 +11,7 @@ from ..operators import generation as gen
 from ..operators import ngram
 from ..operators import setops as so
 from ..plans import sketch
-from ..plans.storage import materialize, parts_for, scratch_path
+from ..plans.storage import COMPACT, empty_folder, materialize, parts_for, scratch_path, slices
 from ..schemas import HUMAN, SAMPLE_SCHEMA
 from ..sources.bucketed import BucketedStore
 from ..streaming import ingest
@@ -185,9 +185,11 @@ def seeded_rows(spark, folder):
 
 
 def _arrived(rows, store, least):
-    """Append rows to a store that a stream reads; ``least`` files or a multiple, no larger than the parts of the input."""
+    """Append rows to a store that a stream reads: no more files than are returned, ``least`` or a multiple, and none larger than the parts of the input."""
     files = parts_for(rows, least)
-    rows.repartition(files).write.mode("append").parquet(store)
+    if rows.rdd.getNumPartitions() < least:
+        rows = rows.repartition(files)
+    rows.write.mode("append").option("compression", COMPACT).parquet(store)
     return files
 
 
@@ -210,10 +212,12 @@ def stream_ingest(spark, folder):
 def stream_dedupe(spark, folder):
     """Every sample arrives twice and is kept once."""
     store, target, position = (scratch_path(spark, x) for x in ("store", "target", "position"))
-    rows = samples(spark, folder).drop("sample_id")
-    files = _arrived(rows.unionByName(rows), store, 4)
-    stream = ingest.read_stream(spark, store, files_per_batch=files // 2)
-    ingest.append_unique(stream, target, position).awaitTermination()
+    for part in slices(samples(spark, folder), F.col("sample_id")):
+        rows = part.drop("sample_id")
+        files = _arrived(rows.unionByName(rows), store, 4)
+        stream = ingest.read_stream(spark, store, files_per_batch=files // 2)
+        ingest.append_unique(stream, target, position).awaitTermination()
+        empty_folder(store)  # what has been read
     return spark.read.parquet(target).select("hash")
 
 

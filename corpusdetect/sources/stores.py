@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.storage import COMPACT, setting
 from ..schemas import DETECTION_SCHEMA, SAMPLE_SCHEMA, as_text
 from .normalise import as_record, as_text_record, normalise_detections, normalise_samples
 
@@ -21,7 +19,7 @@ KINDS = {
 PARQUET_ROWS_PER_FILE = 100_000
 XML_ROWS_PER_FILE = 5_000
 # Finds copies of a text within a page, where Spark's usual one looks back 64 KB only.
-PARQUET_COMPRESSION = "zstd"
+PARQUET_COMPRESSION = COMPACT
 # Slices that a task writes at once; the rows of further ones are sorted first.
 OPEN_SLICES = 16
 
@@ -67,24 +65,10 @@ def write_parquet(df: DataFrame, path: str, kind: str = "sample", partition_by:
     writer = as_record(df, KINDS[kind][0]).write.mode("append").option("compression", PARQUET_COMPRESSION)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    with _setting(df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", str(OPEN_SLICES)):
+    with setting(df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", str(OPEN_SLICES)):
         writer.option("maxRecordsPerFile", PARQUET_ROWS_PER_FILE).parquet(path)
 
 
-@contextmanager
-def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
-    """A setting of the session that holds inside."""
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
-
-
 def read_xml(spark: SparkSession, path: str, kind: str = "sample", on_broken: str = "error") -> DataFrame:
     """An XML store: one ``<sample …/>`` element with attributes per row.
 

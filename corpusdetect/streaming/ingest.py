@@ -14,11 +14,13 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.text import sample_row_hash
 from ..plans.joins import lookup_join
 from ..plans.sketch import may_contain
-from ..plans.storage import materialize
+from ..plans.storage import COMPACT, held, setting, shuffles_dropped
 from ..schemas import SAMPLE_SCHEMA
 
 # Folders of a store of unique samples: by so many digits of the hash.
 PREFIX_DIGITS = 2
+# Whether both sides of a join are dealt by all of its keys, or else by some of them.
+_DEALT_ALIKE = "spark.sql.requireAllClusterKeysForCoPartition"
 # What makes a detection row unique.
 DETECTION_KEY = ("CodeSampleHash", "Detector", "BaseModel", "SecondaryModel")
 
@@ -87,13 +89,16 @@ def _others(spark: SparkSession, target: str, run: str, number: int, fields: Seq
 
 
 def new_hashes(rows: DataFrame, stored: DataFrame | None, digits: int = PREFIX_DIGITS) -> DataFrame:
-    """Rows (with ``hash`` and its ``prefix``) whose hash ``stored`` lacks; only folders of their prefixes are opened."""
+    """Rows (with ``hash`` and its ``prefix``) whose hash ``stored`` lacks, dealt by prefix; only folders of their prefixes are opened."""
+    placed = rows.repartition("prefix")
     if stored is None:
-        return rows
+        return placed
     prefixes = [r["prefix"] for r in rows.select("prefix").distinct().collect()]  # no more than 16 ** digits
     if len(prefixes) < 16**digits:
         stored = stored.filter(F.col("prefix").isin(prefixes))
-    return rows.join(stored.select("hash"), "hash", "left_anti")
+    # Spark would push an anti join below the deal, and shuffle the rows twice.
+    known = stored.select("hash", "prefix", F.lit(True).alias("_known"))
+    return placed.join(known, ["prefix", "hash"], "left").filter(F.col("_known").isNull()).drop("_known")
 
 
 def append_unique(source: DataFrame, target: str, checkpoint: str, digits: int = PREFIX_DIGITS) -> StreamingQuery:
@@ -110,10 +115,12 @@ def append_unique(source: DataFrame, target: str, checkpoint: str, digits: int =
         # A letter in front, so that no folder's name looks like a number.
         prefix = F.concat(F.lit("h"), F.substring("hash", 1, digits))
         hashed = batch.withColumn("hash", sample_row_hash()).withColumn("prefix", prefix)
-        distinct = materialize(hashed.dropDuplicates(["hash"]), "batch")
         fields = [T.StructField("hash", T.StringType()), T.StructField("prefix", T.StringType())]
-        new = new_hashes(distinct, _others(own, target, run, number, fields), digits)
-        new.repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(f"{target}/run={run}/batch={number}")
+        folder = f"{target}/run={run}/batch={number}"
+        # Texts that are dealt by prefix meet stored hashes, dealt alike, where they are.
+        with shuffles_dropped(own), setting(own, _DEALT_ALIKE, "false"), held(hashed.dropDuplicates(["hash"]), "batch") as distinct:
+            new = new_hashes(distinct, _others(own, target, run, number, fields), digits)
+            new.write.mode("overwrite").option("compression", COMPACT).partitionBy("prefix").parquet(folder)
 
     return _each_batch(source, write, checkpoint)
 

@@ -1,19 +1,24 @@
 """What a task holds, moves or writes does not grow faster than the input."""
 
+import glob
 import os
 import random
+import re
 from collections import Counter
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from corpusdetect.functions.tokens import words
 from corpusdetect.operators import ngram
-from corpusdetect.plans import parts_for
-from corpusdetect.queries import source_queries
+from corpusdetect.plans import parts_for, scratch_scope, slices, storage
+from corpusdetect.plans.storage import setting
+from corpusdetect.queries import QUERIES, source_queries
 from corpusdetect.queries.generation_queries import _arrived
 from corpusdetect.schemas import SAMPLE_SCHEMA
 from corpusdetect.sources import connector, stores
+from corpusdetect.streaming import ingest
 
 TEXTS = [(1, "a", "abcab"), (2, "b", ""), (3, "a", None), (4, "b", "x"), (5, "a", "\U0001f600\u00e9\n \U0001f600\u00e9"), (6, "b", "aa aa b aa aa")]
 
@@ -105,3 +110,43 @@ def test_converted_xml_is_compressed(spark, tmp_path):
     stores.convert(spark, second, "xml", third)
     assert sum(os.path.getsize(f"{second}/{f}") for f in os.listdir(second)) < 50 * 3 * len(text) / 3
     assert [tuple(r) for r in stores.read_parquet(spark, third).collect()] == data
+
+
+def documents(spark, folder):
+    """A table in four parts with repeated and missing keys, and how many samples differ."""
+    rows = [(i % 90 if i % 11 else None, f"text {i % 90} " * 40, "en") for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).write.parquet(f"{folder}/documents.parquet")
+    return len(set(rows))
+
+
+@pytest.mark.parametrize("name", ["stream_dedupe"])
+def test_streams_give_back_what_they_have_read(spark, tmp_path, monkeypatch, name):
+    different, arrivals = documents(spark, tmp_path), []
+    arrived = lambda rows, store, least: arrivals.append(rows.count()) or _arrived(rows, store, least)
+    monkeypatch.setattr("corpusdetect.queries.generation_queries._arrived", arrived)
+    with scratch_scope():
+        before = len(storage._SCRATCH)
+        found = [r.hash for r in QUERIES[name](spark, str(tmp_path)).collect()]
+        made = [p.removeprefix("file://") for p in storage._SCRATCH[before:]]
+        files = {p: glob.glob(f"{p}/**/*.parquet", recursive=True) for p in made}
+    assert len(found) == len(set(found)) == different
+    assert len(arrivals) >= 4 and max(arrivals) < 300  # not all at once
+    assert not [p for p, inside in files.items() if inside and ("/store-" in p or "/batch-" in p)]
+
+
+def test_a_stream_is_shuffled_once_on_its_way_to_the_folders(spark):
+    rows = spark.createDataFrame([("ab", "hab", "x"), ("cd", "hcd", "y")], "hash string, prefix string, Code string")
+    stored = spark.createDataFrame([("ab", "hab", "r")] * 2, "hash string, prefix string, run string")
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"), setting(spark, ingest._DEALT_ALIKE, "false"):
+        new = ingest.new_hashes(rows, stored)
+        shown = new._jdf.queryExecution().executedPlan().toString()
+        assert [r.Code for r in new.collect()] == ["y"]
+    dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", shown)
+    assert len(dealt) == 2 and all(re.fullmatch(r"prefix#\d+", d) for d in dealt)
+
+
+def test_slices_hold_every_row_once(spark):
+    rows = spark.range(0, 100, 1, 3).select(F.when(F.col("id") % 7 > 0, F.col("id") % 20).alias("key"), "id")
+    parts = [[r.id for r in part.collect()] for part in slices(rows, F.col("key"))]
+    assert len(parts) == 3 and sorted(sum(parts, [])) == list(range(100))
+    assert len(slices(rows.coalesce(1), F.col("key"))) == 1
