@@ -122,12 +122,12 @@ def held(df: DataFrame, label: str = "table") -> Iterator[DataFrame]:
             _SCRATCH.remove(path)
 
 
-def slices(df: DataFrame, key: Column) -> list[DataFrame]:
+def slices(df: DataFrame, key: Column, most: int = SLICES) -> list[DataFrame]:
     """``df`` cut by a hash of ``key``; what is made of a slice can be deleted before the next one is read.
 
     No more slices than partitions: small inputs are left whole. Each slice reads the input again.
     """
-    parts = min(SLICES, df.rdd.getNumPartitions())
+    parts = min(most, df.rdd.getNumPartitions())
     return [df.filter(_slice(key, parts) == i) for i in range(parts)] if parts > 1 else [df]
 
 

@@ -11,7 +11,7 @@ from ..operators import generation as gen
 from ..operators import ngram
 from ..operators import setops as so
 from ..plans import sketch
-from ..plans.storage import COMPACT, empty_folder, materialize, parts_for, scratch_path, slices
+from ..plans.storage import COMPACT, SLICES, empty_folder, materialize, parts_for, scratch_path, slices
 from ..schemas import HUMAN, SAMPLE_SCHEMA
 from ..sources.bucketed import BucketedStore
 from ..streaming import ingest
@@ -225,11 +225,13 @@ def stream_dedupe(spark, folder):
 def stream_dedupe_two_runs(spark, folder):
     """Half of the samples, then all of them from a new checkpoint, into one store."""
     target, rows = scratch_path(spark, "target"), samples(spark, folder)
-    for part in ("sample_id % 2 = 0", "true"):
-        store = scratch_path(spark, "store")
-        files = _arrived(rows.filter(part).drop("sample_id"), store, 2)
-        stream = ingest.read_stream(spark, store, files_per_batch=files)
-        ingest.append_unique(stream, target, scratch_path(spark, "position")).awaitTermination()
+    for part, most in (("sample_id % 2 = 0", SLICES // 2), ("true", SLICES)):
+        store, position = scratch_path(spark, "store"), scratch_path(spark, "position")
+        for arriving in slices(rows.filter(part), F.col("sample_id"), most):
+            files = _arrived(arriving.drop("sample_id"), store, 2)
+            stream = ingest.read_stream(spark, store, files_per_batch=files)
+            ingest.append_unique(stream, target, position).awaitTermination()
+            empty_folder(store)  # what has been read
     return spark.read.parquet(target).select("hash")
 
 

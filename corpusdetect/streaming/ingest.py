@@ -21,6 +21,9 @@ from ..schemas import SAMPLE_SCHEMA
 PREFIX_DIGITS = 2
 # Whether both sides of a join are dealt by all of its keys, or else by some of them.
 _DEALT_ALIKE = "spark.sql.requireAllClusterKeysForCoPartition"
+# Tasks that list a store's folders, and what opening a file counts when files are dealt to tasks: of many small files
+# only hashes are read.
+_LISTING, _OPENING = "spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.files.openCostInBytes"
 # What makes a detection row unique.
 DETECTION_KEY = ("CodeSampleHash", "Detector", "BaseModel", "SecondaryModel")
 
@@ -118,7 +121,13 @@ def append_unique(source: DataFrame, target: str, checkpoint: str, digits: int =
         fields = [T.StructField("hash", T.StringType()), T.StructField("prefix", T.StringType())]
         folder = f"{target}/run={run}/batch={number}"
         # Texts that are dealt by prefix meet stored hashes, dealt alike, where they are.
-        with shuffles_dropped(own), setting(own, _DEALT_ALIKE, "false"), held(hashed.dropDuplicates(["hash"]), "batch") as distinct:
+        with (
+            shuffles_dropped(own),
+            setting(own, _DEALT_ALIKE, "false"),
+            setting(own, _LISTING, str(own.sparkContext.defaultParallelism)),
+            setting(own, _OPENING, str(256 * 1024)),
+            held(hashed.dropDuplicates(["hash"]), "batch") as distinct,
+        ):
             new = new_hashes(distinct, _others(own, target, run, number, fields), digits)
             new.write.mode("overwrite").option("compression", COMPACT).partitionBy("prefix").parquet(folder)
 

@@ -119,7 +119,7 @@ def documents(spark, folder):
     return len(set(rows))
 
 
-@pytest.mark.parametrize("name", ["stream_dedupe"])
+@pytest.mark.parametrize("name", ["stream_dedupe", "stream_dedupe_two_runs"])
 def test_streams_give_back_what_they_have_read(spark, tmp_path, monkeypatch, name):
     different, arrivals = documents(spark, tmp_path), []
     arrived = lambda rows, store, least: arrivals.append(rows.count()) or _arrived(rows, store, least)
