@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from ..functions.scores import FLIPPED
 from ..operators import detectors as det
 from ..operators import evaluation as ev
-from ..plans.storage import scratch_path
+from ..plans.storage import scratch_path, scratch_scope, shuffles_dropped, slices
 from ..schemas import DETECTION_SCHEMA
 from ..sources import stores
 from .detection_queries import _ALL, _BOTH, _SHORT, RUN_TIME, _scores
@@ -21,10 +22,15 @@ _FULL = f"""SELECT sample_id, sha256(OriginalPrompt) AS PromptHash, {SAMPLE_HASH
 
 def _stored(spark, folder):
     """Every detector, model and pair over all samples: scored, written as a store, read again."""
-    scores = _scores(spark, folder).withColumn("Value", r6("Value"))
-    rows = det.to_detections(samples(spark, folder), scores, RUN_TIME, 512)
-    path = scratch_path(spark, "detection")
-    stores.write_parquet(rows, path, "detection", partition_by=("Detector",))
+    path, scored_path = scratch_path(spark, "detection"), scratch_path(spark, "scores")
+    with shuffles_dropped(spark):
+        with scratch_scope():  # counts of bigrams go when all is scored
+            scores = _scores(spark, folder).withColumn("Value", r6("Value"))
+            scores.write.parquet(scored_path)
+        scores = spark.read.schema(scores.schema).parquet(scored_path)
+        for part in slices(samples(spark, folder), F.col("sample_id")):  # texts are shuffled a part at a time
+            rows = det.to_detections(part, scores, RUN_TIME, 512)
+            stores.write_parquet(rows, path, "detection", partition_by=("Detector",))
     return stores.read_store(spark, path, "parquet", "detection")
 
 

@@ -20,6 +20,13 @@ PARQUET_ROWS_PER_FILE = 100_000
 XML_ROWS_PER_FILE = 5_000
 # Finds copies of a text within a page, where Spark's usual one looks back 64 KB only.
 PARQUET_COMPRESSION = COMPACT
+# Detections repeat a text for each model. A row group keeps a text once, in a dictionary of so many bytes, and ends
+# before most texts fill it, so that the better but slower level compresses few bytes.
+DETECTION_OPTIONS = {
+    "parquet.dictionary.page.size": 8 << 20,
+    "parquet.block.row.count.limit": 10_000,
+    "parquet.compression.codec.zstd.level": 6,
+}
 # Slices that a task writes at once; the rows of further ones are sorted first.
 OPEN_SLICES = 16
 
@@ -63,6 +70,8 @@ def write_parquet(df: DataFrame, path: str, kind: str = "sample", partition_by:
     slice, and copies of a text that follow one another take next to no room.
     """
     writer = as_record(df, KINDS[kind][0]).write.mode("append").option("compression", PARQUET_COMPRESSION)
+    if kind == "detection":
+        writer = writer.options(**DETECTION_OPTIONS)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     with setting(df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", str(OPEN_SLICES)):

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from corpusdetect.plans import parts_for, scratch_scope, slices, storage
 from corpusdetect.plans.storage import setting
 from corpusdetect.queries import QUERIES, source_queries
 from corpusdetect.queries.generation_queries import _arrived
-from corpusdetect.schemas import SAMPLE_SCHEMA
+from corpusdetect.schemas import DETECTION_SCHEMA, SAMPLE_SCHEMA
 from corpusdetect.sources import connector, stores
 from corpusdetect.streaming import ingest
 
@@ -150,3 +151,26 @@ def test_slices_hold_every_row_once(spark):
     parts = [[r.id for r in part.collect()] for part in slices(rows, F.col("key"))]
     assert len(parts) == 3 and sorted(sum(parts, [])) == list(range(100))
     assert len(slices(rows.coalesce(1), F.col("key"))) == 1
+
+
+def test_detections_keep_a_text_once_a_row_group(spark, tmp_path):
+    rng = random.Random(3)
+    texts = [rng.randbytes(1000).hex() for _ in range(2000)]
+    data = [("p", "c", "python", 0.5, 1, "rank", "human", b, None, t, None, None, None, 5, "d") for t in texts for b in "abcd"]
+    stores.write_parquet(spark.createDataFrame(data, DETECTION_SCHEMA).coalesce(1), str(tmp_path), "detection", ("Detector",))
+    (file,) = glob.glob(f"{tmp_path}/**/*.parquet", recursive=True)
+    group = pq.ParquetFile(file).metadata.row_group(0)
+    (code,) = [c for c in map(group.column, range(group.num_columns)) if c.path_in_schema == "Code"]
+    assert group.num_rows == len(data) and code.total_uncompressed_size < 1.2 * sum(map(len, texts))
+
+
+def test_the_detection_job_joins_texts_a_part_at_a_time(spark, tmp_path, monkeypatch):
+    documents(spark, tmp_path)
+    keyed, write, parts = spark.read.parquet(f"{tmp_path}/documents.parquet").where("doc_id IS NOT NULL").count(), stores.write_parquet, []
+    monkeypatch.setattr(stores, "write_parquet", lambda rows, *a, **b: parts.append(rows.count()) or write(rows, *a, **b))
+    with scratch_scope():
+        before = len(storage._SCRATCH)
+        found = QUERIES["detection_job"](spark, str(tmp_path)).count()
+        made = [p.removeprefix("file://") for p in storage._SCRATCH[before:]]
+    assert found == 18 * keyed == sum(parts) and len(parts) >= 4 and max(parts) < found
+    assert not [p for p in made if "/bigrams-" in p]  # gone when all was scored
